@@ -4,11 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
 
+def held_out() -> Column:
+    """Rows that nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()))
+    return identify(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = score(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import contamination
 
@@ -33,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op5_kd_shard, op7_simhash, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op5_kd_shard, op7_simhash, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": r"""
