@@ -38,6 +38,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"], spans=False)
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, wherever it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
 def op5_kd_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.kd_shard import kd_shard
 
@@ -50,13 +63,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_store import read_tokens, write_tokens
+
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op5_kd_shard, op7_simhash, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op7_simhash, op9_token_store, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": r"""
