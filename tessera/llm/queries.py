@@ -63,6 +63,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import read_warc, write_warc
+
+    return read_warc(spark, write_warc(table(spark, sf_dir, "pages"), revisit_bytes=1000)).drop("url")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_store import read_tokens, write_tokens
 
@@ -75,9 +81,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op7_simhash, op9_token_store, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op7_simhash, op8_warc, op9_token_store, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN keep END AS refers_to
+FROM k""",
     "op2_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
