@@ -30,10 +30,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+ROWS_A_FILE = 50_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back: the lineage
-    ends there, and a lost executor costs no recomputation of what came before."""
+    ends there, and a lost executor costs no recomputation of what came before.
+    rows, where some upper estimate is known, keeps small results from being
+    written as a file for each shuffle partition."""
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -112,7 +119,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find. edges: (a, b) of one orderable type. Returns
     (node, root), root being the smallest node reachable; nodes without an edge
     to another node are not listed.
@@ -121,10 +128,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     to the smallest node it sees, then its smaller ones. Each round is two
     aggregations and two joins over the edges, ends in a table in the shared
     folder, and never has more edges than the one before plus the nodes. Only a
-    count and a checksum come to the driver."""
+    count and a checksum come to the driver. rows: an estimate of the edges."""
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "cc")
+    e = materialise(e, "cc", rows)
     state = _fingerprint(e)
     for _ in range(max_rounds):
         if not state[0]:
@@ -135,7 +142,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         both = large.join(m, "u")
         small = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        new = materialise(small, "cc")
+        new = materialise(small, "cc", 2 * state[0])
         discard(e)
         now = _fingerprint(new)
         e, done, state = new, now == state, now

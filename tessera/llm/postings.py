@@ -85,10 +85,11 @@ def _closed(k: np.ndarray, m: np.ndarray, cap: int | None) -> Iterator[tuple[str
         yield "hot" if cap and n > cap else "run", k[s : s + n], m[s : s + n]
 
 
-def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], cap: int = POSTING_CAP) -> DataFrame:
+def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], cap: int = POSTING_CAP, rows: int | None = None) -> DataFrame:
     """postings: (key, member), longs. linked(a, b) tells which members (arrays or
     a scalar) are linked. Returns (a, b), the links of a forest that joins
-    exactly the members that links within postings join."""
+    exactly the members that links within postings join. rows: an estimate of
+    the distinct links, for the size of files."""
 
     def scan(limit: int | None):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +112,9 @@ def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray]
 
     schema = "a bigint, b bigint, hot boolean"
     sorted_ = postings.repartition("key").sortWithinPartitions("key", "member")
-    found = common.materialise(sorted_.mapInArrow(scan(cap), schema), "links")
+    found = common.materialise(sorted_.mapInArrow(scan(cap), schema).distinct(), "links", rows)
     links = found.where("not hot").select("a", "b")
-    hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("member")).distinct()
+    hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("member"))
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (cap // 2)).alias("n"))
     dealt = hot.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("member"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     paired = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "member")

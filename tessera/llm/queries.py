@@ -57,6 +57,12 @@ def op5_kd_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import simhash_groups
 
@@ -81,7 +87,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op7_simhash, op8_warc, op9_token_store, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op6_line_dedup, op7_simhash, op8_warc, op9_token_store, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op8_warc": r"""
