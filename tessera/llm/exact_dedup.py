@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = entries.groupBy("h", "sha", "cp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d"))
     links = first.groupBy("h", "sha").agg(F.sum("n").alias("group_size"), F.max_by("d", "cp").alias("keep_id"))
-    links = common.materialise(links.withColumn("prefix", F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")), "links")
+    links = common.materialise(links.withColumn("prefix", F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")), "links", rows := entries.count())
 
     counts = [tuple(r) for r in links.groupBy("prefix").count().collect()]  # 2^MAX_DEPTH rows at most
     depth, slots = directory(counts, capacity)
@@ -80,14 +80,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common.discard(links)
 
     chained = index.groupBy("h").agg(F.sum("group_size").alias("n")).where("n > 1").select("h")
-    bitmap = common.materialise(common.key_bitmap(chained, "h"), "bitmap")
+    bitmap = common.materialise(common.key_bitmap(chained, "h"), "bitmap", rows=0)
     rivals = common.in_bitmap(norm.select("h", "norm"), bitmap, "h")
     texts = rivals.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("n"))
     classes = texts.select("h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "n").groupBy("h", "sha").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"))
     checked = index.join(classes, ["h", "sha"], "left")
     same = (F.col("group_size") == 1) | ((F.col("classes") == 1) & (F.col("n") == F.col("group_size")))
     checked = checked.select("h", "sha", "group_size", F.when(F.coalesce(same, F.lit(False)), F.col("keep_id")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest"))).alias("keep_id"))
-    checked = common.materialise(checked, "checked")
+    checked = common.materialise(checked, "checked", rows)
     common.discard(index)
 
     out = entries.join(checked, ["h", "sha"])

@@ -80,13 +80,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < distance < 8:
         raise ValueError("distance must be 1 to 7")
     fp = common.materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    least = common.materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    least = common.materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", rows := fp.count())
     masks = [sum(0xFF << 8 * p for p in at) for at in combinations(range(8), 8 - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)])
     postings = least.select(F.explode(keys).alias("key"), F.col("fp").alias("member"))
-    links = posting_links(postings, linker(distance))
-    comp = common.connected_components(links)
+    links = posting_links(postings, linker(distance), rows=rows)
+    comp = common.connected_components(links, rows)
     rooted = least.join(comp, least.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
