@@ -177,11 +177,25 @@ def bitmap_bytes(bitmap: DataFrame, log2_bits: int = BITMAP_LOG2) -> bytes:
     return bytes(out)
 
 
-def in_bitmap(df: DataFrame, bitmap: DataFrame, column: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
-    """The rows of df whose key may be in the bitmap; native, without a shuffle of df."""
+def in_bitmap(df: DataFrame, bitmap: DataFrame, column: str, log2_bits: int = BITMAP_LOG2, inside: bool = True) -> DataFrame:
+    """The rows of df whose key may be in the bitmap (or else the other rows);
+    native, without a shuffle of df."""
     pos = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
     seg, off = F.shiftright(pos, 15), pos.bitwiseAND(F.lit(32767)).cast("int")
     byte = F.conv(F.hex(F.expr("substring(__bits, __off div 8 + 1, 1)")), 16, 10).cast("int")
     own = df.columns
-    joined = df.withColumns({"__seg": seg, "__off": off}).join(F.broadcast(bitmap.select(F.col("seg").alias("__seg"), F.col("bits").alias("__bits"))), "__seg")
-    return joined.where(byte.bitwiseAND(F.expr("shiftleft(1, __off % 8)")) != 0).select(*own)
+    joined = df.withColumns({"__seg": seg, "__off": off}).join(F.broadcast(bitmap.select(F.col("seg").alias("__seg"), F.col("bits").alias("__bits"))), "__seg", "left")
+    there = F.col("__bits").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, __off % 8)")) != 0)
+    return joined.where(F.coalesce(there if inside else ~there, F.lit(not inside))).select(*own)
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
+    """The rows of df whose id is not in ids (one column, nulls count as a value).
+    Only rows that a bitmap of the ids lets through are shuffled."""
+    key = fresh(df.columns, "__key")
+    ids = materialise(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
+    bitmap = materialise(key_bitmap(ids.select(F.xxhash64("__gone").alias("k")), "k", log2_bits), "bitmap", rows=0)
+    keyed = df.withColumn(key, F.xxhash64(id_col))
+    rivals = in_bitmap(keyed, bitmap, key, log2_bits)
+    left = rivals.join(ids, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return in_bitmap(keyed, bitmap, key, log2_bits, inside=False).unionByName(left).drop(key)

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,10 +253,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return split.where(F.translate("__line", BLANK, "") != "").select("doc_id", "text_key", "pos", F.unhex(F.md5(F.col("__line").cast("binary"))).alias("id"))
 
 
-def _row_key(id_: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_), F.col(text))
-
-
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with shortened texts, n_lines and n_removed."""
     spark = docs.sparkSession
@@ -290,8 +286,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(*keep).withColumn("__text_key", F.xxhash64(text_col)).withColumn("__key", F.xxhash64(id_col, "__text_key"))
     touched = common.materialise(common.key_bitmap(drops, "__key", BITMAP_LOG2), "bitmap", rows=0)
     hit = common.in_bitmap(keyed, touched, "__key", BITMAP_LOG2)
-    flags = keyed.withColumns({"__seg": F.shiftright(F.col("__key").bitwiseAND(F.lit((1 << BITMAP_LOG2) - 1)), 15)})
-    missed = _missed(flags, touched)
+    missed = common.in_bitmap(keyed, touched, "__key", BITMAP_LOG2, inside=False)
     d = drops.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), "drop")
     joined = hit.join(d, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__text_key") == F.col("__t")), "left").select(*keep, "drop")
     schema = T.StructType([f for f in docs.select(*keep).schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -312,10 +307,3 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("bigint")
     return joined.mapInArrow(cut, schema).unionByName(missed.select(*keep, lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
 
-
-def _missed(df: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows of df that the bitmap does not let through."""
-    off = F.col("__key").bitwiseAND(F.lit(32767)).cast("int")
-    byte = F.conv(F.hex(F.expr("substring(__bits, __off div 8 + 1, 1)")), 16, 10).cast("int")
-    joined = df.withColumn("__off", off).join(F.broadcast(bitmap.select(F.col("seg").alias("__seg"), F.col("bits").alias("__bits"))), "__seg", "left")
-    return joined.where(F.col("__bits").isNull() | (byte.bitwiseAND(F.expr("shiftleft(1, __off % 8)")) == 0))
