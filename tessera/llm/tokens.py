@@ -4,7 +4,7 @@ Both kinds of tokenizer known here never join characters across certain places:
 one drops white space before it looks for words, the other starts a new piece at
 any run of white space after something else. Texts are cut at these places, each
 distinct piece is encoded once by the tokenizers library and remembered, and ids
-are strung together. Texts with anything that makes the places unsafe (white space
+are strung together; plain words go straight to the library's model. Texts with anything that makes the places unsafe (white space
 beyond ASCII, an added token's string), and tokenizers of any other make, go to the
 library whole. The result is the library's own for every text."""
 
@@ -14,18 +14,95 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 900_000
 LONG_PIECE = 256
-JOIN = 256
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: how byte-level vocabularies spell bytes: those of visible Latin-1 characters as
+#: these, the others in order from U+0100
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _PIECES = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+$")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+#: fixed values: code points that some engine takes for white space, beyond ASCII's six
+_ODD = [(0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2060), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
+_ODD_SPACE = [chr(c) for a, b in _ODD for c in range(a, b + 1)]
+_RUNS = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f"]
 
 _encoders: dict[str, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces, found out when first asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.whole = encoder.library
+        self.model = encoder.tokenizer.model
+        self.code = "H" if encoder.dtype.itemsize == 2 else "I"
+        self.drops_space = encoder.kind == "space dropped"
+        self.stops = frozenset(b".,") if self.drops_space else frozenset(".,")
+        self.letters = frozenset(LETTERS.encode()) if self.drops_space else frozenset(LETTERS)
+
+    def __missing__(self, piece: bytes | str) -> bytes:
+        if len(self) >= CACHE:  # the pieces met first are the frequent ones
+            for p in list(self)[CACHE // 2 :]:
+                del self[p]
+        if len(piece) > 1 and piece[-1] in self.stops and piece[-2] in self.letters:
+            ids = self[piece[:-1]] + self[piece[-1:]]  # a stop or comma after a letter starts a piece of its own
+        else:
+            ids = self.find(piece.decode() if self.drops_space else piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+    def find(self, piece: str) -> bytes:
+        ids = self._word(piece)
+        return self.whole([piece])[0].tobytes() if ids is None else ids
+
+    def _word(self, piece: str) -> bytes | None:
+        """A piece that is one word of Latin-1 letters goes to the model itself, past
+        normaliser and regex, its bytes spelt as the vocabulary does."""
+        head, word = b"", piece
+        if not self.drops_space and piece[0] in " \n":
+            word = piece[1:]
+            if piece[0] == "\n":
+                head = self["\n"] if word else None
+        if not (word.isascii() and word.isalpha() or LATIN.fullmatch(word)) or head is None:
+            return None
+        if self.drops_space:
+            word = word.lower()
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLING)
+        if piece[0] == " ":
+            spelt = chr(SPELLING[32]) + spelt
+        return head + array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+
+class Spaced(dict):
+    """Ids of pieces after a space, or of those that start with a line feed instead."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            for p in list(self)[CACHE // 2 :]:
+                del self[p]
+        if len(piece) > 1 and piece[-1] in self.pieces.stops and piece[-2] in self.pieces.letters:
+            ids = self[piece[:-1]] + self.pieces[piece[-1]]
+        else:
+            text = piece if piece[0] == "\n" else " " + piece
+            ids = self.pieces.find(text)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,67 +113,44 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        plain = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and self.added
+        plain = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and sys.byteorder == "little"
         if plain and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "space first"
         elif plain and self._drops_space(norm, pre):
             self.kind = "space dropped"
         else:
             self.kind = "whole"
-        self.mark = self.added[0] if self.added else ""
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.added else -1
-        self.cache: dict = {}
+        self.pieces = Pieces(self)
+        self.spaced = Spaced(self.pieces)
 
     @staticmethod
     def _drops_space(norm: dict | None, pre: dict) -> bool:
         kinds = {n["type"] for n in (norm or {}).get("normalizers", [])}
         steps = pre.get("pretokenizers", [])
         split = steps[0] if steps else {}
-        return kinds <= {"NFC", "Replace", "Lowercase"} and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s" in split["pattern"].get("Regex", "") and all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in steps[1:])
+        return "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"} and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s" in split["pattern"].get("Regex", "") and all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in steps[1:])
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
+    def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of the pieces, many to a call, told apart by an added token between them."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), JOIN):
-            part = pieces[i : i + JOIN]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            raw, size, start = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
-            if len(ends) != len(part):
-                raise RuntimeError("an added token's string within a piece")
-            for e in ends:
-                out.append(raw[start * size : e * size])
-                start = e + 1
-        return out
-
-    def _split(self, text: str) -> list | None:
+    def encode_one(self, text: str) -> np.ndarray:
         if self.kind == "whole" or any(a in text for a in self.added):
-            return None
+            return self.library([text])[0]
         if self.kind == "space dropped":
-            return text.encode().split()
-        return None if _ODD_SPACE.search(text) else _PIECES.findall(text)
+            pieces = text.encode().lower().split()  # ASCII letters only: the normaliser lowers them too
+        elif any(map(text.__contains__, _ODD_SPACE)):
+            return self.library([text])[0]
+        elif any(map(text.__contains__, _RUNS)) or text.strip(" \n") != text:
+            pieces = _PIECES.findall(text)
+        elif text:
+            first, *rest = text.replace("\n", " \n").split(" ")  # each of the rest follows a space or is a line's first
+            return np.frombuffer(self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest)), self.dtype)
+        else:
+            pieces = []
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), self.dtype)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._split(t) for t in texts]
-        new = list(set().union(*(s for s in split if s is not None)).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set().union(*(s for s in split if s is not None)))
-        if new:
-            strings = [p.decode() for p in new] if self.kind == "space dropped" else new
-            self.cache.update(zip(new, self._learn(strings), strict=True))
-        get = self.cache.__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), self.dtype) if s is not None else None for s in split]
-        whole = [i for i, s in enumerate(split) if s is None]
-        if whole:
-            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-        for p in [p for p in new if len(p) > LONG_PIECE]:  # they won't come again
-            self.cache.pop(p, None)
-        return out
+        return [self.encode_one(t) for t in texts]
 
 
 def encoder(source: str) -> Encoder:
