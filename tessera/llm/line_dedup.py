@@ -248,9 +248,21 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, id) of all lines but blank ones, natively."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "__line"))
-    return split.where(F.translate("__line", BLANK, "") != "").select("doc_id", "text_key", "pos", F.unhex(F.md5(F.col("__line").cast("binary"))).alias("id"))
+    """(doc_id, text_key, pos, id) of all lines but blank ones."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, pos, ids = [], [], []
+            for text in batch.column(2):
+                own = [(i, line_id(x)) for i, x in enumerate((text.as_py() or "").split("\n")) if x.strip(BLANK)]
+                counts.append(len(own))
+                pos += [i for i, _ in own]
+                ids += [x for _, x in own]
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(pos, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_key", "pos", "id"])
+
+    key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return key.mapInArrow(step, T.StructType([key.schema["doc_id"], key.schema["text_key"], T.StructField("pos", T.IntegerType()), T.StructField("id", T.BinaryType())]))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +280,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = common.connected_components(links, rows)
     common.release(spark)
 
-    occ = occurrences(src)
+    occ = common.materialise(occurrences(src), "lines")
     repeated = occ.groupBy("id").count().where("count > 1").select("id").unionByName(comp.select(F.col("node").alias("id")))
     bitmap = common.materialise(common.key_bitmap(repeated.select(F.xxhash64("id").alias("k")), "k", BITMAP_LOG2), "bitmap", rows=0)
     chosen = common.in_bitmap(occ.withColumn("k", F.xxhash64("id")), bitmap, "k", BITMAP_LOG2).drop("k")
@@ -278,7 +290,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = rooted.groupBy("root").agg(F.min(order).alias("best"))
     drops = rooted.join(best, "root").where(~order.eqNullSafe(F.col("best"))).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drop"))
     drops = common.materialise(drops.withColumn("__key", F.xxhash64("doc_id", "text_key")), "drops", rows)
-    common.discard(rooted)
+    common.discard(rooted, occ)
     common.release(spark)
 
     # documents that lose a line meet their drops; the others pass
