@@ -221,13 +221,34 @@ def similar(lines: list[str], threshold: float, k: int = SHINGLE):
     return near
 
 
+def similar_pairs(one: list[str], two: list[str], threshold: float, k: int = SHINGLE) -> np.ndarray:
+    """Which pairs of lines are similar, for up to 2^16 pairs with one sort: codes of
+    pair, shingle and side put equal shingles of a pair next to each other."""
+    h, counts = shingle_hashes([x for pair in zip(one, two, strict=True) for x in pair], k)
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    code = np.sort((line >> np.uint64(1)) << np.uint64(48) | (h >> np.uint64(17)) << np.uint64(1) | (line & np.uint64(1)))
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+    pair = (code >> np.uint64(48)).astype(np.int64)
+    both = np.flatnonzero((code[1:] ^ code[:-1]) == 1)
+    shared = np.bincount(pair[both], minlength=len(one))
+    return shared >= threshold * (np.bincount(pair, minlength=len(one)) - shared) - 1e-9
+
+
 def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(set, id, text) to links (a, b) between line ids."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-        a: list[bytes] = []
-        b: list[bytes] = []
+        pairs: list[tuple[bytes, str, bytes, str]] = []
+        size = 0
+
+        def out(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        def flush() -> pa.RecordBatch:
+            mark = similar_pairs([p[1] for p in pairs], [p[3] for p in pairs], threshold).tolist()
+            return out([p[0] for p, m in zip(pairs, mark, strict=True) if m], [p[2] for p, m in zip(pairs, mark, strict=True) if m])
+
         row = next(rows, None)
         while row:
             own, members = row[0], {}
@@ -235,14 +256,18 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if len(row[2]) >= SHINGLE:
                     members[row[1]] = row[2]
                 row = next(rows, None)
-            if len(members) > 1:
-                ids, lines = list(members), list(members.values())
-                got, roots = star_forest(np.arange(len(ids)), similar(lines, threshold))
-                a += [ids[i] for i in got]
-                b += [ids[i] for i in roots]
-            if len(a) > 5000 or (not row and a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
+            if len(members) == 2:
+                (a, x), (b, y) = members.items()
+                pairs.append((a, x, b, y))
+                size += len(x) + len(y)
+            elif len(members) > 2:
+                ids = list(members)
+                got, roots = star_forest(np.arange(len(ids)), similar(list(members.values()), threshold))
+                if len(got):
+                    yield out([ids[i] for i in got], [ids[i] for i in roots])
+            if pairs and (not row or size >= LINE_CHARS or len(pairs) == 1 << 15):
+                yield flush()
+                pairs, size = [], 0
 
     return sets.repartition("set").sortWithinPartitions("set", "id").mapInArrow(step, "a binary, b binary")
 
