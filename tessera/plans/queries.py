@@ -532,7 +532,7 @@ def running_best(spark, d):
 
 @query
 def trailing_mean_100(spark, d):
-    return metrics.trailing_mean(losses(spark, d), "bucket", "event_id", "value").select("event_id", F.round("mean", 4).alias("mean"))
+    return metrics.trailing_mean(losses(spark, d), "bucket", "event_id", "value").select("event_id", F.round("mean", 9).alias("mean"))
 
 
 @query
