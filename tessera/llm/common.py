@@ -90,7 +90,7 @@ def gapless(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     A key may hold any share of the rows. Rows are dealt by key and a hash of
     the order columns to `blocks` blocks a key; the blocks' totals are summed up
     over (key, block), and each block is ranked on its own. The totals have at
-    most keys x blocks rows and are joined, not broadcast. df is read twice, so
+    most keys x blocks rows and are joined, not broadcast. Keys hold no nulls. df is read twice, so
     hand in a materialised table."""
     block, base = "__block", "__base"
     value = F.col(weight) if weight else F.lit(1).cast("bigint")
@@ -102,14 +102,9 @@ def gapless(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     totals = totals.withColumn(base, F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).drop("__n")
     own = Window.partitionBy(*on).orderBy(*order)
     inner = F.row_number().over(own).cast("bigint") - 1 if not weight else F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - value
-    ranked = dealt.withColumn("__inner", inner)
-    cond = None
-    t = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)], base)
-    for i, k in enumerate(on):
-        c = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        cond = c if cond is None else cond & c
-    joined = ranked.join(t, cond, "left")
-    return joined.withColumn(out, (F.col("__inner") + F.coalesce(F.col(base), F.lit(0))).cast("bigint")).drop("__inner", base, block, *[f"__k{i}" for i in range(len(on))])
+    # equal names on both sides, so that the join keeps the window's partitioning
+    joined = dealt.withColumn("__inner", inner).join(totals, on)
+    return joined.select(*df.columns, (F.col("__inner") + F.col(base)).cast("bigint").alias(out))
 
 
 # --------------------------------------------------------- connected components
