@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIM = 4096
-SAMPLE = 4000
+SAMPLE = 2400
 MAX_LANGUAGES = 200
 CENTROIDS = 4
 REJECT_SHARE = 0.002
@@ -75,8 +75,10 @@ def count_matrix(texts: list[str | None]) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts, dtype=np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 @dataclass
@@ -169,10 +171,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = np.zeros(DIM + 1, np.int64)
     for f, n in found.where("feature >= 0").groupBy("feature").agg(F.sum("n")).collect():
         df[f] = n
-    rows = found.where("feature < 0").orderBy("lang", "counts").limit(2 * sample).collect()
+    langs, counts = [], []  # a row at a time, so that the driver holds them once
+    for r in found.where("feature < 0").orderBy("lang", "counts").limit(2 * sample).toLocalIterator():
+        langs.append(r.lang)
+        counts.append(np.frombuffer(r.counts, "<u2"))
     common.discard(found)
-    counts = np.stack([np.frombuffer(r.counts, "<u2") for r in rows])
-    return fit_sample([r.lang for r in rows], counts, df[:DIM], int(df[DIM]), k)
+    return fit_sample(langs, np.stack(counts), df[:DIM], int(df[DIM]), k)
 
 
 def has_letter(text_col: str = "text") -> Column:
