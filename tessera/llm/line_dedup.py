@@ -198,40 +198,51 @@ def candidate_texts(texts: DataFrame, lines: DataFrame) -> DataFrame:
     return texts.mapInArrow(step, "line bigint, id binary, text string").distinct()
 
 
-def similar(lines: list[str], threshold: float, k: int = SHINGLE):
-    """near(rest, x) for indexes of lines, by exact Jaccard similarity."""
-    h, counts = shingle_hashes(lines, k)
-    names, code = np.unique(h, return_inverse=True)
-    own = [np.unique(c) for c in np.split(code, np.cumsum(counts)[:-1])]
-    size = np.array([len(o) for o in own])
-    mark = np.zeros(len(names), bool)
-
-    def near(rest: np.ndarray, x: int) -> np.ndarray:
-        out = np.zeros(len(rest), bool)
-        fit = np.flatnonzero((size[rest] >= threshold * size[x] - 1e-9) & (size[x] >= threshold * size[rest] - 1e-9))
-        if len(fit):
-            mark[own[x]] = True
-            flat = np.concatenate([own[i] for i in rest[fit]])
-            ends = np.cumsum(size[rest[fit]])
-            shared = np.add.reduceat(mark[flat].astype(np.int64), np.concatenate([[0], ends[:-1]]))
-            mark[own[x]] = False
-            out[fit] = shared >= threshold * (size[rest[fit]] + size[x] - shared) - 1e-9
-        return out
-
-    return near
-
-
-def similar_pairs(one: list[str], two: list[str], threshold: float, k: int = SHINGLE) -> np.ndarray:
-    """Which pairs of lines are similar, for up to 2^16 pairs with one sort: codes of
+def similar_pairs(pairs: list[tuple[str, str]], threshold: float, k: int = SHINGLE) -> np.ndarray:
+    """Which pairs of lines are similar, by the exact Jaccard similarity of their
+    shingles: some thousand pairs or megabytes at a time, with one sort. Codes of
     pair, shingle and side put equal shingles of a pair next to each other."""
-    h, counts = shingle_hashes([x for pair in zip(one, two, strict=True) for x in pair], k)
-    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    code = np.sort((line >> np.uint64(1)) << np.uint64(48) | (h >> np.uint64(17)) << np.uint64(1) | (line & np.uint64(1)))
-    code = code[np.concatenate([[True], code[1:] != code[:-1]])]
-    pair = (code >> np.uint64(48)).astype(np.int64)
-    both = np.flatnonzero((code[1:] ^ code[:-1]) == 1)
-    shared = np.bincount(pair[both], minlength=len(one))
-    return shared >= threshold * (np.bincount(pair, minlength=len(one)) - shared) - 1e-9
+    out = np.zeros(len(pairs), bool)
+    at = 0
+    while at < len(pairs):
+        end, size = at, 0
+        while end < len(pairs) and end - at < 1 << 15 and (end == at or size < LINE_CHARS):
+            size += len(pairs[end][0]) + len(pairs[end][1])
+            end += 1
+        h, counts = shingle_hashes([x for pair in pairs[at:end] for x in pair], k)
+        line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+        code = np.sort((line >> np.uint64(1)) << np.uint64(48) | (h >> np.uint64(17)) << np.uint64(1) | (line & np.uint64(1)))
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+        pair = (code >> np.uint64(48)).astype(np.int64)
+        both = np.flatnonzero((code[1:] ^ code[:-1]) == 1)
+        shared = np.bincount(pair[both], minlength=end - at)
+        out[at:end] = shared >= threshold * (np.bincount(pair, minlength=end - at) - shared) - 1e-9
+        at = end
+    return out
+
+
+def set_links(sets: list[dict[bytes, str]], threshold: float) -> tuple[list[bytes], list[bytes]]:
+    """Links of candidate sets. First all members are compared with their set's
+    first one; only a set that this does not settle is searched through."""
+    pairs = [(lines[0], x) for own in sets for lines in [list(own.values())] for x in lines[1:]]
+    mark = similar_pairs(pairs, threshold)
+    a: list[bytes] = []
+    b: list[bytes] = []
+    at = 0
+    for own in sets:
+        ids = list(own)
+        near = mark[at : at + len(ids) - 1]
+        at += len(ids) - 1
+        if near.all():
+            got, roots = np.arange(1, len(ids)), np.zeros(len(ids) - 1, int)
+        elif len(ids) == 2:
+            continue
+        else:
+            lines = list(own.values())
+            got, roots = star_forest(np.arange(len(ids)), lambda rest, x, lines=lines: similar_pairs([(lines[x], lines[r]) for r in rest], threshold))
+        a += [ids[i] for i in got]
+        b += [ids[i] for i in roots]
+    return a, b
 
 
 def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,35 +250,21 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-        pairs: list[tuple[bytes, str, bytes, str]] = []
+        held: list[dict[bytes, str]] = []
         size = 0
-
-        def out(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-        def flush() -> pa.RecordBatch:
-            mark = similar_pairs([p[1] for p in pairs], [p[3] for p in pairs], threshold).tolist()
-            return out([p[0] for p, m in zip(pairs, mark, strict=True) if m], [p[2] for p, m in zip(pairs, mark, strict=True) if m])
-
         row = next(rows, None)
         while row:
             own, members = row[0], {}
             while row and row[0] == own:
                 if len(row[2]) >= SHINGLE:
                     members[row[1]] = row[2]
+                    size += len(row[2])
                 row = next(rows, None)
-            if len(members) == 2:
-                (a, x), (b, y) = members.items()
-                pairs.append((a, x, b, y))
-                size += len(x) + len(y)
-            elif len(members) > 2:
-                ids = list(members)
-                got, roots = star_forest(np.arange(len(ids)), similar(list(members.values()), threshold))
-                if len(got):
-                    yield out([ids[i] for i in got], [ids[i] for i in roots])
-            if pairs and (not row or size >= LINE_CHARS or len(pairs) == 1 << 15):
-                yield flush()
-                pairs, size = [], 0
+            if len(members) > 1:
+                held.append(members)
+            if held and (not row or size >= LINE_CHARS):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in set_links(held, threshold)], ["a", "b"])
+                held, size = [], 0
 
     return sets.repartition("set").sortWithinPartitions("set", "id").mapInArrow(step, "a binary, b binary")
 
