@@ -198,50 +198,65 @@ def candidate_texts(texts: DataFrame, lines: DataFrame) -> DataFrame:
     return texts.mapInArrow(step, "line bigint, id binary, text string").distinct()
 
 
-def similar_pairs(pairs: list[tuple[str, str]], threshold: float, k: int = SHINGLE) -> np.ndarray:
-    """Which pairs of lines are similar, by the exact Jaccard similarity of their
-    shingles: some thousand pairs or megabytes at a time, with one sort. Codes of
-    pair, shingle and side put equal shingles of a pair next to each other."""
-    out = np.zeros(len(pairs), bool)
-    at = 0
-    while at < len(pairs):
-        end, size = at, 0
-        while end < len(pairs) and end - at < 1 << 15 and (end == at or size < LINE_CHARS):
-            size += len(pairs[end][0]) + len(pairs[end][1])
-            end += 1
-        h, counts = shingle_hashes([x for pair in pairs[at:end] for x in pair], k)
-        line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-        code = np.sort((line >> np.uint64(1)) << np.uint64(48) | (h >> np.uint64(17)) << np.uint64(1) | (line & np.uint64(1)))
+class Shingled:
+    """The distinct shingles of many lines, each line's sorted, in one array."""
+
+    def __init__(self, lines: list[str], k: int = SHINGLE):
+        h, counts = shingle_hashes(lines, k)
+        line = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+        code = np.sort(line << np.uint64(44) | h >> np.uint64(20))
         code = code[np.concatenate([[True], code[1:] != code[:-1]])]
-        pair = (code >> np.uint64(48)).astype(np.int64)
-        both = np.flatnonzero((code[1:] ^ code[:-1]) == 1)
-        shared = np.bincount(pair[both], minlength=end - at)
-        out[at:end] = shared >= threshold * (np.bincount(pair, minlength=end - at) - shared) - 1e-9
-        at = end
-    return out
+        self.size = np.bincount((code >> np.uint64(44)).astype(np.int64), minlength=len(lines))
+        self.end = np.cumsum(self.size)
+        self.code = code & np.uint64((1 << 44) - 1)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.code[self.end[i] - self.size[i] : self.end[i]]
+
+    def near(self, rest: np.ndarray, x: int, threshold: float) -> np.ndarray:
+        """Which of the lines rest are as similar to line x as threshold asks."""
+        out = np.zeros(len(rest), bool)
+        size = self.size[rest]
+        fit = np.flatnonzero((size >= threshold * self.size[x] - 1e-9) & (self.size[x] >= threshold * size - 1e-9))
+        if not len(fit):
+            return out
+        chosen, own = rest[fit], self.of(x)
+        if chosen[-1] - chosen[0] + 1 == len(chosen):
+            flat = self.code[self.end[chosen[0]] - self.size[chosen[0]] : self.end[chosen[-1]]]
+        else:
+            flat = np.concatenate([self.of(i) for i in chosen])
+        at = np.searchsorted(own, flat)
+        at[at == len(own)] = 0
+        shared = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size[fit]) - size[fit])
+        out[fit] = shared >= threshold * (size[fit] + self.size[x] - shared) - 1e-9
+        return out
+
+
+def long_lines_near(lines: list[str], threshold: float):
+    """near(rest, x) that holds the shingles of two lines at a time."""
+
+    def near(rest: np.ndarray, x: int) -> np.ndarray:
+        return np.array([Shingled([lines[x], lines[r]]).near(np.array([1]), 0, threshold)[0] for r in rest])
+
+    return near
 
 
 def set_links(sets: list[dict[bytes, str]], threshold: float) -> tuple[list[bytes], list[bytes]]:
-    """Links of candidate sets. First all members are compared with their set's
-    first one; only a set that this does not settle is searched through."""
-    pairs = [(lines[0], x) for own in sets for lines in [list(own.values())] for x in lines[1:]]
-    mark = similar_pairs(pairs, threshold)
+    """Links between the lines of each set, by the exact Jaccard similarity of their
+    shingles. The sets' lines are shingled together, unless they are very long."""
     a: list[bytes] = []
     b: list[bytes] = []
-    at = 0
+    together = sum(len(x) for own in sets for x in own.values()) <= 4 * LINE_CHARS
+    s = Shingled([x for own in sets for x in own.values()]) if together else None
+    first = 0
     for own in sets:
         ids = list(own)
-        near = mark[at : at + len(ids) - 1]
-        at += len(ids) - 1
-        if near.all():
-            got, roots = np.arange(1, len(ids)), np.zeros(len(ids) - 1, int)
-        elif len(ids) == 2:
-            continue
-        else:
-            lines = list(own.values())
-            got, roots = star_forest(np.arange(len(ids)), lambda rest, x, lines=lines: similar_pairs([(lines[x], lines[r]) for r in rest], threshold))
-        a += [ids[i] for i in got]
-        b += [ids[i] for i in roots]
+        near = (lambda rest, x: s.near(rest, x, threshold)) if together else long_lines_near(list(own.values()), threshold)
+        base = first if together else 0
+        got, roots = star_forest(np.arange(base, base + len(ids)), near)
+        a += [ids[i - base] for i in got]
+        b += [ids[i - base] for i in roots]
+        first += len(ids)
     return a, b
 
 
