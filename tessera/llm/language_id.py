@@ -88,11 +88,11 @@ class Model:
     centroids: np.ndarray
     floor: np.ndarray  # the cosine under which a centroid rejects
 
-    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Centroid, cosine and rejection of each text."""
         at, score, far = [], [], []
         for i in range(0, len(texts), CHUNK):
-            counts = count_matrix(texts[i : i + CHUNK])
+            counts = count_matrix(texts.slice(i, CHUNK).to_pylist())
             s = weighted(counts, self.idf) @ self.centroids.T
             k = s.argmax(axis=1)
             v = s[np.arange(len(k)), k]
@@ -150,10 +150,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             take = batch.column(2).to_numpy(zero_copy_only=False)
-            for i in range(0, len(texts), CHUNK):
-                m = count_matrix(texts[i : i + CHUNK])
+            for i in range(0, batch.num_rows, CHUNK):
+                m = count_matrix(batch.column(0).slice(i, CHUNK).to_pylist())
                 df += (m > 0).sum(axis=0)
                 docs += len(m)
                 own = np.flatnonzero(take[i : i + CHUNK])
@@ -201,7 +200,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             if not batch.num_rows:
                 continue
             ok = batch.column(n - 2).to_numpy(zero_copy_only=False).astype(bool)
-            at, score, far = model.predict(batch.column(n - 1).to_pylist())
+            at, score, far = model.predict(batch.column(n - 1))
             lang = np.where(ok, names[at], "und")
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n - 2)), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(~ok | far)], [f.name for f in schema])
 

@@ -19,7 +19,7 @@ from array import array
 
 import numpy as np
 
-CACHE = 900_000
+CACHE = 350_000
 LONG_PIECE = 256
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
