@@ -10,12 +10,12 @@ lines one occurrence stays: the first by doc_id, then position.
 2. Distinct lines are entered under their band keys, 16 bytes a posting; texts are
    not shuffled here. Members of each posting of two or more are candidates; equal
    sets of members from several bands count once.
-3. A bitmap of fixed size names the candidate lines, so that only their texts go
-   to the shuffle that brings sets together. There the exact similarity of
+3. A bitmap of fixed size names the candidate lines; the second scan writes all
+   lines' places, and the texts of those only, which then meet their sets. There the exact similarity of
    shingle sets decides, and each set gives a forest of links, not all pairs.
    Sets over POSTING_CAP are dealt to blocks and every pair of blocks is compared.
 4. Links go to a distributed union-find.
-5. Occurrences of lines that repeat or have links (again by a bitmap) are joined
+5. Places of lines that repeat or have links (again by a bitmap) are joined
    with their component, and all but the first are dropped. Documents that lose
    nothing are not shuffled.
 
@@ -54,11 +54,21 @@ PRIME = 0x9E3779B97F4A7C15
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
+def _mix32(h: np.ndarray) -> np.ndarray:
+    """In place."""
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
+
+
 def _probes() -> np.ndarray:
     rng = np.random.default_rng(20)
     return np.stack([rng.permutation(BINS) for _ in range(64)])
@@ -68,27 +78,38 @@ PROBES = _probes()
 BAND_SALT = _mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(PRIME)) | np.uint64(1)
 
 
-def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all shingles of all lines, and how many each line has."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def windows(lines: list[str], k: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial codes of all k characters in a row within a line, as whole numbers
+    of a kind, and how many each line has."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    counts = np.maximum(size - k + 1, 0)
-    p, width = PRIME, 1
+    p, width, bits = PRIME, 1, np.dtype(kind).itemsize * 8
     while width < k:  # windows of twice the width from two of them
-        code = code[: len(code) - width] * np.uint64(p) + code[width:]
-        p, width = p * p % (1 << 64), 2 * width
-    starts = np.cumsum(size) - size
-    first = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(starts - first, counts)
-    return _mix(code[at]), counts
+        code = code[: len(code) - width] * kind(p % (1 << bits)) + code[width:]
+        p, width = p * p, 2 * width
+    within = np.ones(len(code), bool)
+    last = (np.cumsum(size)[:, None] - np.arange(1, k)).ravel()  # starts that run into the next line
+    if size.min(initial=k) < k - 1:
+        last = last[(np.arange(1, k) <= size[:, None]).ravel()]
+    within[last[(last >= 0) & (last < len(code))]] = False
+    return code[within], np.maximum(size - k + 1, 0)
+
+
+def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of all lines, and how many each line has."""
+    code, counts = windows(lines, k, np.uint64)
+    return _mix(code), counts
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """lines x BANDS keys; every line has SHINGLE characters at least."""
-    h, counts = shingle_hashes(lines)
-    slot = np.repeat(np.arange(len(lines)) * BINS, counts) + ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    """lines x BANDS keys; every line has SHINGLE characters at least. A shingle's
+    hash falls into the bin of its range and counts there by its size."""
+    h, counts = windows(lines, SHINGLE, np.uint32)
+    h = _mix32(h)
+    slot = np.repeat(np.arange(0, len(lines) * BINS, BINS), counts)
+    slot += (h >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16)
     sig = np.full(len(lines) * BINS, EMPTY, np.uint32)
-    np.minimum.at(sig, slot, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    np.minimum.at(sig, slot, h)
     sig = sig.reshape(-1, BINS)
     full = sig.copy()
     row, col = np.nonzero(sig == EMPTY)
@@ -181,23 +202,6 @@ def candidate_sets(postings: DataFrame, cap: int = POSTING_CAP, rows: int | None
     return sets
 
 
-def candidate_texts(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line, id, text) of the distinct lines that the bitmap lets through."""
-    bits = texts.sparkSession.sparkContext.broadcast(common.bitmap_bytes(common.key_bitmap(lines, "line", BITMAP_LOG2), BITMAP_LOG2))
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(bits.value, np.uint8)
-        for found in _batches(batches):
-            ids = [line_id(x) for x in found]
-            short = short_ids(ids)
-            pos = short & ((1 << BITMAP_LOG2) - 1)
-            there = np.flatnonzero(bitmap[pos >> 3] >> (pos & 7) & 1).tolist()
-            if there:
-                yield pa.RecordBatch.from_arrays([pa.array(short[there]), pa.array([ids[i] for i in there], pa.binary()), pa.array([found[i] for i in there], pa.string())], ["line", "id", "text"])
-
-    return texts.mapInArrow(step, "line bigint, id binary, text string").distinct()
-
-
 class Shingled:
     """The distinct shingles of many lines, each line's sorted, in one array."""
 
@@ -284,22 +288,36 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sets.repartition("set").sortWithinPartitions("set", "id").mapInArrow(step, "a binary, b binary")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, id) of all lines but blank ones."""
+def occurrences(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, text_key, pos, id, line, text) of all lines but blank ones; text is
+    there only for lines that the bitmap of candidates lets through, and once for
+    the equal lines of some hundred documents."""
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_bytes(common.key_bitmap(candidates, "line", BITMAP_LOG2), BITMAP_LOG2))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, pos, ids = [], [], []
-            for text in batch.column(2):
-                own = [(i, line_id(x)) for i, x in enumerate((text.as_py() or "").split("\n")) if x.strip(BLANK)]
-                counts.append(len(own))
-                pos += [i for i, _ in own]
-                ids += [x for _, x in own]
-            row = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(pos, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_key", "pos", "id"])
+        bitmap = np.frombuffer(bits.value, np.uint8)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                counts, pos, ids, lines = [], [], [], []
+                for text in batch.column(2):
+                    own = [(i, x) for i, x in enumerate((text.as_py() or "").split("\n")) if x.strip(BLANK)]
+                    counts.append(len(own))
+                    pos += [i for i, _ in own]
+                    lines += [x for _, x in own]
+                ids = [line_id(x) for x in lines]
+                short = short_ids(ids)
+                at = short & ((1 << BITMAP_LOG2) - 1)
+                there = np.zeros(len(ids), bool)
+                there[np.unique(short, return_index=True)[1]] = True
+                there &= (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
+                texts = pa.array([x if t else None for x, t in zip(lines, there.tolist(), strict=True)], pa.string())
+                row = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array(short), texts], ["doc_id", "text_key", "pos", "id", "line", "text"])
 
     key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return key.mapInArrow(step, T.StructType([key.schema["doc_id"], key.schema["text_key"], T.StructField("pos", T.IntegerType()), T.StructField("id", T.BinaryType())]))
+    added = T._parse_datatype_string("pos int, id binary, line bigint, text string").fields
+    return key.mapInArrow(step, T.StructType([key.schema["doc_id"], key.schema["text_key"], *added]))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -312,12 +330,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = candidate_sets(postings, rows=2 * rows)
     common.release(spark)
 
-    texts = candidate_texts(src.select("text"), sets.select("line"))
+    occ = common.materialise(occurrences(src, sets.select("line")), "lines")
+    texts = occ.where("text is not null").select("line", "id", "text").distinct()
     links = verified_links(sets.join(texts, "line").select("set", "id", "text"))
     comp = common.connected_components(links, rows)
     common.release(spark)
 
-    occ = common.materialise(occurrences(src), "lines")
+    occ = occ.select("doc_id", "text_key", "pos", "id")
     repeated = occ.groupBy("id").count().where("count > 1").select("id").unionByName(comp.select(F.col("node").alias("id")))
     bitmap = common.materialise(common.key_bitmap(repeated.select(F.xxhash64("id").alias("k")), "k", BITMAP_LOG2), "bitmap", rows=0)
     chosen = common.in_bitmap(occ.withColumn("k", F.xxhash64("id")), bitmap, "k", BITMAP_LOG2).drop("k")
