@@ -99,3 +99,17 @@ def role_tags(c: Column | str) -> Column:
 
 def last_int(c: Column | str) -> Column:
     return F.try_element_at(F.regexp_extract_all(col(c), F.lit(r"(-?\d+)"), F.lit(1)), F.lit(-1)).cast("decimal(38,0)").cast("bigint")
+
+
+def state_key(c: Column | str, prefix: str = "_orig_mod.") -> Column:
+    """A parameter's name without a compiler's prefix, which goes once."""
+    k = col(c)
+    return F.when(F.startswith(k, F.lit(prefix)), F.substr(k, F.lit(len(prefix) + 1))).otherwise(k)
+
+
+def kept_key(c: Column | str, drop: list[str]) -> Column:
+    """Whether a parameter's name has none of the suffixes to drop."""
+    ok = F.lit(True)
+    for s in drop:
+        ok = ok & ~F.endswith(col(c), F.lit(s))
+    return ok

@@ -26,12 +26,18 @@ def byte_tokens(c: Column | str) -> Column:
     return F.arrow_udf(_bytes, "array<int>")(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
 
-def _blake2b(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else "val" if int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") % 10_000 < 200 else "train" for t in texts.to_pylist()], pa.string())
+def _blake2b(values: pa.Array) -> pa.Array:
+    def side(v: str | bytes | None) -> str | None:
+        if v is None:
+            return None
+        data = v.encode() if isinstance(v, str) else bytes(v)
+        return "val" if int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") % 10_000 < 200 else "train"
+
+    return pa.array([side(v) for v in values.to_pylist()], pa.string())
 
 
 def blake2b_split(c: Column | str) -> Column:
-    """Split by BLAKE2b of 64 bits, little-endian, at two percent."""
+    """Split by BLAKE2b of 64 bits, little-endian, at two percent; of texts or bytes."""
     return F.arrow_udf(_blake2b, "string")(c)
 
 
@@ -81,3 +87,8 @@ def tail(ids: Column, n: int) -> Column:
 
 def total(ids: Column) -> Column:
     return F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def decoded_split(ids: Column, path: str, head: int = 2048) -> Column:
+    """The split of a chunk of ids by the text of its first ones."""
+    return blake2b_split(library_texts(path)(F.slice(ids, 1, head)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import md5_word
-from tessera.operators.ordered import ranked
+from tessera.operators.ordered import ranked, running_sums
 
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
@@ -21,6 +21,21 @@ def normalised(weights: dict[str, float]) -> dict[str, float]:
     return {k: w / total for k, w in weights.items()}
 
 
+def enabled(weights: dict[str, float], flags: dict[str, bool]) -> dict[str, float]:
+    """Sources in use: all if no flag is set, else the flagged; none without weight."""
+    chosen = weights if not any(flags.values()) else {k: w for k, w in weights.items() if flags.get(k)}
+    return {k: w for k, w in chosen.items() if w > 0}
+
+
+def source_weights(names: list[str], weights: list[float]) -> dict[str, float]:
+    """Weights by source; there must be one for each, and not all zero."""
+    if len(names) != len(weights):
+        raise ValueError(f"{len(weights)} weights for {len(names)} sources")
+    if sum(weights) <= 0:
+        raise ValueError("weights sum to zero")
+    return normalised(dict(zip(names, weights, strict=True)))
+
+
 def arrivals(df: DataFrame, source: str, rank: str, weights: dict[str, int]) -> DataFrame:
     """Adds the whole-number arrival `at`, distinct over all rows; sources of no weight go."""
     live = {k: w for k, w in weights.items() if w > 0}
@@ -56,3 +71,23 @@ def repeat(df: DataFrame, order: str, times: int) -> DataFrame:
     """Each row `times` times; adds rep and ord, the order after repeating."""
     n = df.count()
     return ranked(df, order, "__rn").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("ord", F.col("rep").cast("bigint") * n + F.col("__rn") - 1).drop("__rn")
+
+
+def mixed_splits(tables: dict[str, dict[str, DataFrame]], order: str, weights: dict[str, float], seed: int, targets: dict[str, int], n: str, strict: bool = True) -> dict[str, DataFrame]:
+    """For each split its sources mixed at random (val by seed + 999) up to its token
+    target. tables: source -> split -> rows. A source without a split is an error,
+    or left out where not strict."""
+    out = {}
+    for split, target in targets.items():
+        have = {s: t[split] for s, t in tables.items() if split in t}
+        if strict and len(have) < len(tables):
+            raise ValueError(f"no {split} in {sorted(set(tables) - set(have))}")
+        rows = None
+        for s, df in have.items():
+            own = df.withColumn("source", F.lit(s))
+            rows = own if rows is None else rows.unionByName(own)
+        timed = random_arrival(rows, "source", order, {s: weights[s] for s in have}, seed + (999 if split == "val" else 0))
+        # arrivals to whole numbers, so that the running sum is dealt to blocks
+        at = timed.withColumn("__at", (F.col("t") * F.lit(float(1 << 30))).cast("bigint"))
+        out[split] = running_sums(at, "__at", {"running": F.col(n)}).where(F.col("running") - F.col(n) < target).drop("__at", "t")
+    return out

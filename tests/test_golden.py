@@ -179,3 +179,17 @@ def test_episodes_hold_their_answers(spark):
         assert r.prompt.split("LOG BEGIN\n")[1].split("\nLOG END")[0].count("\n") % 128 == 127
     for r in synthetic.needles(spark, 3, 600).collect():
         assert r.answer in r.prompt and len(r.prompt.encode()) >= 536
+
+
+def test_state_keys(spark):
+    assert value(spark, X.state_key(F.lit("_orig_mod._orig_mod.w"))) == "_orig_mod.w"
+    assert value(spark, X.kept_key(F.lit("a.inv_freq"), ["inv_freq"])) is False
+    assert value(spark, X.kept_key(F.lit("a.weight"), ["inv_freq"])) is True
+
+
+def test_splits_of_bytes_and_of_decoded_ids(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    df = spark.range(300).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("t"))
+    rows = df.select(K.blake2b_split(F.col("t")).alias("a"), K.blake2b_split(F.col("t").cast("binary")).alias("b"), K.decoded_split(K.library_tokens(path)("t"), path).alias("c")).collect()
+    assert all(r.a == r.b == r.c for r in rows) and {r.a for r in rows} == {"train", "val"}

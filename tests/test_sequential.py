@@ -116,3 +116,23 @@ def test_random_arrivals_follow_weights(spark):
 def test_repeat(spark):
     out = mix.repeat(spark.createDataFrame([(5,), (9,)], "i bigint"), "i", 3).orderBy("ord").collect()
     assert [(r.rep, r.i, r.ord) for r in out] == [(k, i, 2 * k + j) for k in range(3) for j, i in enumerate((5, 9))]
+
+
+def test_sources_in_use():
+    w = {"a": 0.5, "b": 0.0, "c": 0.3}
+    assert mix.enabled(w, {}) == {"a": 0.5, "c": 0.3}
+    assert mix.enabled(w, {"c": True}) == {"c": 0.3}
+    assert mix.source_weights(["a", "b"], [1, 3]) == {"a": 0.25, "b": 0.75}
+    for bad in ([1], [0, 0]):
+        with pytest.raises(ValueError):
+            mix.source_weights(["a", "b"], bad)
+
+
+def test_mixed_splits(spark):
+    df = spark.range(200).select(F.col("id").alias("i"), F.lit(10).cast("bigint").alias("n"))
+    tables = {"a": {"train": df, "val": df}, "b": {"train": df}}
+    with pytest.raises(ValueError):
+        mix.mixed_splits(tables, "i", {"a": 1.0, "b": 3.0}, 1, {"train": 995, "val": 200}, "n")
+    out = mix.mixed_splits(tables, "i", {"a": 1.0, "b": 3.0}, 1, {"train": 995, "val": 200}, "n", strict=False)
+    assert out["train"].count() == 100 and out["val"].count() == 20
+    assert 60 <= out["train"].where("source = 'b'").count() <= 90
