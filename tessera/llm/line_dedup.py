@@ -46,7 +46,7 @@ BINS = BANDS * ROWS
 THRESHOLD = 0.8
 BLANK = " \t\r\x0b\x0c"
 LINE_BATCH = 2000
-LINE_CHARS = 1 << 21
+LINE_CHARS = 1 << 20
 BITMAP_LOG2 = 26
 EMPTY = np.uint32(0xFFFFFFFF)
 PRIME = 0x9E3779B97F4A7C15
