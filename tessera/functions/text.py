@@ -98,7 +98,8 @@ def role_tags(c: Column | str) -> Column:
 
 
 def last_int(c: Column | str) -> Column:
-    return F.try_element_at(F.regexp_extract_all(col(c), F.lit(r"(-?\d+)"), F.lit(1)), F.lit(-1)).cast("decimal(38,0)").cast("bigint")
+    """The last whole number; null if there is none or it passes 64 bits."""
+    return F.try_element_at(F.regexp_extract_all(col(c), F.lit(r"(-?\d+)"), F.lit(1)), F.lit(-1)).try_cast("bigint")
 
 
 def state_key(c: Column | str, prefix: str = "_orig_mod.") -> Column:

@@ -59,7 +59,7 @@ SELECT id, a, b, ['+', '-', '*'][o + 1] AS op, CASE o WHEN 0 THEN a + b WHEN 1 T
     "filter_lang_ci": "SELECT doc_id, lang FROM documents WHERE lower(lang) IN ('en', 'de')",
     "filter_lang_counts": "SELECT count(*) FILTER (lang IN ('en', 'fr')) AS kept, count(*) FILTER (lang NOT IN ('en', 'fr')) AS skipped FROM documents",
     "truncate_chars": f"SELECT doc_id, substring(trim(text, {WHITE}), 1, 200) AS text FROM documents",
-    "first_truthy": f"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN substring(text, 1, 20) END AS content, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 30) END AS t, 'code ' || doc_id AS code FROM documents)
+    "first_truthy": f"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN text END AS content, CASE WHEN doc_id % 3 = 0 THEN text END AS t, 'code ' || doc_id AS code FROM documents)
 SELECT doc_id, trim(coalesce(nullif(content, ''), nullif(t, ''), code), {WHITE}) AS picked FROM c WHERE trim(coalesce(nullif(content, ''), nullif(t, ''), code), {WHITE}) <> ''""",
     "normalize_role": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' WHEN role = 'assistant' THEN 'assistant' ELSE 'system' END AS role FROM conversations",
     "append_eos": "SELECT doc_id, strlen(text) + 1 AS n_tokens, 256 AS last FROM documents WHERE text <> ''",
@@ -96,7 +96,7 @@ SELECT doc_id, lang, CASE WHEN NOT late THEN "to" WHEN train_full THEN 'val' ELS
     "bpe_pair_counts": r"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS word FROM documents) GROUP BY word)
 SELECT substring(word, i, 1) AS "left", substring(word, i + 1, 1) AS "right", sum(n)::BIGINT AS count FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM w) GROUP BY ALL""",
     "pack_blocks": f"WITH {IDS} SELECT p // {BLOCK} AS block_id, count(*) AS n, sum(x)::BIGINT AS token_sum, min_by(x, p) AS first, max_by(x, p) AS last FROM stream GROUP BY 1 HAVING count(*) = {BLOCK}",
-    "next_token_pairs": f"WITH {IDS} SELECT p // {BLOCK} AS block_id, (p % {BLOCK})::INT AS pos, x, y FROM (SELECT p, x, lead(x) OVER (ORDER BY p) AS y FROM stream WHERE p < 3 * {BLOCK} + 1) WHERE p < 3 * {BLOCK} AND p % {BLOCK} < {BLOCK} - 1",
+    "next_token_pairs": f"WITH {IDS}, q AS (SELECT p // {BLOCK} AS block_id, p % {BLOCK} AS pos, x::BIGINT AS x, lead(x) OVER (ORDER BY p)::BIGINT AS y FROM stream) SELECT block_id, count(*) AS pairs, sum(x * y)::BIGINT AS xy, sum((pos + 1) * (x + 3 * y))::BIGINT AS weighed FROM q WHERE pos < {BLOCK} - 1 AND block_id < {TOTAL} GROUP BY block_id",
     "sample_with_replacement": f"SELECT range AS sample_no, ('0x' || substr(md5('7:1:0:' || range), 1, 8))::BIGINT % {TOTAL} AS block_id FROM range({TOTAL} // 2)",
     "resume_offset": f"SELECT range AS sample_no, ('0x' || substr(md5('7:1:0:' || range), 1, 8))::BIGINT % {TOTAL} AS block_id FROM range({TOTAL} // 2) WHERE range >= 24",
     "shard_by_rank": f"WITH {SHUFFLED} SELECT pos % 4 AS rank, pos // 4 AS sample_no, block_id FROM o WHERE pos < {TOTAL} // 4 * 4",
@@ -112,7 +112,7 @@ SELECT conv_id, replace(replace(replace(replace(t, 'SYSTEM: ', '<|system|>' || c
     "history_truncate": f"WITH {TURNS}, s AS (SELECT conv_id, turn, sum(strlen(r)) OVER w AS s, row_number() OVER w AS k FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) SELECT conv_id, turn FROM s WHERE s <= 512 OR k = 1",
     "tail_tokens": f"WITH {SIZED}, {BYTES} SELECT doc_id, count(*) AS n, sum(x)::BIGINT AS token_sum FROM bytes JOIN sized USING (doc_id) WHERE i >= n - 1 - 256 GROUP BY doc_id",
     "recent_distinct": f"WITH {SIZED}, {BYTES} SELECT doc_id, count(DISTINCT x) AS n_distinct FROM bytes JOIN sized USING (doc_id) WHERE i >= n - 1 - 256 GROUP BY doc_id",
-    "pretty_piece": "SELECT doc_id, ' ' || substring(text, 1, 200) || chr(10) AS text FROM documents",
+    "pretty_piece": "SELECT doc_id, ' ' || text || chr(10) AS text FROM documents",
     "token_totals": f"""WITH k AS (SELECT doc_id, lang, trim(text, {WHITE}) AS t FROM documents WHERE trim(text, {WHITE}) <> '' QUALIFY row_number() OVER (PARTITION BY trim(text, {WHITE}) ORDER BY doc_id) = 1)
 SELECT CASE WHEN ('0x' || substr(md5(t), 1, 8))::BIGINT % 10000 < 200 THEN 'val' ELSE 'train' END AS split, lang, count(*) AS docs, sum(strlen(t) + 1)::BIGINT AS tokens FROM k GROUP BY ALL""",
     "block_count": f"SELECT sum(strlen(text) + 1)::BIGINT AS total_tokens, sum(strlen(text) + 1)::BIGINT // {BLOCK} AS blocks FROM documents",
@@ -140,7 +140,7 @@ r AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS UNBOUND
 SELECT vec_id, i::INT AS i, round(a * cos(t) - b * sin(t), 6) AS value FROM a UNION ALL SELECT vec_id, (i + half)::INT, round(b * cos(t) + a * sin(t), 6) FROM a""",
     "logsumexp_ce": f"WITH {VECTORS}, m AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m FROM c) SELECT vec_id, round(max(m) + ln(sum(exp(x - m))) - max(x) FILTER (i = label), 6) AS loss FROM m GROUP BY vec_id",
     "factored_second_moment": f"WITH {VECTORS} SELECT CASE WHEN grouping(vec_id) = 0 THEN 'row' WHEN grouping(i) = 0 THEN 'col' ELSE 'all' END AS axis, coalesce(vec_id, i, -1)::BIGINT AS idx, round(sum(x * x), 3) AS sum_sq FROM c GROUP BY GROUPING SETS ((vec_id), (i), ())",
-    "last_int": r"""WITH d AS (SELECT doc_id AS id, right(text, 200) AS t FROM documents UNION ALL VALUES (-1, 'a -12 b 7'), (-2, '3-4'), (-3, 'none'))
-SELECT id, regexp_extract_all(t, '-?\d+')[-1]::HUGEINT::BIGINT AS value FROM d""",
+    "last_int": r"""WITH d AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL VALUES (-1, 'a -12 b 7'), (-2, '3-4'), (-3, 'none'))
+SELECT id, TRY_CAST(regexp_extract_all(t, '-?\d+')[-1] AS BIGINT) AS value FROM d""",
     "stream_totals": f"WITH {SIZED} SELECT side AS split, count(*) AS docs, sum(n)::BIGINT AS tokens FROM sized GROUP BY side",
 }

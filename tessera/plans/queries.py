@@ -188,7 +188,7 @@ def truncate_chars(spark, d):
 
 @query
 def first_truthy(spark, d):
-    c = docs(spark, d).select("doc_id", F.expr("case doc_id % 4 when 0 then '' when 1 then '  ' when 2 then substring(text, 1, 20) end").alias("content"), F.expr("case when doc_id % 3 = 0 then substring(text, 1, 30) end").alias("t"), F.concat(F.lit("code "), F.col("doc_id").cast("string")).alias("code"))
+    c = docs(spark, d).select("doc_id", F.expr("case doc_id % 4 when 0 then '' when 1 then '  ' when 2 then text end").alias("content"), F.expr("case when doc_id % 3 = 0 then text end").alias("t"), F.concat(F.lit("code "), F.col("doc_id").cast("string")).alias("code"))
     return c.select("doc_id", X.first_truthy("content", "t", "code").alias("picked")).where("picked <> ''")
 
 
@@ -360,7 +360,10 @@ def pack_blocks(spark, d):
 
 @query
 def next_token_pairs(spark, d):
-    return pack.next_token_pairs(pack.pack_blocks(tokens(spark, d), "doc_id", "ids", BLOCK).where("block_id < 3"))
+    """Pairs of all blocks, summed up by block."""
+    pairs = pack.next_token_pairs(pack.pack_blocks(tokens(spark, d), "doc_id", "ids", BLOCK))
+    x, y, at = (F.col(c).cast("bigint") for c in ("x", "y", "pos"))
+    return pairs.groupBy("block_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(x * y).alias("xy"), F.sum((at + 1) * (x + 3 * y)).alias("weighed"))
 
 
 def n_blocks(spark: SparkSession, d: str) -> int:
@@ -468,7 +471,7 @@ def recent_distinct(spark, d):
 
 @query
 def pretty_piece(spark, d):
-    marked = F.replace(F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit("Ġ")), F.lit("\n"), F.lit("Ċ"))
+    marked = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("Ġ")), F.lit("\n"), F.lit("Ċ"))
     return docs(spark, d).select("doc_id", X.pretty_piece(F.concat(F.lit("▁"), marked, F.lit("\r\n"))).alias("text"))
 
 
@@ -629,7 +632,7 @@ def factored_second_moment(spark, d):
 @query
 def last_int(spark, d):
     fixed = spark.createDataFrame([(-1, "a -12 b 7"), (-2, "3-4"), (-3, "none")], "id bigint, text string")
-    return docs(spark, d).select(F.col("doc_id").alias("id"), "text").unionByName(fixed).select("id", X.last_int(F.right("text", F.lit(200))).alias("value"))
+    return docs(spark, d).select(F.col("doc_id").alias("id"), "text").unionByName(fixed).select("id", X.last_int("text").alias("value"))
 
 
 # ---------------------------------------------------------------- streaming
