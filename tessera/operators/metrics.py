@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import running_minima, trailing
+
 
 def finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -27,14 +29,12 @@ def metric_or_average(buckets: DataFrame, bucket: str, metric: str) -> DataFrame
 
 def running_best(df: DataFrame, series: str, order: str, value: str) -> DataFrame:
     """Rows under all before them in their series."""
-    w = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.min(value).over(w)
-    return df.withColumn("__best", best).where(F.col("__best").isNull() | (F.col(value) < F.col("__best"))).drop("__best")
+    out = running_minima(df, order, value, "__best", (series,))
+    return out.where(F.col("__best").isNull() | (F.col(value) < F.col("__best"))).drop("__best")
 
 
 def trailing_mean(df: DataFrame, series: str, order: str, value: str, rows: int = 100) -> DataFrame:
-    w = Window.partitionBy(series).orderBy(order).rowsBetween(1 - rows, Window.currentRow)
-    return df.withColumn("mean", F.avg(value).over(w))
+    return trailing(df, order, rows, "mean", lambda: F.avg(value), (series,))
 
 
 def throughput(df: DataFrame, series: str, ts: str, order: str, tokens: int) -> DataFrame:

@@ -6,6 +6,8 @@ few) are summed up, and each block is summed on its own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,30 @@ def running_sums(df: DataFrame, order: str, values: dict[str, Column], keys: tup
     return out.select(*df.columns, *[(F.col(f"__s_{n}") + F.col(f"__b_{n}")).cast("bigint").alias(n) for n in values])
 
 
+def running_minima(df: DataFrame, order: str, value: str, out: str, keys: tuple[str, ...] = (), blocks: int = BLOCKS) -> DataFrame:
+    """Adds the least value of the rows before; null for the first."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = 1 if lo is None else (hi - lo) // blocks + 1
+    on = [*keys, "__g"]
+    dealt = df.withColumn("__g", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("bigint"))
+    least = dealt.groupBy(*on).agg(F.min(value).alias("__m"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    before = least.select(*on, F.min("__m").over(w).alias("__b"))
+    own = Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("__o", F.min(value).over(own)).join(before, on).select(*df.columns, F.least("__o", "__b").alias(out))
+
+
+def trailing(df: DataFrame, order: str, rows: int, out: str, agg: Callable[[], Column], keys: tuple[str, ...] = (), block: int = 10_000) -> DataFrame:
+    """Adds an aggregate of each row and the rows - 1 before it. Rows are dealt to
+    blocks by their number; each block also gets the end of the one before."""
+    numbered = ranked(df, order, "__rn", keys).withColumn("__rn", F.col("__rn") - 1)
+    block = max(block, rows)
+    own = numbered.withColumns({"__b": F.expr(f"__rn div {block}"), "__own": F.lit(True)})
+    end = numbered.where(F.col("__rn") % block > block - rows).withColumns({"__b": F.expr(f"__rn div {block} + 1"), "__own": F.lit(False)})
+    w = Window.partitionBy(*keys, "__b").orderBy("__rn").rowsBetween(1 - rows, Window.currentRow)
+    return own.unionByName(end).withColumn(out, agg().over(w)).where("__own").select(*df.columns, out)
+
+
 def ranked(df: DataFrame, order: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Row numbers from 1; the order column has no ties within a key."""
     return running_sums(df, order, {out: F.lit(1).cast("bigint")}, keys)

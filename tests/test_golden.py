@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import tokens as K
 from tessera.operators import chat, logits, metrics, pack
-from tessera.operators.ordered import slices, spans
+from tessera.operators.ordered import running_minima, slices, spans, trailing
 from tessera.sources import readers, sinks, synthetic
 
 
@@ -193,3 +193,13 @@ def test_splits_of_bytes_and_of_decoded_ids(spark):
     df = spark.range(300).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("t"))
     rows = df.select(K.blake2b_split(F.col("t")).alias("a"), K.blake2b_split(F.col("t").cast("binary")).alias("b"), K.decoded_split(K.library_tokens(path)("t"), path).alias("c")).collect()
     assert all(r.a == r.b == r.c for r in rows) and {r.a for r in rows} == {"train", "val"}
+
+
+def test_trailing_and_minima_across_blocks(spark):
+    rng = random.Random(8)
+    xs = [rng.randrange(1000) for _ in range(300)]
+    df = spark.createDataFrame([(i * 7, x, "s") for i, x in enumerate(xs)], "o bigint, x bigint, k string")
+    got = {r.o // 7: r.m for r in trailing(df, "o", 10, "m", lambda: F.sum("x"), ("k",), block=25).collect()}
+    assert got == {i: sum(xs[max(0, i - 9) : i + 1]) for i in range(300)}
+    low = {r.o // 7: r.m for r in running_minima(df, "o", "x", "m", blocks=9).collect()}
+    assert low == {i: min(xs[:i]) if i else None for i in range(300)}
