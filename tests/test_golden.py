@@ -203,3 +203,12 @@ def test_trailing_and_minima_across_blocks(spark):
     assert got == {i: sum(xs[max(0, i - 9) : i + 1]) for i in range(300)}
     low = {r.o // 7: r.m for r in running_minima(df, "o", "x", "m", blocks=9).collect()}
     assert low == {i: min(xs[:i]) if i else None for i in range(300)}
+
+
+def test_kth_value_narrows_down(spark):
+    rng = random.Random(9)
+    xs = [rng.choice([0.5, 0.5, rng.random(), rng.gauss(0, 100)]) for _ in range(700)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    for k in (1, 2, 350, 400, 699, 700):
+        assert metrics.kth_value(df, "x", k, bins=8, few=5) == sorted(xs)[k - 1]
+    assert metrics.kth_value(df, "x", 701) is None and metrics.kth_value(df.limit(0), "x", 1) is None
