@@ -20,6 +20,7 @@ from array import array
 import numpy as np
 
 CACHE = 350_000
+MET = 1 << 23
 LONG_PIECE = 256
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -36,12 +37,31 @@ _RUNS = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f"]
 _encoders: dict[str, Encoder] = {}
 
 
+class Met:
+    """Whether a piece has been asked for before, so that those that come once, the
+    most by far, don't fill the caches. Forgets all when half its bits are set."""
+
+    def __init__(self) -> None:
+        self.bits, self.n = bytearray(MET), 0
+
+    def again(self, piece: bytes | str) -> bool:
+        at = hash(piece) % MET
+        if self.bits[at]:
+            return True
+        self.bits[at] = 1
+        self.n += 1
+        if self.n > MET // 2:
+            self.bits, self.n = bytearray(MET), 0
+        return False
+
+
 class Pieces(dict):
     """Ids of pieces, found out when first asked for."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.whole = encoder.library
+        self.met = Met()
         self.model = encoder.tokenizer.model
         self.code = "H" if encoder.dtype.itemsize == 2 else "I"
         self.drops_space = encoder.kind == "space dropped"
@@ -56,7 +76,7 @@ class Pieces(dict):
             ids = self[piece[:-1]] + self[piece[-1:]]  # a stop or comma after a letter starts a piece of its own
         else:
             ids = self.find(piece.decode() if self.drops_space else piece)
-        if len(piece) <= LONG_PIECE:
+        if len(piece) <= LONG_PIECE and self.met.again(piece):
             self[piece] = ids
         return ids
 
@@ -98,7 +118,7 @@ class Spaced(dict):
         else:
             text = piece if piece[0] == "\n" else " " + piece
             ids = self.pieces.find(text)
-        if len(piece) <= LONG_PIECE:
+        if len(piece) <= LONG_PIECE and self.pieces.met.again(piece):
             self[piece] = ids
         return ids
 
