@@ -8,9 +8,11 @@ rounds, for all nodes of a level together. Only these sums come to the driver:
 leaves x 2^16 at most.
 
 Points with equal coordinates are ordered by the text's CRC and then by doc_id.
-A group of equal texts is not cut if setting the cut beside it moves it by no
-more than `slack` of a shard; larger groups, which may hold a third of all rows,
-are cut by doc_id. Shards' sizes thus differ by about that slack.
+A group of equal texts is not cut: the cut goes beside it where that moves it by no
+more than `slack` of a shard; else the group goes whole to a side that has room for
+it, and the cut moves through the other points until both sides are right again.
+Only a group that fits neither side, which may hold a third of all rows, is cut, by
+doc_id. Shards' sizes thus differ by about that slack.
 
 Null texts have no bytes (size 1, CRC 0). Rows that repeat doc_id and text can't
 be told apart and stay together. An empty table gives an empty result.
@@ -55,6 +57,16 @@ def _search(points: DataFrame, coord: Column, ranges: dict[int, tuple[int, int]]
     return out
 
 
+PINS = "p int, pv bigint, pt bigint, to_left boolean"
+
+
+def _unpinned(points: DataFrame, pins: list[tuple]) -> DataFrame:
+    if not pins:
+        return points
+    table = points.sparkSession.createDataFrame(pins, PINS)
+    return points.join(F.broadcast(table), (F.col("node") == F.col("p")) & (F.col("__v") == F.col("pv")) & (F.col("tie") == F.col("pt")), "left_anti")
+
+
 def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLACK) -> DataFrame:
     """points: doc_id, weight, tie and the (bigint) dims, materialised. Adds the
     column leaf, 0 to leaves - 1."""
@@ -77,24 +89,32 @@ def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLAC
         coord = F.lit(None).cast("bigint")
         for i, d in enumerate(dims):
             coord = F.when(F.col("node").isin([n for n in axis if axis[n] == i]), F.col(d)).otherwise(coord)
-        cuts = {}
-        at = _search(tree, coord, ranges, goal)
-        chosen = spark.createDataFrame([(n, c) for n, (c, _, _) in at.items()] or [(-1, 0)], "node int, v bigint")
-        tied = tree.withColumn("__v", coord).join(F.broadcast(chosen), "node").where("__v = v").drop("v", "__v")
-        ties = _search(tied, F.col("tie"), {n: (0, (1 << 32) - 1) for n in at}, {n: goal[n] - at[n][1] for n in at})
-        within = {}
-        for n, (t, below, w) in ties.items():
-            left = goal[n] - at[n][1] - below  # what the cut still wants of the group of equal texts
-            if min(left, w - left) <= slack * unit[n]:
-                cuts[n] = (at[n][0], t if left <= w - left else t + 1, -(1 << 63))
-            else:
-                within[n] = left
+        cuts, pins, within = {}, [], {}
+        room = {r.node: r.w for r in stats}
+        while todo := [n for n in goal if n not in cuts and n not in within]:
+            free = _unpinned(tree.withColumn("__v", coord).where(F.col("node").isin(todo)), pins)
+            at = _search(free, F.col("__v"), {n: ranges[n] for n in todo}, goal)
+            chosen = spark.createDataFrame([(n, c) for n, (c, _, _) in at.items()], "node int, v bigint")
+            tied = free.join(F.broadcast(chosen), "node").where("__v = v").drop("v")
+            ties = _search(tied, F.col("tie"), {n: (0, (1 << 32) - 1) for n in at}, {n: goal[n] - at[n][1] for n in at})
+            for n, (t, below, w) in ties.items():
+                left = goal[n] - at[n][1] - below  # what the cut still wants of the group of equal texts
+                if min(left, w - left) <= slack * unit[n]:
+                    cuts[n] = (at[n][0], t if left <= w - left else t + 1, -(1 << 63))
+                elif w <= goal[n] or w <= room[n] - goal[n]:  # whole to a side that can take it
+                    to_left = w <= goal[n] and (left >= w - left or w > room[n] - goal[n])
+                    pins.append((n, at[n][0], t, to_left))
+                    room[n] -= w
+                    goal[n] -= w * to_left
+                else:
+                    within[n] = (at[n][0], t, left)
         if within:
-            group = spark.createDataFrame([(n, ties[n][0]) for n in within], "node int, t bigint")
-            rest = tied.join(F.broadcast(group), "node").where("tie = t")
+            group = spark.createDataFrame([(n, v, t) for n, (v, t, _) in within.items()], "node int, v bigint, t bigint")
+            rest = tree.withColumn("__v", coord).join(F.broadcast(group), "node").where("__v = v and tie = t")
             span = {r.node: (r.a, r.b) for r in rest.groupBy("node").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).collect()}
-            for n, (d, below, w) in _search(rest, doc, span, within).items():
-                cuts[n] = (at[n][0], ties[n][0], d if within[n] - below <= below + w - within[n] else d + 1)
+            for n, (d, below, w) in _search(rest, doc, span, {n: x[2] for n, x in within.items()}).items():
+                v, t, left = within[n]
+                cuts[n] = (v, t, d if left - below <= below + w - left else d + 1)
         rows, split = [], {}
         for n, (v, t, d) in cuts.items():
             left, right = 2 * n + 1, 2 * n + 2
@@ -110,8 +130,11 @@ def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLAC
         share |= {n: k for n, (_, k) in split.items()}
         cut_table = spark.createDataFrame(rows, "node int, axis int, v bigint, t bigint, d bigint, l int, r int") if rows else spark.createDataFrame([], "node int, axis int, v bigint, t bigint, d bigint, l int, r int")
         value = F.element_at(F.array(*dims), F.col("axis") + 1)
+        pinned = spark.createDataFrame(pins, PINS).withColumnsRenamed({"p": "node"})
         less = (value < F.col("v")) | ((value == F.col("v")) & ((F.col("tie") < F.col("t")) | ((F.col("tie") == F.col("t")) & (doc < F.col("d")))))
-        tree = tree.join(F.broadcast(cut_table), "node", "left").withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).when(less, F.col("l")).otherwise(F.col("r"))).drop("axis", "v", "t", "d", "l", "r")
+        less = F.coalesce("to_left", less)
+        tree = tree.join(F.broadcast(cut_table), "node", "left").withColumns({"pv": value, "pt": F.col("tie")}).join(F.broadcast(pinned), ["node", "pv", "pt"], "left")
+        tree = tree.withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).when(less, F.col("l")).otherwise(F.col("r"))).drop("axis", "v", "t", "d", "l", "r", "pv", "pt", "to_left")
     leaf_table = spark.createDataFrame(list(first.items()), "node int, leaf int")
     return tree.join(F.broadcast(leaf_table), "node").drop("node")
 
