@@ -4,6 +4,7 @@ single task, connected components and fixed-size key bitmaps."""
 from __future__ import annotations
 
 import gc
+import json
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -70,6 +71,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table from the driver's rows without Python on the executors."""
+    names = [x.split()[0] for x in schema.split(",")]
+    data = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ", ".join(x.strip().replace(" ", ": ", 1) for x in schema.split(","))
+    return spark.sql(f"select inline(from_json(:data, 'array<struct<{fields}>>'))", args={"data": data})
+
+
 def fresh(columns: Sequence[str], name: str) -> str:
     """A column name that does not clash with those there."""
     taken = {c.lower() for c in columns}

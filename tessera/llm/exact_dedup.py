@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counts = [tuple(r) for r in links.groupBy("prefix").count().collect()]  # 2^MAX_DEPTH rows at most
     depth, slots = directory(counts, capacity)
-    slot_table = spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int")
+    slot_table = common.local_table(spark, list(enumerate(slots)), "slot int, bucket int")
     owned = links.withColumn("slot", F.shiftright("prefix", MAX_DEPTH - depth)).join(F.broadcast(slot_table), "slot").drop("slot", "prefix")
     index = owned.repartition("bucket").sortWithinPartitions("bucket", "h", "sha")
     index = common.materialise(index, "index")

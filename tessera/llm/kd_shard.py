@@ -37,7 +37,7 @@ def _search(points: DataFrame, coord: Column, ranges: dict[int, tuple[int, int]]
     while open_:
         steps = {n: max(1, -(-(hi - lo + 1) >> BIN_BITS)) for n, (lo, hi) in open_.items()}
         spark = points.sparkSession
-        look = spark.createDataFrame([(n, lo, hi, steps[n]) for n, (lo, hi) in open_.items()], "node int, lo bigint, hi bigint, step bigint")
+        look = common.local_table(spark, [(n, lo, hi, steps[n]) for n, (lo, hi) in open_.items()], "node int, lo bigint, hi bigint, step bigint")
         inside = points.withColumn("__c", coord).join(F.broadcast(look), "node").where("__c >= lo and __c <= hi")
         sums = inside.groupBy("node", F.expr("(__c - lo) div step").alias("bin")).agg(F.sum("weight").alias("w")).collect()
         for n, (lo, hi) in list(open_.items()):
@@ -63,7 +63,7 @@ PINS = "p int, pv bigint, pt bigint, to_left boolean"
 def _unpinned(points: DataFrame, pins: list[tuple]) -> DataFrame:
     if not pins:
         return points
-    table = points.sparkSession.createDataFrame(pins, PINS)
+    table = common.local_table(points.sparkSession, pins, PINS)
     return points.join(F.broadcast(table), (F.col("node") == F.col("p")) & (F.col("__v") == F.col("pv")) & (F.col("tie") == F.col("pt")), "left_anti")
 
 
@@ -94,7 +94,7 @@ def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLAC
         while todo := [n for n in goal if n not in cuts and n not in within]:
             free = _unpinned(tree.withColumn("__v", coord).where(F.col("node").isin(todo)), pins)
             at = _search(free, F.col("__v"), {n: ranges[n] for n in todo}, goal)
-            chosen = spark.createDataFrame([(n, c) for n, (c, _, _) in at.items()], "node int, v bigint")
+            chosen = common.local_table(spark, [(n, c) for n, (c, _, _) in at.items()], "node int, v bigint")
             tied = free.join(F.broadcast(chosen), "node").where("__v = v").drop("v")
             ties = _search(tied, F.col("tie"), {n: (0, (1 << 32) - 1) for n in at}, {n: goal[n] - at[n][1] for n in at})
             for n, (t, below, w) in ties.items():
@@ -109,7 +109,7 @@ def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLAC
                 else:
                     within[n] = (at[n][0], t, left)
         if within:
-            group = spark.createDataFrame([(n, v, t) for n, (v, t, _) in within.items()], "node int, v bigint, t bigint")
+            group = common.local_table(spark, [(n, v, t) for n, (v, t, _) in within.items()], "node int, v bigint, t bigint")
             rest = tree.withColumn("__v", coord).join(F.broadcast(group), "node").where("__v = v and tie = t")
             span = {r.node: (r.a, r.b) for r in rest.groupBy("node").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).collect()}
             for n, (d, below, w) in _search(rest, doc, span, {n: x[2] for n, x in within.items()}).items():
@@ -128,14 +128,14 @@ def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLAC
             first.pop(n)
         first |= {n: f for n, (f, _) in split.items()}
         share |= {n: k for n, (_, k) in split.items()}
-        cut_table = spark.createDataFrame(rows, "node int, axis int, v bigint, t bigint, d bigint, l int, r int") if rows else spark.createDataFrame([], "node int, axis int, v bigint, t bigint, d bigint, l int, r int")
+        cut_table = common.local_table(spark, rows, "node int, axis int, v bigint, t bigint, d bigint, l int, r int")
         value = F.element_at(F.array(*dims), F.col("axis") + 1)
-        pinned = spark.createDataFrame(pins, PINS).withColumnsRenamed({"p": "node"})
+        pinned = common.local_table(spark, pins, PINS).withColumnsRenamed({"p": "node"})
         less = (value < F.col("v")) | ((value == F.col("v")) & ((F.col("tie") < F.col("t")) | ((F.col("tie") == F.col("t")) & (doc < F.col("d")))))
         less = F.coalesce("to_left", less)
         tree = tree.join(F.broadcast(cut_table), "node", "left").withColumns({"pv": value, "pt": F.col("tie")}).join(F.broadcast(pinned), ["node", "pv", "pt"], "left")
         tree = tree.withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).when(less, F.col("l")).otherwise(F.col("r"))).drop("axis", "v", "t", "d", "l", "r", "pv", "pt", "to_left")
-    leaf_table = spark.createDataFrame(list(first.items()), "node int, leaf int")
+    leaf_table = common.local_table(spark, list(first.items()), "node int, leaf int")
     return tree.join(F.broadcast(leaf_table), "node").drop("node")
 
 
