@@ -12,7 +12,7 @@ A group of equal texts is not cut: the cut goes beside it where that moves it by
 more than `slack` of a shard; else the group goes whole to a side that has room for
 it, and the cut moves through the other points until both sides are right again.
 Only a group that fits neither side, which may hold a third of all rows, is cut, by
-doc_id. Shards' sizes thus differ by about that slack.
+doc_id (and one met after MAX_PINS others were set aside for the same cut). Shards' sizes thus differ by about that slack.
 
 Null texts have no bytes (size 1, CRC 0). Rows that repeat doc_id and text can't
 be told apart and stay together. An empty table gives an empty result.
@@ -27,6 +27,8 @@ from tessera.llm import common
 
 BIN_BITS = 16
 SLACK = 0.002
+#: groups that may be set aside for one cut, each at the cost of another search
+MAX_PINS = 8
 
 
 def _search(points: DataFrame, coord: Column, ranges: dict[int, tuple[int, int]], goal: dict[int, float]) -> dict[int, tuple[int, float, float]]:
@@ -97,11 +99,13 @@ def kd_tree(points: DataFrame, dims: list[str], leaves: int, slack: float = SLAC
             chosen = common.local_table(spark, [(n, c) for n, (c, _, _) in at.items()], "node int, v bigint")
             tied = free.join(F.broadcast(chosen), "node").where("__v = v").drop("v")
             ties = _search(tied, F.col("tie"), {n: (0, (1 << 32) - 1) for n in at}, {n: goal[n] - at[n][1] for n in at})
+            groups = common.local_table(spark, [(n, t) for n, (t, _, _) in ties.items()], "node int, t bigint")
+            several = {r.node for r in tied.join(F.broadcast(groups), "node").where("tie = t").groupBy("node").count().where("count > 1").collect()}
             for n, (t, below, w) in ties.items():
                 left = goal[n] - at[n][1] - below  # what the cut still wants of the group of equal texts
-                if min(left, w - left) <= slack * unit[n]:
+                if n not in several or min(left, w - left) <= slack * unit[n]:
                     cuts[n] = (at[n][0], t if left <= w - left else t + 1, -(1 << 63))
-                elif w <= goal[n] or w <= room[n] - goal[n]:  # whole to a side that can take it
+                elif (w <= goal[n] or w <= room[n] - goal[n]) and sum(p[0] == n for p in pins) < MAX_PINS:  # whole to a side that can take it
                     to_left = w <= goal[n] and (left >= w - left or w > room[n] - goal[n])
                     pins.append((n, at[n][0], t, to_left))
                     room[n] -= w
