@@ -6,7 +6,7 @@ lines one occurrence stays: the first by doc_id, then position.
 
 1. Each line's shingles are hashed once; a signature is the least hash in each of
    BANDS x ROWS bins (one-permutation MinHash, empty bins filled from others by
-   fixed probes). At similarity 0.8 a pair shares a band with probability 0.995.
+   fixed probes). At similarity 0.8 a pair shares a band with probability 0.998.
 2. Distinct lines are entered under their band keys, 16 bytes a posting; texts are
    not shuffled here. Members of each posting of two or more are candidates; equal
    sets of members from several bands count once.
@@ -41,7 +41,7 @@ from tessera.llm import common
 from tessera.llm.postings import POSTING_CAP, runs, star_forest
 
 SHINGLE = 8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 THRESHOLD = 0.8
 BLANK = " \t\r\x0b\x0c"
