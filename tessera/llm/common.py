@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- shared folder
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    made once and put into the session."""
+    Where the setting is absent and the session is local (tests on one machine) a
+    temporary folder is made once and put into the session; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,9 +58,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
+    """Delete the written tables below these frames, which nothing reads any more."""
     for table in tables:
-        remove(table.sparkSession, *{f.rpartition("/")[0] for f in table.inputFiles()})
+        root = f"{shared_root(table.sparkSession)}/tessera/".split(":", 1)[-1].lstrip("/")
+        folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+        remove(table.sparkSession, *{f for f in folders if f.split(":", 1)[-1].lstrip("/").startswith(root)})
 
 
 def release(spark: SparkSession) -> None:
@@ -87,6 +92,27 @@ def fresh(columns: Sequence[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(columns: Sequence[str], results: Sequence[str]) -> list[str]:
+    """The columns that no result replaces; names are compared as Spark does, without case."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def numbered(columns: Sequence[str]) -> list[Column]:
+    """The columns as c0, c1, ..., so that they can't clash with an operator's own."""
+    return [quoted(c).alias(f"c{i}") for i, c in enumerate(columns)]
+
+
+def renamed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """numbered undone for the first columns of df."""
+    return df.toDF(*columns, *df.columns[len(columns) :])
+
+
 # ------------------------------------------------------------------------ ranks
 
 RANK_BLOCKS = 2048
@@ -158,17 +184,80 @@ def connected_components(edges: DataFrame, rows: int | None = None, max_rounds:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+# ------------------------------------------------------------------- hot keys
+
+HOT_KEYS = 1024
+
+
+def by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
+    """rows (total of them) joined with facts, a table of one row a key that says how
+    many rows each key has. Keys of over total / HOT_KEYS rows, so HOT_KEYS at most,
+    are broadcast and their rows stay where they are; no task of the shuffle for the
+    others gets a larger group than that. Keys hold no nulls."""
+    hot = F.col(size) * HOT_KEYS > total
+    few = facts.where(hot).drop(size)
+    cold = rows.join(F.broadcast(few.select(*keys)), list(keys), "left_anti").join(facts.where(~hot).drop(size), list(keys))
+    return rows.join(F.broadcast(few), list(keys)).unionByName(cold)
+
+
+# ------------------------------------------------------------------ ranges
+
+RANGE_BITS = 16
+MAX_RANGES = 1 << 15
+
+
+def range_edges(rows: DataFrame, key: str, weight: str, ranges: int) -> list[int]:
+    """The last key of each range but the last, so that ranges of a whole-number key
+    hold about equal weights.
+
+    Sums of bins come to the driver, a bin being a key without its last bits; bins
+    of over half a range are looked into again. That makes 2^RANGE_BITS sums a
+    round, or 16 for each bin looked into: under 2^20 for MAX_RANGES ranges. A key is
+    not cut, rows without one are left out."""
+    ranges = min(ranges, MAX_RANGES)
+    rows = rows.where(F.col(key).isNotNull())
+    lo, hi, total = rows.agg(F.min(key), F.max(key), F.sum(weight)).first()
+    if ranges < 2 or not total:
+        return []
+    cut, held = 0, rows.withColumn("__k", F.col(key))
+    while (hi >> cut) - (lo >> cut) >= 1 << RANGE_BITS:
+        cut += 1
+    done: dict[int, int] = {}  # last key of a bin: its weight
+    while True:
+        sums = held.groupBy(F.shiftright("__k", cut).alias("b")).agg(F.sum(weight).alias("w")).collect()
+        heavy = [r.b for r in sums if r.w > total / (2 * ranges)] if cut else []
+        again = set(heavy)
+        done |= {((r.b + 1) << cut) - 1: r.w for r in sums if r.b not in again}
+        if not heavy:
+            break
+        chosen = local_table(rows.sparkSession, [(b,) for b in heavy], "__b bigint")
+        held = held.withColumn("__b", F.shiftright("__k", cut)).join(F.broadcast(chosen), "__b", "left_semi").drop("__b")
+        cut = max(0, cut - max(4, RANGE_BITS - len(heavy).bit_length()))
+    edges, sum_, last = [], 0, None
+    for b, w in sorted(done.items()):
+        if last is not None and sum_ + w / 2 > total / ranges * (len(edges) + 1) and len(edges) < ranges - 1:
+            edges.append(last)
+        sum_, last = sum_ + w, b
+    return edges
+
+
 # ------------------------------------------------------------------ key bitmaps
 
 BITMAP_LOG2 = 24
+MAX_BITMAP_LOG2 = 28
+
+
+def bitmap_log2(keys: int) -> int:
+    """Bits for a bitmap that at most an eighth of is set, within 128 KB to 32 MB: the
+    bound that lets it be broadcast. Over 2^25 keys it lets more rows through."""
+    return min(MAX_BITMAP_LOG2, max(20, (8 * max(1, keys) - 1).bit_length()))
 
 
 def key_bitmap(keys: DataFrame, column: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
     """One-hash Bloom filter of a long column, as rows (seg, bits) of 4 KB each.
 
-    Its size is fixed by log2_bits (2 MB at 24), whatever the number of keys, so
-    it may be broadcast. Many keys fill it and it then lets more rows through;
-    it never loses one."""
+    Its size is fixed by log2_bits (2 MB at 24), so it may be broadcast. Many keys
+    fill it and it then lets more rows through; it never loses one."""
     pos = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
     return keys.select(F.shiftright(pos, 15).alias("seg"), pos.bitwiseAND(F.lit(32767)).alias("__p")).groupBy("seg").agg(F.bitmap_construct_agg("__p").alias("bits"))
 
@@ -186,20 +275,22 @@ def in_bitmap(df: DataFrame, bitmap: DataFrame, column: str, log2_bits: int = BI
     native, without a shuffle of df."""
     pos = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
     seg, off = F.shiftright(pos, 15), pos.bitwiseAND(F.lit(32767)).cast("int")
-    byte = F.conv(F.hex(F.expr("substring(__bits, __off div 8 + 1, 1)")), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(__bm_bits, __bm_off div 8 + 1, 1)")), 16, 10).cast("int")
     own = df.columns
-    joined = df.withColumns({"__seg": seg, "__off": off}).join(F.broadcast(bitmap.select(F.col("seg").alias("__seg"), F.col("bits").alias("__bits"))), "__seg", "left")
-    there = F.col("__bits").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, __off % 8)")) != 0)
-    return joined.where(F.coalesce(there if inside else ~there, F.lit(not inside))).select(*own)
+    side = F.broadcast(bitmap.select(F.col("seg").alias("__bm_seg"), F.col("bits").alias("__bm_bits")))
+    joined = df.withColumns({"__bm_at": seg, "__bm_off": off}).join(side, F.col("__bm_at") == F.col("__bm_seg"), "left")
+    there = F.col("__bm_bits").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, __bm_off % 8)")) != 0)
+    return joined.where(F.coalesce(there if inside else ~there, F.lit(not inside))).select(*map(quoted, own))
 
 
-def without(df: DataFrame, ids: DataFrame, id_col: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
+def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id is not in ids (one column, nulls count as a value).
     Only rows that a bitmap of the ids lets through are shuffled."""
     key = fresh(df.columns, "__key")
     ids = materialise(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
-    bitmap = materialise(key_bitmap(ids.select(F.xxhash64("__gone").alias("k")), "k", log2_bits), "bitmap", rows=0)
-    keyed = df.withColumn(key, F.xxhash64(id_col))
-    rivals = in_bitmap(keyed, bitmap, key, log2_bits)
-    left = rivals.join(ids, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return in_bitmap(keyed, bitmap, key, log2_bits, inside=False).unionByName(left).drop(key)
+    bits = bitmap_log2(ids.count())
+    bitmap = materialise(key_bitmap(ids.select(F.xxhash64("__gone").alias("k")), "k", bits), "bitmap", rows=0)
+    keyed = df.withColumn(key, F.xxhash64(quoted(id_col)))
+    rivals = in_bitmap(keyed, bitmap, key, bits)
+    left = rivals.join(ids, quoted(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return in_bitmap(keyed, bitmap, key, bits, inside=False).unionByName(left).drop(key)
