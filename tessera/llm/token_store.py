@@ -8,13 +8,17 @@ upper half is noted in 32 bits, so the i-th value is found by looking through a
 few words, without a table of 64-bit offsets. A fixed footer ends the file.
 
 Documents are encoded where they are read; their ids are dealt by doc_id range to
-shards (as many as the texts' bytes ask for), sorted, and written in files of at
-most `roll` ids (a longer document has its own). Only the range bounds, a count
-for each shard, come to the driver. Files get their final names by a move; the
+shards (as many as the texts' bytes ask for, ranges holding about equal bytes),
+sorted, and written in files of at most `roll` ids (a longer document has its own).
+Only the range bounds, one for each shard, come to the driver. Files get their final names by a move; the
 manifest, a table, is committed last, and readers follow it.
 
 Null texts count as empty; every document ends with end_id. Rows are in order of
-doc_id, then ids; null doc_ids come first. An empty table writes no files.
+doc_id, then ids; null doc_ids come first. Any doc_id of 64 bits will do. Rows that
+repeat a doc_id, or all of a row, are written each; those of one doc_id lie in one
+shard. Very long texts are held whole by the task that encodes them and make a file
+of their own. Other columns are not read, so their names can't clash. An empty table
+writes no files.
 """
 
 from __future__ import annotations
@@ -38,46 +42,46 @@ SAMPLE = 256
 ROLL = 1 << 24
 SHARD_BYTES = 24 << 20
 BATCH = 64
+READ_DOCS = 1 << 13
 
 
 class EliasFano:
     """A non-decreasing sequence of whole numbers from 0."""
 
-    HEAD = struct.Struct("<QQI")
+    HEAD = struct.Struct("<QQI")  # values, the last one, lower bits of each
 
-    def __init__(self, n: int, universe: int, low_bits: int, lower: np.ndarray, upper: np.ndarray, samples: np.ndarray):
-        self.n, self.universe, self.low_bits, self.lower, self.upper, self.samples = n, universe, low_bits, lower, upper, samples
+    def __init__(self, n: int, last: int, low_bits: int, lower: np.ndarray, upper: np.ndarray, samples: np.ndarray):
+        self.n, self.last, self.low_bits, self.lower, self.upper, self.samples = n, last, low_bits, lower, upper, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
-        universe = int(v[-1]) + 1 if n else 1
-        low = max(0, (universe // n).bit_length() - 1) if n else 0
+        last = int(v[-1]) if n else 0
+        low = max(0, ((last + 1) // n).bit_length() - 1) if n else 0
         bits = (v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1) if low else np.zeros((n, 0), np.uint64)
         lower = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         at = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
         flags = np.zeros((int(at[-1]) // 64 + 1) * 64 if n else 0, np.uint8)
         flags[at] = 1
-        return cls(n, universe, low, lower, np.packbits(flags, bitorder="little"), at[::SAMPLE].astype("<u4"))
+        return cls(n, last, low, lower, np.packbits(flags, bitorder="little"), at[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return self.HEAD.pack(self.n, self.universe, self.low_bits) + struct.pack("<QQ", len(self.lower), len(self.upper)) + self.lower.tobytes() + self.upper.tobytes() + self.samples.tobytes()
+        return self.HEAD.pack(self.n, self.last, self.low_bits) + struct.pack("<QQ", len(self.lower), len(self.upper)) + self.lower.tobytes() + self.upper.tobytes() + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, universe, low = cls.HEAD.unpack_from(data)
+        n, last, low = cls.HEAD.unpack_from(data)
         a, b = struct.unpack_from("<QQ", data, cls.HEAD.size)
         at = cls.HEAD.size + 16
         raw = np.frombuffer(data, np.uint8)
-        return cls(n, universe, low, raw[at : at + a], raw[at + a : at + a + b], raw[at + a + b :].view("<u4"))
+        return cls(n, last, low, raw[at : at + a], raw[at + a : at + a + b], raw[at + a + b :].view("<u4"))
 
-    def select(self, i: int) -> int:
-        """The i-th value."""
+    def _place(self, i: int) -> int:
+        """Where the i-th set bit of the upper half is: from the sample before it on."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        pos = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
+        pos, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         words = self.upper.view("<u8")
         w = pos // 64
         word = int(words[w]) >> (pos % 64) << (pos % 64)
@@ -87,8 +91,11 @@ class EliasFano:
             word = int(words[w])
         for _ in range(left):
             word &= word - 1
-        high = w * 64 + (word & -word).bit_length() - 1 - i
-        return high << self.low_bits | self._low(i)
+        return w * 64 + (word & -word).bit_length() - 1
+
+    def select(self, i: int) -> int:
+        """The i-th value."""
+        return self._place(i) - i << self.low_bits | self._low(i)
 
     def _low(self, i: int) -> int:
         if not self.low_bits:
@@ -97,13 +104,20 @@ class EliasFano:
         part = self.lower[a // 8 : (a + self.low_bits + 7) // 8]
         return int.from_bytes(part.tobytes(), "little") >> a % 8 & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little")).astype(np.uint64) - np.arange(self.n, dtype=np.uint64)
+    def values(self, i: int = 0, j: int | None = None) -> np.ndarray:
+        """The i-th to the (j - 1)-th value; nothing outside of them is decoded."""
+        j = self.n if j is None else j
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        a, b = self._place(i), self._place(j - 1)
+        first = a // 8
+        at = np.flatnonzero(np.unpackbits(self.upper[first : b // 8 + 1], bitorder="little")) + 8 * first
+        high = (at[(at >= a) & (at <= b)] - np.arange(i, j)).astype(np.uint64)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.lower, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
-        return high << np.uint64(self.low_bits) | low
+        k = self.low_bits
+        bits = np.unpackbits(self.lower[i * k // 8 : (j * k + 7) // 8], bitorder="little")[i * k % 8 :][: (j - i) * k].reshape(j - i, k)
+        return high << np.uint64(k) | bits.astype(np.uint64) @ (np.uint64(1) << np.arange(k, dtype=np.uint64))
 
 
 class StoreWriter:
@@ -158,16 +172,21 @@ class StoreReader:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.nulls else self.low + self.docs.select(i - self.nulls)
 
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        empty = max(0, min(j, self.nulls) - i)
+        own = self.docs.values(max(0, i - self.nulls), max(0, j - self.nulls)).view(np.int64) + np.int64(self.low)  # wraps as it should
+        return pa.concat_arrays([pa.nulls(empty, pa.int64()), pa.array(own, pa.int64())])
+
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL, shard_bytes: int = SHARD_BYTES) -> str:
     """Write the store and return its folder, which holds `files` and `manifest`."""
     spark = docs.sparkSession
     out = out or common.scratch(spark, "tokens")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    bounds = src.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], F.lit(max(10_000, 20 * shards)))).first()[0] if shards > 1 else []
-    edges = np.unique(np.array(bounds or [], np.int64))
+    light = common.materialise(src.select("doc_id", (F.octet_length("text") + 16).cast("bigint").alias("n")), "sizes")
+    size = light.agg(F.sum("n")).first()[0] or 0
+    edges = np.array(common.range_edges(light, "doc_id", "n", -(-size // shard_bytes)), np.int64)
+    common.discard(light)
     sent = spark.sparkContext.broadcast(tokenizer_source(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +235,16 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False, window
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.read(name) as f:
                     r = StoreReader(f)
-                    ends = r.ends.values().astype(np.int64)
-                    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                    docs = [None] * r.nulls + (r.docs.values().astype(np.int64) + r.low).tolist()
                     i = 0
-                    while i < len(ends):
-                        j = max(i + 1, int(np.searchsorted(ends, starts[i] + window, side="right")))
-                        ids = r.read(int(starts[i]), int(ends[j - 1])).astype("<u4")
-                        parts = [ids[a - starts[i] : b - starts[i]] for a, b in zip(starts[i:j], ends[i:j], strict=True)]
-                        cols = [pa.array(docs[i:j], pa.int64()), pa.array(starts[i:j] + base), pa.array(ends[i:j] - starts[i:j]), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
+                    while i < r.documents:  # some documents at a time, `window` ids of them at most
+                        start = r.span(i)[0]
+                        ends = r.ends.values(i, min(i + READ_DOCS, r.documents)).astype(np.int64)
+                        ends = ends[: max(1, int(np.searchsorted(ends, start + window, side="right")))]
+                        j = i + len(ends)
+                        starts = np.concatenate([[start], ends[:-1]]).astype(np.int64)
+                        ids = r.read(start, int(ends[-1])).astype("<u4")
+                        parts = [ids[a - start : b - start] for a, b in zip(starts, ends, strict=True)]
+                        cols = [r.doc_ids(i, j), pa.array(starts + base), pa.array(ends - starts), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
                         if with_ids:
                             cols.append(pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64())))
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])

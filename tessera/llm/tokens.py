@@ -1,12 +1,21 @@
-"""Token ids of whole texts by a public tokenizer file, with a cache of pieces.
+"""Token ids of whole texts by the tokenizers library, with a memory of pieces.
 
-Both kinds of tokenizer known here never join characters across certain places:
-one drops white space before it looks for words, the other starts a new piece at
-any run of white space after something else. Texts are cut at these places, each
-distinct piece is encoded once by the tokenizers library and remembered, and ids
-are strung together; plain words go straight to the library's model. Texts with anything that makes the places unsafe (white space
-beyond ASCII, an added token's string), and tokenizers of any other make, go to the
-library whole. The result is the library's own for every text."""
+For the two makes of tokenizer below a text may be cut at certain places that neither
+the normaliser nor the pattern ever joins, so the library is asked once for each
+distinct piece, many of them in one call, and texts are strung together from its
+answers. A piece of ASCII letters alone is one word by either pattern and goes to the
+library's model; any other piece takes its whole chain.
+
+* "words": white space becomes one space and is dropped by the pattern, so words
+  between ASCII white space don't know of each other.
+* "space first": every match of the pattern is white space, or at most one space
+  and then none; a run of white space before a word gives up its last character.
+* In both no match goes on from a Latin-1 letter to an ASCII mark.
+
+A tokenizer counts as one of these only if its normaliser, pre-tokenizer and the
+flags of its model equal the values here to the letter; any other gets whole texts.
+So do texts that hold an added token's string or, for "space first", white space
+beyond ASCII."""
 
 from __future__ import annotations
 
@@ -14,113 +23,37 @@ import hashlib
 import json
 import os
 import re
-import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
-CACHE = 350_000
-MET = 1 << 23
+CACHE = 200_000
 LONG_PIECE = 256
-LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: how byte-level vocabularies spell bytes: those of visible Latin-1 characters as
-#: these, the others in order from U+0100
-_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-_PIECES = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+$")
-#: fixed values: code points that some engine takes for white space, beyond ASCII's six
-_ODD = [(0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2060), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
-_ODD_SPACE = [chr(c) for a, b in _ODD for c in range(a, b + 1)]
-_RUNS = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f"]
+#: The parts of the two makes of tokenizer file whose cutting places are known.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_PIECES = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL, "use_regex": False}]}
+MAKES = {"words": (_WORD_NORMALIZER, _WORD_PIECES), "space first": (None, {**_BYTE_LEVEL, "use_regex": True})}
+#: Code points that some engine takes for white space, beyond ASCII's six.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+_SPACE, _LETTERS, _MARK = r" \t\n\r\v\f", "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-`{-~]"
+_CUT = {
+    "words": re.compile(rf"{_LETTERS}(?={_MARK})|[^{_SPACE}]+"),
+    "space first": re.compile(rf" ?{_LETTERS}(?={_MARK})| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"),
+}
 
 _encoders: dict[str, Encoder] = {}
 
 
-class Met:
-    """Whether a piece has been asked for before, so that those that come once, the
-    most by far, don't fill the caches. Forgets all when half its bits are set."""
-
-    def __init__(self) -> None:
-        self.bits, self.n = bytearray(MET), 0
-
-    def again(self, piece: bytes | str) -> bool:
-        at = hash(piece) % MET
-        if self.bits[at]:
-            return True
-        self.bits[at] = 1
-        self.n += 1
-        if self.n > MET // 2:
-            self.bits, self.n = bytearray(MET), 0
-        return False
-
-
-class Pieces(dict):
-    """Ids of pieces, found out when first asked for."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.whole = encoder.library
-        self.met = Met()
-        self.model = encoder.tokenizer.model
-        self.code = "H" if encoder.dtype.itemsize == 2 else "I"
-        self.drops_space = encoder.kind == "space dropped"
-        self.stops = frozenset(b".,") if self.drops_space else frozenset(".,")
-        self.letters = frozenset(LETTERS.encode()) if self.drops_space else frozenset(LETTERS)
-
-    def __missing__(self, piece: bytes | str) -> bytes:
-        if len(self) >= CACHE:  # the pieces met first are the frequent ones
-            for p in list(self)[CACHE // 2 :]:
-                del self[p]
-        if len(piece) > 1 and piece[-1] in self.stops and piece[-2] in self.letters:
-            ids = self[piece[:-1]] + self[piece[-1:]]  # a stop or comma after a letter starts a piece of its own
-        else:
-            ids = self.find(piece.decode() if self.drops_space else piece)
-        if len(piece) <= LONG_PIECE and self.met.again(piece):
-            self[piece] = ids
-        return ids
-
-    def find(self, piece: str) -> bytes:
-        ids = self._word(piece)
-        return self.whole([piece])[0].tobytes() if ids is None else ids
-
-    def _word(self, piece: str) -> bytes | None:
-        """A piece that is one word of Latin-1 letters goes to the model itself, past
-        normaliser and regex, its bytes spelt as the vocabulary does."""
-        head, word = b"", piece
-        if not self.drops_space and piece[0] in " \n":
-            word = piece[1:]
-            if piece[0] == "\n":
-                head = self["\n"] if word else None
-        if not (word.isascii() and word.isalpha() or LATIN.fullmatch(word)) or head is None:
-            return None
-        if self.drops_space:
-            word = word.lower()
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLING)
-        if piece[0] == " ":
-            spelt = chr(SPELLING[32]) + spelt
-        return head + array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
-
-
-class Spaced(dict):
-    """Ids of pieces after a space, or of those that start with a line feed instead."""
-
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces = pieces
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            for p in list(self)[CACHE // 2 :]:
-                del self[p]
-        if len(piece) > 1 and piece[-1] in self.pieces.stops and piece[-2] in self.pieces.letters:
-            ids = self[piece[:-1]] + self.pieces[piece[-1]]
-        else:
-            text = piece if piece[0] == "\n" else " " + piece
-            ids = self.pieces.find(text)
-        if len(piece) <= LONG_PIECE and self.pieces.met.again(piece):
-            self[piece] = ids
-        return ids
+def make_of(spec: dict) -> str:
+    """The name in MAKES, or "whole"."""
+    model = spec.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and not spec.get("truncation") and not spec.get("padding") and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens") or [])
+    found = [k for k, parts in MAKES.items() if (spec.get("normalizer"), spec.get("pre_tokenizer")) == parts]
+    return found[0] if plain and found else "whole"
 
 
 class Encoder:
@@ -132,49 +65,53 @@ class Encoder:
         spec = json.loads(source)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        plain = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and sys.byteorder == "little"
-        if plain and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.kind = "space first"
-        elif plain and self._drops_space(norm, pre):
-            self.kind = "space dropped"
-        else:
-            self.kind = "whole"
-        self.pieces = Pieces(self)
-        self.spaced = Spaced(self.pieces)
-
-    @staticmethod
-    def _drops_space(norm: dict | None, pre: dict) -> bool:
-        kinds = {n["type"] for n in (norm or {}).get("normalizers", [])}
-        steps = pre.get("pretokenizers", [])
-        split = steps[0] if steps else {}
-        return "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"} and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s" in split["pattern"].get("Regex", "") and all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in steps[1:])
-
-    def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_one(self, text: str) -> np.ndarray:
-        if self.kind == "whole" or any(a in text for a in self.added):
-            return self.library([text])[0]
-        if self.kind == "space dropped":
-            pieces = text.encode().lower().split()  # ASCII letters only: the normaliser lowers them too
-        elif any(map(text.__contains__, _ODD_SPACE)):
-            return self.library([text])[0]
-        elif any(map(text.__contains__, _RUNS)) or text.strip(" \n") != text:
-            pieces = _PIECES.findall(text)
-        elif text:
-            first, *rest = text.replace("\n", " \n").split(" ")  # each of the rest follows a space or is a line's first
-            return np.frombuffer(self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest)), self.dtype)
-        else:
-            pieces = []
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), self.dtype)
+        self.kind = make_of(spec)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask(self, pieces: list[str]) -> Iterator[bytes]:
+        space = {" ": "\u0120"}  # how the vocabulary spells it; letters are spelt as they are
+        plain = [w if (w := p.lower() if self.kind == "words" else space.get(p[0], p[0]) + p[1:]).removeprefix("\u0120").isalpha() and p.isascii() else None for p in pieces]
+        code, tokenize = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model.tokenize
+        rest = iter(self.library([p for p, w in zip(pieces, plain, strict=True) if w is None]))
+        return (next(rest) if w is None else array(code, [t.id for t in tokenize(w)]).tobytes() for w in plain)
+
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None if it must not be cut."""
+        if self.kind == "words" and text.isascii():
+            text = text.lower()  # as the normaliser does; an added token's string that arises so goes whole as well
+        if self.kind == "whole" or any(a in text for a in self.added) or self.kind == "space first" and _ODD_SPACE.search(text):
+            return None
+        return _CUT[self.kind].findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encode_one(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
+        pieces = set().union(*(p for p in cut if p is not None))
+        if len(self.known) > CACHE:  # what is asked for again in time moves on, the rest is forgotten
+            self.known, self.older = {}, self.known
+        new = pieces.difference(self.known)
+        back = new.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in back)
+        asked = list(new.difference(back))
+        self.known.update(zip(asked, self.ask(asked), strict=True))
+        whole = iter(self.library([t for t, p in zip(texts, cut, strict=True) if p is None]))
+        get = self.known.__getitem__
+        out = [np.frombuffer(next(whole) if p is None else b"".join(map(get, p)), self.dtype) for p in cut]
+        for p in asked:
+            if len(p) > LONG_PIECE:
+                del self.known[p]
+        return out
+
+    def encode_one(self, text: str) -> np.ndarray:
+        return self.encode([text])[0]
 
 
 def encoder(source: str) -> Encoder:
-    """One encoder a Python worker, so its cache outlives a task."""
+    """One encoder a Python worker, so what it knows outlives a task."""
     key = hashlib.sha256(source.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()
