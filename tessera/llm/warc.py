@@ -1,7 +1,7 @@
 """Operator 8, a deterministic sharded WARC writer, and its reader.
 
 Pages are dealt by ranges of their id to shards (as many as the payloads' bytes
-ask for) and sorted; each shard is written in gzip files, a member for each
+ask for, ranges holding about equal bytes) and sorted; each shard is written in gzip files, a member for each
 record, that roll once their compressed size passes `roll_bytes`. All headers are
 made anew: Content-Length, block and payload digests, and record ids, made of the
 page id, the payload's digest and the row's number among equal ones. Nothing depends on the clock, the
@@ -15,8 +15,9 @@ them, so payloads move once.
 
 Null payloads count as empty. Rows that repeat a page id each get a record; of
 those with the same payload too, all but one revisit it. Null page ids come first
-and never serve as the response of a group that has another. Very long payloads
-pass through one record's buffer. An empty table writes no files.
+and never serve as the response of a group that has another. Ties of page id and
+payload go by url. Very long payloads pass through one record's buffer. Other columns
+are not read, so their names can't clash. An empty table writes no files.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from tessera.llm import common
 from tessera.llm.files import Folder
 
 REVISIT_BYTES = 1000
-ROLL_BYTES = 64 << 20
-SHARD_BYTES = 32 << 20
+ROLL_BYTES = 16 << 20
+SHARD_BYTES = 128 << 20
+HEAD_BYTES = 700
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1\r\n"
@@ -82,11 +84,9 @@ def write_warc(pages: DataFrame, out: str | None = None, id_col: str = "page_id"
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     light = common.materialise(src.select("page_id", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n")), "payloads")
-    size, bounds = light.agg(F.sum("n")).first()[0] or 0, []
-    shards = max(1, -(-size // shard_bytes))
-    if shards > 1:
-        bounds = light.agg(F.percentile_approx("page_id", [i / shards for i in range(1, shards)], F.lit(max(10_000, 20 * shards)))).first()[0] or []
-    edges = np.unique(np.array(bounds, np.int64))
+    size = light.agg(F.sum("n")).first()[0] or 0
+    weighed = light.select("page_id", (F.col("n") + HEAD_BYTES).cast("bigint").alias("n"))
+    edges = np.array(common.range_edges(weighed, "page_id", "n", -(-size // shard_bytes)), np.int64)
 
     long_ = light.where(F.col("n") >= revisit_bytes)
     kept = long_.groupBy("sha", "n").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
@@ -137,6 +137,7 @@ def write_warc(pages: DataFrame, out: str | None = None, id_col: str = "page_id"
     dealt = decisions.unionByName(records).mapInArrow(shard, f"shard int, {schema}").repartitionById(len(edges) + 1, "shard")
     ordered = dealt.sortWithinPartitions("shard", "page_id", "kind", "sha", "url")
     ordered.mapInArrow(write, "name string, shard bigint, part bigint, records bigint, bytes bigint, sha1 string").write.parquet(f"{out}/manifest")
+    common.discard(light)
     return out
 
 
