@@ -15,6 +15,7 @@ from tessera.llm import common
 #: A posting of up to this many members is compared in one place; a larger one is
 #: dealt to blocks, and every pair of blocks is compared on its own.
 POSTING_CAP = 4096
+OUT_ROWS = 1 << 14
 
 #: members (sorted, distinct) -> (member, root) arrays of a star forest
 Star = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -85,28 +86,36 @@ def _closed(k: np.ndarray, m: np.ndarray, cap: int | None) -> Iterator[tuple[str
         yield "hot" if cap and n > cap else "run", k[s : s + n], m[s : s + n]
 
 
-def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], cap: int = POSTING_CAP, rows: int | None = None) -> DataFrame:
+def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], cap: int = POSTING_CAP, rows: int | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """postings: (key, member), longs. linked(a, b) tells which members (arrays or
     a scalar) are linked. Returns (a, b), the links of a forest that joins
     exactly the members that links within postings join. rows: an estimate of
-    the distinct links, for the size of files."""
+    the distinct links, for the size of files. again: makes other postings of the
+    members (key, member) of those over cap, in which all of their links meet; they
+    are tried once before postings are compared in blocks."""
 
     def scan(limit: int | None):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
 
+            held, size = [], 0
             for kind, x, y in runs(batches, limit):
                 if kind == "pairs":
                     mark = linked(x, y)
-                    if mark.any():
-                        yield out(x[mark], y[mark], False)
+                    x, y = x[mark], y[mark]
                 elif kind == "run":
-                    got, roots = star_forest(y, linked)
-                    if len(got):
-                        yield out(got, roots, False)
+                    x, y = star_forest(y, linked)
                 else:
                     yield out(y, x, True)
+                    continue
+                held.append((x, y))
+                size += len(x)
+                if size > OUT_ROWS:
+                    yield out(*map(np.concatenate, zip(*held)), False)
+                    held, size = [], 0
+            if size:
+                yield out(*map(np.concatenate, zip(*held)), False)
 
         return step
 
@@ -115,10 +124,12 @@ def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray]
     found = common.materialise(sorted_.mapInArrow(scan(cap), schema).distinct(), "links", rows)
     links = found.where("not hot").select("a", "b")
     hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("member"))
+    if hot.isEmpty():
+        return links
+    if again:
+        return links.unionByName(posting_links(again(hot), linked, cap, rows))
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (cap // 2)).alias("n"))
     dealt = hot.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("member"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     paired = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "member")
-    if not hot.isEmpty():
-        again = paired.repartition("key").sortWithinPartitions("key", "member").mapInArrow(scan(None), schema)
-        links = links.unionByName(common.materialise(again, "links").select("a", "b"))
-    return links
+    rest = paired.repartition("key").sortWithinPartitions("key", "member").mapInArrow(scan(None), schema)
+    return links.unionByName(common.materialise(rest, "links").select("a", "b"))
