@@ -14,16 +14,24 @@ lines one occurrence stays: the first by doc_id, then position.
    lines' places, and the texts of those only, which then meet their sets. There the exact similarity of
    shingle sets decides, and each set gives a forest of links, not all pairs.
    Sets over POSTING_CAP are dealt to blocks and every pair of blocks is compared.
+   Shingles are compared as 44-bit codes first; what they link is confirmed on the
+   shingles themselves.
 4. Links go to a distributed union-find.
-5. Places of lines that repeat or have links (again by a bitmap) are joined
-   with their component, and all but the first are dropped. Documents that lose
-   nothing are not shuffled.
-
-Lines end at a line feed. Lines of white space only are left as they are. Lines of
-fewer characters than a shingle link only to equal ones. Null texts stay null.
-Documents that lose all lines stay with an empty text. Rows that repeat doc_id and
-text are one document to this operator and get the same result. Columns of docs are
-kept; n_lines and n_removed are added or replaced.
+5. The first place of each distinct line, added up on the map side, meets the line's
+   component; the first of these of each component survives. Places of lines that
+   repeat or have links (again by a bitmap) and are not among the survivors are
+   dropped: an anti-join on the place, so no line or component is a key by which rows
+   are dealt. Documents that lose nothing are not shuffled.
+
+A line is known by its MD5 digest, all 128 bits of it; postings hold the first 64, and
+a line that shares those with another joins its candidate sets, where texts decide. Lines end at a line feed. Lines
+of white space only are left as they are. Lines of fewer characters than a shingle link
+only to equal ones. Null texts stay null. Documents that lose all lines stay with an
+empty text, or what blank lines they have. Ties of a first place go by doc_id (null
+first), text hash, position; rows that repeat doc_id and text are one document to this
+operator and get the same result. Very long lines are compared two at a time. An empty
+table gives an empty result. Columns of docs are kept, whatever their names; n_lines and
+n_removed are added, or replaced if there under any case.
 """
 
 from __future__ import annotations
@@ -47,7 +55,6 @@ THRESHOLD = 0.8
 BLANK = " \t\r\x0b\x0c"
 LINE_BATCH = 2000
 LINE_CHARS = 1 << 20
-BITMAP_LOG2 = 26
 EMPTY = np.uint32(0xFFFFFFFF)
 PRIME = 0x9E3779B97F4A7C15
 
@@ -134,8 +141,9 @@ def line_id(line: str) -> bytes:
     return hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
-def short_ids(ids: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(ids), ">i8").reshape(-1, 2)[:, 0].astype(np.int64)
+def id_halves(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(ids), ">i8").reshape(-1, 2).astype(np.int64)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
@@ -156,18 +164,18 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(line, b0, b1, ...) of the distinct lines long enough to be fuzzy."""
-    names = ["line", *(f"b{i}" for i in range(BANDS))]
+    """(line, rest, b0, b1, ...) of the distinct lines long enough to be fuzzy."""
+    names = ["line", "rest", *(f"b{i}" for i in range(BANDS))]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines in _batches(batches):
             lines = [x for x in lines if len(x) >= SHINGLE]
             if lines:
                 keys = band_keys(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(short_ids([line_id(x) for x in lines])), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS))], names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, id_halves([line_id(x) for x in lines])), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS))], names)
 
     rows = texts.mapInArrow(step, ", ".join(f"{n} bigint" for n in names))
-    return rows.groupBy("line").agg(*[F.min(n).alias(n) for n in names[1:]])
+    return rows.groupBy("line", "rest").agg(*[F.first(n).alias(n) for n in names[2:]])
 
 
 def candidate_sets(postings: DataFrame, cap: int = POSTING_CAP, rows: int | None = None) -> DataFrame:
@@ -202,10 +210,15 @@ def candidate_sets(postings: DataFrame, cap: int = POSTING_CAP, rows: int | None
     return sets
 
 
+def grams(line: str, k: int = SHINGLE) -> set[str]:
+    return {line[i : i + k] for i in range(len(line) - k + 1)}
+
+
 class Shingled:
     """The distinct shingles of many lines, each line's sorted, in one array."""
 
     def __init__(self, lines: list[str], k: int = SHINGLE):
+        self.lines = lines
         h, counts = shingle_hashes(lines, k)
         line = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
         code = np.sort(line << np.uint64(44) | h >> np.uint64(20))
@@ -219,6 +232,14 @@ class Shingled:
 
     def near(self, rest: np.ndarray, x: int, threshold: float) -> np.ndarray:
         """Which of the lines rest are as similar to line x as threshold asks."""
+        out = self._near(rest, x, threshold)
+        at = np.flatnonzero(out)
+        if len(at):
+            own = grams(self.lines[x])
+            out[at] = [len(own & g) >= threshold * len(own | g) - 1e-9 for g in (grams(self.lines[i]) for i in rest[at])]
+        return out
+
+    def _near(self, rest: np.ndarray, x: int, threshold: float) -> np.ndarray:
         out = np.zeros(len(rest), bool)
         size = self.size[rest]
         fit = np.flatnonzero((size >= threshold * self.size[x] - 1e-9) & (self.size[x] >= threshold * size - 1e-9))
@@ -288,11 +309,11 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sets.repartition("set").sortWithinPartitions("set", "id").mapInArrow(step, "a binary, b binary")
 
 
-def occurrences(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, candidates: DataFrame, log2_bits: int) -> DataFrame:
     """(doc_id, text_key, pos, id, line, text) of all lines but blank ones; text is
     there only for lines that the bitmap of candidates lets through, and once for
     the equal lines of some hundred documents."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_bytes(common.key_bitmap(candidates, "line", BITMAP_LOG2), BITMAP_LOG2))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_bytes(common.key_bitmap(candidates, "line", log2_bits), log2_bits))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(bits.value, np.uint8)
@@ -306,10 +327,10 @@ def occurrences(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     pos += [i for i, _ in own]
                     lines += [x for _, x in own]
                 ids = [line_id(x) for x in lines]
-                short = short_ids(ids)
-                at = short & ((1 << BITMAP_LOG2) - 1)
+                short = id_halves(ids)[0]
+                at = short & ((1 << log2_bits) - 1)
                 there = np.zeros(len(ids), bool)
-                there[np.unique(short, return_index=True)[1]] = True
+                there[np.unique(np.frombuffer(b"".join(ids), "V16"), return_index=True)[1]] = True
                 there &= (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
                 texts = pa.array([x if t else None for x, t in zip(lines, there.tolist(), strict=True)], pa.string())
                 row = pa.array(np.repeat(np.arange(len(counts)), counts))
@@ -320,45 +341,60 @@ def occurrences(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return key.mapInArrow(step, T.StructType([key.schema["doc_id"], key.schema["text_key"], *added]))
 
 
+def surplus(places: DataFrame, components: DataFrame) -> DataFrame:
+    """places: (doc_id, text_key, pos, id). Those that are not the first of their
+    line's component; components: (node, root) of ids."""
+    place = F.struct("doc_id", "text_key", "pos")
+    firsts = places.groupBy("id").agg(F.min(place).alias("first"))
+    named = firsts.join(components, firsts.id == components.node, "left")
+    survivors = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    kept = survivors.select(F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t"), F.col("first.pos").alias("p"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")) & (F.col("pos") == F.col("p"))
+    return places.join(kept, same, "left_anti")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with shortened texts, n_lines and n_removed."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(common.quoted(id_col).alias("doc_id"), common.quoted(text_col).alias("text"))
     rows = docs.count()  # sizes the files of intermediate tables, no more
     sig = signatures(src.select("text"))
     postings = sig.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"), F.col("line").alias("member"))
     sets = candidate_sets(postings, rows=2 * rows)
     common.release(spark)
 
-    occ = common.materialise(occurrences(src, sets.select("line")), "lines")
+    members = sets.select("line").distinct()
+    occ = common.materialise(occurrences(src, members, common.bitmap_log2(members.count())), "lines")
     texts = occ.where("text is not null").select("line", "id", "text").distinct()
     links = verified_links(sets.join(texts, "line").select("set", "id", "text"))
     comp = common.connected_components(links, rows)
+    common.discard(sets)
     common.release(spark)
 
     occ = occ.select("doc_id", "text_key", "pos", "id")
     repeated = occ.groupBy("id").count().where("count > 1").select("id").unionByName(comp.select(F.col("node").alias("id")))
-    bitmap = common.materialise(common.key_bitmap(repeated.select(F.xxhash64("id").alias("k")), "k", BITMAP_LOG2), "bitmap", rows=0)
-    chosen = common.in_bitmap(occ.withColumn("k", F.xxhash64("id")), bitmap, "k", BITMAP_LOG2).drop("k")
-    rooted = chosen.join(comp, chosen.id == comp.node, "left").select("doc_id", "text_key", "pos", F.coalesce("root", "id").alias("root"))
-    rooted = common.materialise(rooted, "occurrences", 4 * rows)
-    order = F.struct("doc_id", "text_key", "pos")
-    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
-    drops = rooted.join(best, "root").where(~order.eqNullSafe(F.col("best"))).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drop"))
-    drops = common.materialise(drops.withColumn("__key", F.xxhash64("doc_id", "text_key")), "drops", rows)
-    common.discard(rooted, occ)
+    repeated = common.materialise(repeated.select(F.xxhash64("id").alias("k")), "repeated", 4 * rows)
+    bits = common.bitmap_log2(repeated.count())
+    bitmap = common.materialise(common.key_bitmap(repeated, "k", bits), "bitmap", rows=0)
+    chosen = common.in_bitmap(occ.withColumn("k", F.xxhash64("id")), bitmap, "k", bits).drop("k")
+    chosen = common.materialise(chosen, "occurrences", 4 * rows)
+    drops = surplus(chosen, comp).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drop"))
+    drops = common.materialise(drops.withColumn("key", F.xxhash64("doc_id", "text_key")), "drops", rows)
+    common.discard(chosen, occ, comp, repeated, bitmap)
     common.release(spark)
 
     # documents that lose a line meet their drops; the others pass
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*keep).withColumn("__text_key", F.xxhash64(text_col)).withColumn("__key", F.xxhash64(id_col, "__text_key"))
-    touched = common.materialise(common.key_bitmap(drops, "__key", BITMAP_LOG2), "bitmap", rows=0)
-    hit = common.in_bitmap(keyed, touched, "__key", BITMAP_LOG2)
-    missed = common.in_bitmap(keyed, touched, "__key", BITMAP_LOG2, inside=False)
-    d = drops.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), "drop")
-    joined = hit.join(d, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__text_key") == F.col("__t")), "left").select(*keep, "drop")
-    schema = T.StructType([f for f in docs.select(*keep).schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    at = keep.index(text_col)
+    keep = common.others(docs.columns, ("n_lines", "n_removed"))
+    keyed = docs.select(*common.numbered(keep), common.quoted(id_col).alias("__id"), common.quoted(text_col).alias("__text"))
+    keyed = keyed.withColumn("__text_key", F.xxhash64("__text")).withColumn("__key", F.xxhash64("__id", "__text_key"))
+    bits = common.bitmap_log2(drops.count())
+    touched = common.materialise(common.key_bitmap(drops, "key", bits), "bitmap", rows=0)
+    hit = common.in_bitmap(keyed, touched, "__key", bits)
+    missed = common.in_bitmap(keyed, touched, "__key", bits, inside=False)
+    kept = [f"c{i}" for i in range(len(keep))]
+    joined = hit.join(drops, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__text_key") == F.col("text_key")), "left").select(*kept, "drop")
+    schema = T.StructType(joined.schema.fields[:-1] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    at = next(i for i, c in enumerate(keep) if c.lower() == text_col.lower())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -372,6 +408,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], schema.names)
 
-    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("bigint")
-    return joined.mapInArrow(cut, schema).unionByName(missed.select(*keep, lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
-
+    lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size(F.split("__text", "\n"))).cast("bigint")
+    whole = missed.select(*kept, lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
+    return common.renamed(joined.mapInArrow(cut, schema).unionByName(whole), keep)
