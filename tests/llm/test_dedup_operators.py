@@ -5,10 +5,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import common, exact_dedup, line_dedup, simhash
-from tessera.llm.postings import posting_links
 
 DOCS = "doc_id bigint, text string"
 
@@ -27,18 +28,44 @@ def components(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_exact_dedup_is_brute_force(hard, empty):
-    rows = [(r.doc_id, r.text or "") for r in hard.collect()]
+def check_exact(docs, **options):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     groups = defaultdict(list)
     for i, t in rows:
         groups["".join(c for c in t if c not in " \t\n\v\f\r")].append((i, t))
     want = []
     for norm, own in groups.items():
-        keep = min(own, key=lambda x: (-len(x[1]), x[0] is None, x[0]))[0]
-        want += [(i, keep, len(own), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i, _ in own]
-    got = [tuple(r) for r in exact_dedup.exact_dedup(hard, capacity=2).collect()]
+        first, *rest = sorted(own, key=lambda x: (-len(x[1]), x[0] is None, x[0]))
+        want += [(i, first[0], len(own), k == 0, hashlib.sha256(norm.encode()).hexdigest()) for k, (i, _) in enumerate([first, *rest])]
+    got = [tuple(r) for r in exact_dedup.exact_dedup(docs, **options).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_exact_dedup_is_brute_force(spark, hard, empty):
+    check_exact(hard, capacity=2)
     assert exact_dedup.exact_dedup(empty).count() == 0
+    check_exact(spark.createDataFrame([(1, "a b"), (1, "ab"), (1, "ab"), (2, "a b"), (None, "a  b"), (None, "c"), (None, "c")], DOCS))
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    check_exact(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the  hot text").otherwise(F.concat(F.lit("t "), (F.col("id") % 900).cast("string"))).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("N")))
+
+
+def test_chains_are_taken_apart_by_bytes(spark, hard, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "text_hash", lambda norm: F.pmod(F.xxhash64(norm), F.lit(3)))
+    check_exact(hard)
+    monkeypatch.setattr(exact_dedup, "text_hash", lambda norm: F.lit(5).cast("bigint"))
+    check_exact(hard, capacity=1)
+
+
+def test_the_index_is_dealt_once_and_settled_in_its_buckets(spark, sf):
+    plans = []
+    write = common.materialise
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "materialise", lambda df, name, rows=None: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), write(df, name, rows))[1])
+        exact_dedup.exact_dedup(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    plan = dict(plans)["index"]
+    assert plan.count("hashpartitioning(bucket") == 1
 
 
 def test_directory_doubles_until_buckets_fit():
@@ -64,7 +91,8 @@ def test_fingerprints(hard, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
-def test_links_of_fingerprints_are_brute_force(spark):
+@pytest.mark.parametrize("width, cap", [(1, 4096), (2, 4096), (3, 4096), (4, 4096), (2, 4), (4, 4), (None, 4096)])
+def test_links_of_fingerprints_are_brute_force(spark, width, cap):
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(40)]
     for f in list(fps):
@@ -75,15 +103,52 @@ def test_links_of_fingerprints_are_brute_force(spark):
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    links = simhash.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), 4, len(fps), width, cap)
+    at = {s: i for i, s in enumerate(signed)}
+    got = components(len(fps), [(at[r.a], at[r.b]) for r in links.collect()])
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+@pytest.mark.parametrize("distance", [1, 4, 6])
+def test_covers_serve_every_choice_of_positions(distance):
     from itertools import combinations
 
-    rows = [(hash((at, tuple(f >> 8 * p & 255 for p in at))), s) for f, s in zip(fps, signed) for at in combinations(range(8), 4)]
-    postings = spark.createDataFrame(rows, "key bigint, member bigint")
-    for cap in (4096, 4):  # whole postings, and in blocks
-        links = posting_links(postings, simhash.linker(4), cap=cap)
-        at = {s: i for i, s in enumerate(signed)}
-        got = components(len(fps), [(at[r.a], at[r.b]) for r in links.collect()])
-        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    least = 8 - distance
+    for width in range(1, least + 1):
+        sets = simhash.cover(width, least)
+        assert all(any(set(s) <= set(x) for s in sets) for x in combinations(range(8), least))
+
+
+def test_the_tally_counts_shared_bytes():
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, 3, (500, 8)).astype(np.uint8) for _ in range(2))
+    want = [(x == y).sum() >= 5 and np.bitwise_count(x ^ y).sum() <= 3 for x, y in zip(a, b)]
+    assert simhash.linker(3)(a.view(np.int64).ravel(), b.view(np.int64).ravel()).tolist() == want
+
+
+@pytest.mark.parametrize("width", [None, 2])
+def test_components_of_documents_are_brute_force(spark, width):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(25):
+        t = rng.choices(words, k=rng.choice([3, 60, 200]))
+        for _ in range(rng.randrange(5)):
+            t = list(t)
+            t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    rows = [(i, t) for i, t in enumerate(texts + texts[:4] + ["", None, " \n"])] + [(None, texts[0])]
+    rng.shuffle(rows)
+    fps = [slow_fingerprint(t) for _, t in rows]
+    root = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min((x for x in (i, least.get(r)) if x is not None), default=None)
+    want = sorted(((i, f"{f:016x}", least[r]) for (i, _), f, r in zip(rows, fps, root)), key=repr)
+    docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], DOCS + ", fp int, `Fingerprint` string")
+    got = simhash.simhash_groups(docs, width=width)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
 def test_connected_components(spark):
@@ -143,6 +208,30 @@ def test_line_dedup_edges(hard, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    schema = "`Doc_ID` bigint, `drop` int, text string, `__d` int, `__key` int, `N_Lines` string, k int, `a.b` string, c0 int"
+    line = "one line that is in both documents"
+    docs = spark.createDataFrame([(1, 5, f"{line}\nown", 6, 7, "x", 8, "y", 9), (2, 5, f"other\n{line}", 6, 7, "x", 8, "y", 9)], schema)
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == ["Doc_ID", "drop", "text", "__d", "__key", "k", "a.b", "c0", "n_lines", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, f"{line}\nown", 6, 7, 8, "y", 9, 2, 0), (2, 5, "other", 6, 7, 8, "y", 9, 2, 1)]
+
+
+def test_lines_that_share_half_an_id(spark, monkeypatch):
+    own = line_dedup.line_id
+    monkeypatch.setattr(line_dedup, "line_id", lambda x: own("l" if x.startswith("line number 0") or x.endswith("1") else x)[:8] + own(x)[8:])
+    rows = [(i, f"line number {i} of those that are here\nthe very same line in all documents, {i % 3}") for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == brute_lines(rows)
+
+
+def test_a_hot_line_is_no_key(spark):
+    """One line in every document: its places are not gathered in one task."""
+    places = common.materialise(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(1).cast("bigint").alias("text_key"), F.lit(0).alias("pos"), F.lit(b"x").alias("id")), "places")
+    out = line_dedup.surplus(places, spark.createDataFrame([], "node binary, root binary"))
+    assert out.count() == 1999 and out.agg(F.min("doc_id")).first()[0] == 1
+
+
 def test_bands_find_similar_lines():
     rng = random.Random(2)
     found = 0

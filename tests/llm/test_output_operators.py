@@ -15,24 +15,40 @@ P = pytest.importorskip("public_tokenizers")
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 
 
+MARKS = ["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "<|", "|>", "endoftext"]
+PARTS = ["a", "b", "A", "J", "K", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'S", "'ll", "'LL", "'", "1", "²", "½", "é", "É", "é", "J̌", "≠", "́", " ", "　", "!", "…", "İ", "Σ", "ΑΣ ", "\x1c", "\x1f", "\x85", "​", "﻿", "᠎", " ", " ", "ß", "ẞ", "中", "🙂", "\x00", "\v", "\f", " the", " and,", "don't", " word.", "Ÿ", "×", "÷", "ª", "µ", "`", "~", "{", "_", "ǅ", "ﬁ", "K", "Ω", "٣", "x,y.z", "...", ",.", *MARKS]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_ids_are_the_librarys(path):
     from tokenizers import Tokenizer
 
     whole, ours = Tokenizer.from_file(path), tokens.Encoder(tokens.tokenizer_source(path))
+    assert ours.kind != "whole"
     rng = random.Random(3)
-    parts = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'ll", "1", "é", "É", "é", " ", "　", "<|endoftext|>", "<|startoftext|>", "!", "…", "İ", "Σ", "\x1c", "\x85", "​", "﻿", "ß", "中", "🙂", "\x00", "\v", " the", " and,", "don't", " word.", "Ÿ", "×"]
-    for _ in range(3000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
-        assert ours.encode_one(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(6000)] + ["a <|EndOfText|> b", "", "x" * 5000]
+    for i in range(0, len(texts), 300):
+        some = texts[i : i + 300]
+        for t, got, want in zip(some, ours.encode(some), whole.encode_batch(some, add_special_tokens=False), strict=True):
+            assert got.tolist() == want.ids, repr(t)
+
+
+@pytest.mark.parametrize("change", [lambda s: s["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": " a"}, "content": "b"}), lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[^\s]+"), lambda s: s["added_tokens"][0].update(normalized=True), lambda s: s["model"].update(dropout=0.1), lambda s: s.update(pre_tokenizer={"type": "Whitespace"})])
+def test_any_other_tokenizer_gets_whole_texts(change):
+    import json
+
+    spec = json.loads(tokens.tokenizer_source(WORD))
+    change(spec)
+    assert tokens.make_of(spec) == "whole"
+    assert tokens.make_of(json.loads(tokens.tokenizer_source(BYTE))) == "space first"
 
 
-def test_cache_stays_bounded(monkeypatch):
+def test_memory_of_pieces_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 50)
     enc = tokens.Encoder(tokens.tokenizer_source(BYTE))
     for i in range(300):
         enc.encode_one(f"word{i} other{i}, " * 2)
-    assert len(enc.pieces) <= 50 and len(enc.spaced) <= 50
+    assert len(enc.known) <= 60 and len(enc.older) <= 60
 
 
 def check_packing(rows, window):
@@ -146,10 +162,13 @@ def test_gapless_ranks(spark):
         at += w
 
 
-@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [3, 3, 9, 1_000_000], list(range(700)), sorted(random.Random(1).choices(range(10**12), k=3000))])
+@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [3, 3, 9, 1_000_000], list(range(700)), sorted(random.Random(1).choices(range(10**12), k=3000)), [0, 2**64 - 1], [2**64 - 1]])
 def test_elias_fano(values):
     e = token_store.EliasFano.from_bytes(token_store.EliasFano.encode(np.array(values, np.uint64)).to_bytes())
     assert e.values().tolist() == values and [e.select(i) for i in range(len(values))] == values
+    for i, j in [(0, 0), (0, 1), (1, 3), (7, 300), (255, 257), (len(values) - 1, len(values))]:
+        if 0 <= i <= j <= len(values):
+            assert e.values(i, j).tolist() == values[i:j]
     if len(values) == 3000:
         assert len(e.to_bytes()) < 3000 * 4.5  # 2 + log2(10^12 / 3000) bits a value
     with pytest.raises(IndexError):
@@ -178,6 +197,32 @@ def test_token_files_round_trip(spark, hard, empty):
     assert token_store.read_tokens(spark, token_store.write_tokens(empty, WORD, 1)).count() == 0
 
 
+def test_token_files_take_any_id(spark):
+    rows = [(-(1 << 63), "first"), ((1 << 63) - 1, "a <|EndOfText|> b"), (0, None), (None, "x y"), (0, "same"), (0, "same")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = token_store.read_tokens(spark, token_store.write_tokens(docs, WORD, 1), with_ids=True).orderBy("start").collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    want = sorted(((d, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for d, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.doc_id, r.ids) for r in got] == want
+
+
+def test_ranges_hold_equal_weights(spark):
+    rng = random.Random(6)
+    ids = [rng.choice([i, i * 10**15, -i * 10**12, 5]) for i in range(4000)] + [-(1 << 63), (1 << 63) - 1, None]
+    rows = [(i, 1 if i == 5 else rng.choice([1, 1, 40])) for i in ids]
+    df = common.materialise(spark.createDataFrame(rows, "k bigint, w bigint"), "ranges")
+    edges = common.range_edges(df, "k", "w", 10)
+    assert edges == sorted(set(edges)) and len(edges) <= 9
+    held = np.zeros(10)
+    for k, w in rows:
+        if k is not None:
+            held[np.searchsorted(edges, k, side="left")] += w
+    assert held.max() < 2 * held.sum() / 10
+    assert common.range_edges(df.limit(0), "k", "w", 10) == [] == common.range_edges(df, "k", "w", 1)
+
+
 def pages_of(hard):
     return hard.withColumnsRenamed({"doc_id": "page_id", "text": "html", "source": "url"})
 
