@@ -1,24 +1,33 @@
 """Operator 2, benchmark decontamination with an Aho-Corasick automaton.
 
 Texts are normalised to words (A-Z lowered; runs of letters, digits and all
-characters from U+0080) with one space around each. Every window of `window`
-consecutive item words is a pattern, spaces included, so matches keep to words.
-A document is scanned once; matches give word positions, which are mapped back
-to code-point offsets of the original text.
-
-The automaton goes to the executors only up to MAX_AUTOMATON bytes of item
-words. A larger benchmark is dealt by hash to as many parts as that takes, and
-documents pass one automaton after the other, each pass ending in a table.
+characters from U+0080). Words of the items are numbered; every window of `window`
+consecutive item words is a pattern of numbers, so matches keep to words. A document's
+words become numbers by the same table, 0 where no item has the word, and are scanned
+once; matches give word positions, which are mapped back to code-point offsets of the
+original text.
+
+The automaton has a node for each distinct beginning of a pattern, about 50 bytes here
+and in each worker, so it holds at most MAX_NODES of them (windows times their words,
+counted before it is built; 100 MB). A larger benchmark is cut into segments, dealt to
+as many parts as that takes, and documents pass one automaton after the other; each
+pass reads and writes the documents once. A part's words are all of the benchmark that
+the driver holds at a time.
 
 Null texts have no words: nothing is hit, they are kept. Items without words have
 no windows. Windows of an item without an id mark words but name no item.
-Repeated items count once. A document column of a result column's name is replaced.
+Repeated items count once; repeated documents each get their row. A very long document
+is held whole by its task, a very long item is cut into segments that overlap by a
+window. Empty tables give no rows, or no hits. Columns are kept whatever their names; one
+of a result's name, under any case, is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -33,50 +42,78 @@ from tessera.llm import common
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TO_WORDS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 LOWER_STR = {c: c + 32 for c in range(65, 91)}
-MAX_AUTOMATON = 8 << 20
+MAX_NODES = 2 << 20
+SEGMENT = 4096
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS).split()
 
 
-def _joined(parts: list[bytes]) -> str:
-    return (b" " + b" ".join(parts) + b" ").decode("latin-1")
+def segments(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, body, nodes): words of items, SEGMENT windows at a time, and how many
+    nodes their windows make at most."""
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item, body, nodes = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                n = min(window, len(w))
+                for at in range(0, len(w) - n + 1 if n else 0, SEGMENT):
+                    own = w[at : at + SEGMENT + n - 1]
+                    item.append(i), body.append(b" ".join(own)), nodes.append((len(own) - n + 1) * n)
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(body, pa.binary()), pa.array(nodes, pa.int64())], ["item", "body", "nodes"])
 
-def automaton(items: list[tuple[str | None, str | None]], window: int) -> ahocorasick.Automaton:
-    """Patterns with (words, items): the window's length and who has it."""
-    found: dict[str, tuple[int, set]] = {}
-    for item, text in items:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    return items.mapInArrow(step, "item string, body binary, nodes bigint")
+
+
+@dataclass
+class Patterns:
+    """The automaton over numbered words, and each pattern's length and items."""
+
+    numbers: dict[bytes, int]
+    automaton: ahocorasick.Automaton
+    length: list[int]
+    items: list[tuple]
+
+    @classmethod
+    def of(cls, parts: list[tuple[str | None, bytes]], window: int) -> Patterns:
+        numbers: dict[bytes, int] = {}
+        at: dict[tuple[int, ...], int] = {}
+        items: list[tuple] = []
+        for item, body in parts:
+            w = [numbers.setdefault(x, len(numbers) + 1) for x in body.split()]
+            n = min(window, len(w))
+            for i in range(len(w) - n + 1 if n else 0):
+                k = at.setdefault(tuple(w[i : i + n]), len(items))
+                if k == len(items):
+                    items.append((item,))
+                elif item not in items[k]:
+                    items[k] += (item,)
+        out = cls(numbers, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [len(p) for p in at], items)
+        for pattern, k in at.items():
+            out.automaton.add_word(pattern, k)
+        if at:
+            out.automaton.make_automaton()
+        return out
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
+        """(words, merged word ranges that are hit, items)."""
         w = words(text)
-        n = min(window, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            found.setdefault(_joined(w[i : i + n]), (n, set()))[1].add(item)
-    out = ahocorasick.Automaton()
-    for pattern, (n, who) in found.items():
-        out.add_word(pattern, (n, frozenset(who)))
-    if found:
-        out.make_automaton()
-    return out
-
-
-def scan(text: str | None, patterns: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set]:
-    """(words, merged word ranges that are hit, items)."""
-    w = words(text)
-    if not w or not len(patterns):
-        return len(w), [], set()
-    whole = _joined(w)
-    hits = list(patterns.iter(whole))
-    if not hits:
-        return len(w), [], set()
-    spaces = np.flatnonzero(np.frombuffer(whole.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, [e for e, _ in hits])
-    edge = np.zeros(len(w) + 1, np.int64)
-    np.add.at(edge, last - [n for _, (n, _) in hits], 1)
-    np.add.at(edge, last, -1)
-    hit = np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]])
-    turn = np.flatnonzero(np.diff(hit))
-    return len(w), list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)), set().union(*(who for _, (_, who) in hits))
+        if not w or not self.items:
+            return len(w), [], set()
+        hits = list(self.automaton.iter(tuple(map(self.numbers.get, w, repeat(0)))))
+        if not hits:
+            return len(w), [], set()
+        edge = np.zeros(len(w) + 1, np.int64)
+        last = np.array([e for e, _ in hits]) + 1
+        np.add.at(edge, last - [self.length[k] for _, k in hits], 1)
+        np.add.at(edge, last, -1)
+        hit = np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]])
+        turn = np.flatnonzero(np.diff(hit))
+        return len(w), list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)), {i for k in {k for _, k in hits} for i in self.items[k]}
 
 
 def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -85,10 +122,7 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-STATE = "__words bigint, __ranges array<struct<s:int,e:int>>, __items array<string>"
-
-
-def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
@@ -98,47 +132,54 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", keep: list[str] | None = None, spans: bool = True, max_automaton: int = MAX_AUTOMATON) -> DataFrame:
+RANGES = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", keep: list[str] | None = None, spans: bool = True, max_nodes: int = MAX_NODES) -> DataFrame:
     """The kept columns of docs (all, if none are named) with n_words, n_hit,
     n_items, items_sha256, contaminated and, unless switched off, spans: the
     hit passages as [start, end) code points."""
     spark = docs.sparkSession
-    results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
-    parts = max(1, -(-size // max_automaton))
-    state = docs.select(*keep, *([F.col(text_col).alias("__text")]), F.lit(None).cast("bigint").alias("__words"), F.lit(None).cast("array<struct<s:int,e:int>>").alias("__ranges"), F.lit(None).cast("array<string>").alias("__items"))
-    full = T.StructType(state.schema.fields + [T.StructField("spans", T._parse_datatype_string("array<struct<start:int,end:int>>"))])
-
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        patterns = spark.sparkContext.broadcast(automaton([tuple(r) for r in own.collect()], window))  # max_automaton bytes of text, about
-        final = part == parts - 1
+    keep = common.others(docs.columns if keep is None else keep, RESULTS)
+    bodies = common.materialise(segments(benchmark, window), "segments", rows=0)
+    parts = common.materialise(common.gapless(bodies, [], ["item", "body"], "at", weight="nodes").select("item", "body", F.expr(f"at div {max_nodes}").alias("part")), "parts", rows=0)
+    last = parts.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("words", "bigint"), ("ranges", "array<struct<s:int,e:int>>"), ("items", "array<string>"), ("places", "array<struct<s:int,e:int>>"))]
+    state = docs.select(*common.numbered(keep), common.quoted(text_col).alias("text"), *none)
+    names = state.columns
+
+    for part in range(last + 1):
+        own = [tuple(r) for r in parts.where(F.col("part") == part).select("item", "body").collect()]  # max_nodes / window words, about
+        patterns = spark.sparkContext.broadcast(Patterns.of(own, window))
+        final = part == last
 
         def step(batches: Iterator[pa.RecordBatch], patterns=patterns, final=final) -> Iterator[pa.RecordBatch]:
-            machine = patterns.value
             for batch in batches:
-                n_cols = batch.num_columns
-                texts, old_r, old_i = batch.column(n_cols - 4), batch.column(n_cols - 2), batch.column(n_cols - 1)
-                ns, rs, its, sp = [], [], [], []
+                cols = list(batch.columns[:-5])
+                texts, _, old_r, old_i, _ = batch.columns[-5:]
+                ns, rs, its, places = [], [], [], []
                 for i, x in enumerate(texts):
                     text = x.as_py()
-                    n, r, it = scan(text, machine)
+                    n, r, it = patterns.value.scan(text)
                     if old_r[i].is_valid:
-                        r = _merge(r + [(q["s"], q["e"]) for q in old_r[i].as_py()])
+                        r = merged(r + [(q["s"], q["e"]) for q in old_r[i].as_py()])
                         it = it.union(old_i[i].as_py())
                     ns.append(n)
                     rs.append([{"s": a, "e": b} for a, b in r])
-                    its.append(sorted((x for x in it if x is not None)))
-                    sp.append([{"start": a, "end": b} for a, b in offsets(text, r)] if final and spans and r else [])
-                cols = [batch.column(i) for i in range(n_cols - 4)]
+                    its.append(sorted(x for x in it if x is not None))
+                    places.append([{"s": a, "e": b} for a, b in offsets(text, r)] if final and spans and r else [])
                 done = pa.nulls(batch.num_rows, pa.string()) if final else texts  # the text goes no further
-                yield pa.RecordBatch.from_arrays([*cols, done, pa.array(ns, pa.int64()), pa.array(rs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(its, pa.list_(pa.string())), pa.array(sp, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [f.name for f in full])
+                yield pa.RecordBatch.from_arrays([*cols, done, pa.array(ns, pa.int64()), pa.array(rs, RANGES), pa.array(its, pa.list_(pa.string())), pa.array(places, RANGES)], names)
 
-        state = state.mapInArrow(step, full)
+        new = state.mapInArrow(step, state.schema)
         if not final:
-            state = common.materialise(state, "scan").drop("spans")
-    hit = F.aggregate("__ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
-    out = state.select(*keep, F.col("__words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), *(["spans"] if spans else []))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+            before, new = state, common.materialise(new, "scan")
+            patterns.destroy()
+            if part:
+                common.discard(before)
+        state = new
+    common.discard(bodies, parts)
+    hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    out = state.select(*[f"c{i}" for i in range(len(keep))], F.col("words").alias("n_words"), hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *([F.transform("places", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias("spans")] if spans else []))
+    return common.renamed(out, keep)
