@@ -142,6 +142,54 @@ def test_large_groups_stay_whole_where_they_fit(spark):
         assert len({r.shard for r in rows if r.size == n}) == 1
 
 
+def brute_tree(weights, coordinates, leaves):
+    """Leaf of each point: the median of the widest dimension, by sorting."""
+    out = {}
+    root = [max(1, max(c[i] for c in coordinates) - min(c[i] for c in coordinates)) for i in range(len(coordinates[0]) - 1)]
+
+    def split(points, first, k):
+        if k == 1 or not points:
+            out.update(dict.fromkeys(points, first))
+            return
+        widths = [(max(coordinates[p][i] for p in points) - min(coordinates[p][i] for p in points)) / w for i, w in enumerate(root)]
+        axis = widths.index(max(widths))
+        points = sorted(points, key=lambda p: (coordinates[p][axis], coordinates[p][-1]))
+        goal, held, at = sum(weights[p] for p in points) * (k // 2) / k, 0, 0
+        while at < len(points) and held + weights[points[at]] <= goal:
+            held += weights[points[at]]
+            at += 1
+        if at < len(points) and held + weights[points[at]] - goal < goal - held:
+            at += 1
+        split(points[:at], first, k // 2)
+        split(points[at:], first + k // 2, k - k // 2)
+
+    split(list(range(len(weights))), 0, leaves)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [2, 5, 8])
+def test_medians_are_those_of_sorting(spark, leaves, monkeypatch):
+    monkeypatch.setattr(kd_shard, "BIN_BITS", 3)  # many rounds
+    rng = random.Random(leaves)
+    rows = [(i, rng.randrange(1 << 32), rng.randrange(1, 50), 0, rng.randrange(1000), rng.choice([0, 7, 9, 1 << 20])) for i in range(300)]
+    points = common.materialise(spark.createDataFrame(rows, "key bigint, tie bigint, weight bigint, node int, d0 bigint, d1 bigint"), "points")
+    out, nodes = kd_shard.kd_tree(points, [], ["d0", "d1"], leaves, sum(r[2] for r in rows), slack=0)
+    got = {r.key: nodes[r.node].first for r in out.collect()}
+    assert got == brute_tree([r[2] for r in rows], [(r[4], r[5], r[1]) for r in rows], leaves)
+
+
+def test_groups_are_set_apart_whole_where_they_fit():
+    g = [kd_shard.Group(i, 10, (i,), 0, n) for i, n in enumerate((30, 50, 20))]
+    for goal, room, want in ((800, 900, [0]), (900, 400, [0, 1]), (450, 750, [0]), (850, 250, [0, 1])):
+        left, right = kd_shard.set_apart(g, 0, goal, room)
+        assert [x.key for x in left] == want and len(left + right) == 3
+    left, right = kd_shard.set_apart(g[1:2], 0, 250, 250)  # fits neither side
+    assert [(x.first, x.last) for x in left + right] == [(0, 25), (25, 50)]
+    assert kd_shard.set_apart([], 0, 5, 5) == ([], [])
+    left, right = kd_shard.set_apart([kd_shard.Group(1, 1, (0,), 0, 90)], 0, 50, 100)
+    assert not left and len(right) == 1
+
+
 def test_shard_edges(hard, empty):
     assert kd_shard.kd_shard(empty).count() == 0
     rows = kd_shard.kd_shard(hard, 3).collect()

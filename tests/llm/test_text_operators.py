@@ -38,11 +38,35 @@ def test_contamination_is_brute_force(spark, hard):
     small = hard.where("doc_id is null or doc_id <> 8").unionByName(hard.where("doc_id = 8").withColumn("text", F.substring("text", 1, 3000)))
     items = spark.createDataFrame(BENCH, "item_id bigint, text string")
     want = brute_contamination([(r.doc_id, r.text) for r in small.collect()], BENCH)
-    for limit in (1 << 20, 40):  # one automaton, and one after the other
-        got = decontaminate.contamination(small, items, max_automaton=limit)
+    for limit in (1 << 20, 90):  # one automaton, and one after the other
+        got = decontaminate.contamination(small, items, max_nodes=limit)
         assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()), key=repr) == want
 
 
+def test_long_items_are_cut_into_segments(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", 3)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(f"w{i}" for i in range(11, 25))), (3, " ".join(f"w{i}" for i in range(9)))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    for limit in (1 << 20, 60):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items, max_nodes=limit).collect()}
+        assert got == {1: (40, 1), 2: (14, 1), 3: (0, 0)}
+
+
+def test_an_automaton_has_no_more_nodes_than_counted():
+    rng = np.random.default_rng(3)
+    w = [b"w%d" % i for i in rng.integers(0, 50, 500)]
+    p = decontaminate.Patterns.of([("a", b" ".join(w))], 10)
+    assert p.automaton.get_stats()["nodes_count"] <= 491 * 10 + 1
+
+
+def test_contamination_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mot pour mot", 3, "x", 4)], "doc_id bigint, text string, `N_HIT` int, words string, c0 int")
+    items = spark.createDataFrame([(2, "mot pour mot")], "item_id bigint, text string")
+    got = decontaminate.contamination(docs, items)
+    assert got.columns[:4] == ["doc_id", "text", "words", "c0"] and got.first()[:6] == (1, "mot pour mot", "x", 4, 3, 3)
+
+
 def test_spans_are_places_of_the_original(spark):
     docs = spark.createDataFrame([(1, "Éa -- MOT,  pour\nmot! and MOT POUR MOT")], "doc_id bigint, text string")
     items = spark.createDataFrame([(2, "mot pour mot")], "item_id bigint, text string")
