@@ -14,12 +14,15 @@ asked of them is less in proportion.
 
 Fitting: document frequencies and language counts cover all labelled documents
 given. The sample is bounded by SAMPLE documents over all languages (an equal
-share each, taken by a hash of doc_id and text); only its count vectors come to
-the driver, SAMPLE x DIM x 2 bytes at most.
+share and SPARE more each, taken by a hash of doc_id and text; equal ones count once);
+only its count vectors come to the driver, DIM x 2 bytes each, twice as many at most. The MAX_LANGUAGES most frequent languages are learned, which bounds the model
+(CENTROIDS x DIM x 4 bytes a language, so 66 MB).
 
 Null, empty and letterless texts are `und` with score 0 and rejected. Rows with a
-null language are never learned from. Without any labelled row all is `und`.
-Very long texts are counted in pieces. Other columns are ignored or kept as asked.
+null language are never learned from. Without any labelled row all is `und`. Ties
+between centroids go to the language first by name. Repeated rows get a row each.
+Very long texts are counted in pieces. Empty tables give no rows. Columns are kept as
+asked, whatever their names; one of a result's name, under any case, is replaced.
 """
 
 from __future__ import annotations
@@ -29,13 +32,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import common
+
 DIM = 4096
 SAMPLE = 2400
-MAX_LANGUAGES = 200
+SPARE = 16
+MAX_LANGUAGES = 1000
 CENTROIDS = 4
 REJECT_SHARE = 0.002
 REJECT_MARGIN = 0.75
@@ -137,41 +143,43 @@ def fit_sample(langs: list[str], counts: np.ndarray, df: np.ndarray, docs: int,
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model | None:
     """Learn from the rows of labelled with a text and a language."""
-    src = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = [tuple(r) for r in src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    spark = labelled.sparkSession
+    src = labelled.select(*(common.quoted(c).alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (lang_col, "lang")))).where("text is not null and lang is not null")
+    sizes = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("rows"))
+    sizes = [(r.lang, r.rows) for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     if not sizes:
         return None
-    each = max(1, sample // len(sizes))
-    share = F.lit(0.0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    picked = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53) < share
+    each = sample // len(sizes) + SPARE
+    shares = common.local_table(spark, [(lang, min(1.0, each / n)) for lang, n in sizes], "lang string, share double")
+    src = src.join(F.broadcast(shares), "lang")
+    picked = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53) < F.col("share")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs = np.zeros(DIM, np.int64), 0
+        df, docs, met = np.zeros(DIM, np.int64), 0, set()
         for batch in batches:
             take = batch.column(2).to_numpy(zero_copy_only=False)
             for i in range(0, batch.num_rows, CHUNK):
                 m = count_matrix(batch.column(0).slice(i, CHUNK).to_pylist())
                 df += (m > 0).sum(axis=0)
                 docs += len(m)
-                own = np.flatnonzero(take[i : i + CHUNK])
-                if len(own):
-                    rows = [np.minimum(m[j], 65535).astype("<u2").tobytes() for j in own]
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[i + int(j)].as_py() for j in own]), pa.array(rows, pa.binary()), pa.array([-1] * n, pa.int32()), pa.array([0] * n, pa.int64())], ["lang", "counts", "feature", "n"])
+                own = {(batch.column(1)[i + int(j)].as_py(), np.minimum(m[j], 65535).astype("<u2").tobytes()) for j in np.flatnonzero(take[i : i + CHUNK])} - met
+                if own:
+                    met |= own
+                    langs, rows = zip(*sorted(own))
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary()), pa.array([-1] * n, pa.int32()), pa.array([0] * n, pa.int64())], ["lang", "counts", "feature", "n"])
         seen = np.flatnonzero(df)
         n = len(seen) + 1
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(np.append(seen, DIM).astype(np.int32)), pa.array(np.append(df[seen], docs))], ["lang", "counts", "feature", "n"])
 
-    from tessera.llm import common
-
     found = common.materialise(src.select("text", "lang", picked.alias("take")).mapInArrow(step, "lang string, counts binary, feature int, n bigint"), "langid")
     df = np.zeros(DIM + 1, np.int64)
     for f, n in found.where("feature >= 0").groupBy("feature").agg(F.sum("n")).collect():
         df[f] = n
     langs, counts = [], []  # a row at a time, so that the driver holds them once
-    for r in found.where("feature < 0").orderBy("lang", "counts").limit(2 * sample).toLocalIterator():
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("counts"), "counts"))
+    rows = found.where("feature < 0").select("lang", "counts").distinct().withColumn("rank", rank).where(F.col("rank") <= 2 * each)
+    for r in rows.orderBy("lang", "counts").toLocalIterator():
         langs.append(r.lang)
         counts.append(np.frombuffer(r.counts, "<u2"))
     common.discard(found)
@@ -179,18 +187,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def has_letter(text_col: str = "text") -> Column:
-    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return F.coalesce(common.quoted(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all, if none are named) with lang_pred, score and rejected."""
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
+    keep = common.others(docs.columns if keep is None else keep, ("lang_pred", "score", "rejected"))
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return docs.select(*map(common.quoted, keep), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     sent = spark.sparkContext.broadcast(model)
-    src = docs.select(*keep, has_letter(text_col).alias("__ok"), F.col(text_col).alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields)
+    src = docs.select(*common.numbered(keep), has_letter(text_col).alias("ok"), common.quoted(text_col).alias("text"))
+    schema = T.StructType(src.schema.fields[:-2] + T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -204,4 +212,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             lang = np.where(ok, names[at], "und")
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n - 2)), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(~ok | far)], [f.name for f in schema])
 
-    return src.mapInArrow(step, schema)
+    return common.renamed(src.mapInArrow(step, schema), keep)
