@@ -7,13 +7,17 @@ second-order logistic loss; the model is then flattened to arrays (feature,
 threshold and leaf value of each heap position of each tree), which numpy walks
 for a whole batch at once, a level at a time.
 
-Fitting uses a bounded sample of labelled rows: SAMPLE of them, taken by a hash of
-doc_id, whose statistics (SAMPLE x features doubles) come to the driver. Labels of
-a document that contradict each other, and null ones, are left out.
+Fitting uses a bounded sample of labelled documents: SAMPLE of them at most, taken by
+a hash of doc_id, whose statistics (SAMPLE x features doubles) come to the driver.
+Labels of a document that contradict each other, and null ones, are left out; of rows
+that repeat a doc_id the least text is learned from.
 
 Null texts count as empty; empty texts get a score like any other. Without labelled
-rows of both classes every score is the share of label 1 (0.5 without any). Other
-columns are ignored or kept as asked.
+rows of both classes every score is the share of label 1 (0.5 without any). Ties
+between splits go to the first statistic, then the lowest threshold; a value equal to
+a threshold goes left. Repeated rows get a row each, very long texts are held whole by
+their task, empty tables give no rows. Columns are kept as asked, whatever their names;
+one named score, under any case, is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import common
+
 SAMPLE = 20_000
 BINS = 64
 DEPTH = 4
@@ -147,28 +153,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
     """labels: (id, label 0 or 1). Documents without a label are not learned from."""
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
+    marks = labels.select(common.quoted(id_col).alias("__id"), common.quoted(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     marks = marks.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").drop("__z")
     total = marks.count()
     share = min(1.0, 0.97 * sample / max(1, total))
     chosen = marks.where(F.shiftrightunsigned(F.xxhash64("__id"), 11).cast("double") / float(1 << 53) < share).limit(sample)
     # at most `sample` rows of 12 bytes: the bound that lets them be broadcast
-    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    src = docs.select(common.quoted(id_col).alias("__id"), common.quoted(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    src = src.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(b.column(1))), pa.list_(pa.float64())), b.column(2)], ["x", "y"])
 
-    rows = src.select("__id", "__text", "__y").mapInArrow(step, "x array<double>, y int").limit(2 * sample).collect()
+    rows = src.select("__id", "__text", "__y").mapInArrow(step, "x array<double>, y int").collect()
     rows.sort(key=lambda r: (r.x, r.y))
     return grow(np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float))
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all, if none are named) with score."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+    keep = common.others(docs.columns if keep is None else keep, ("score",))
+    src = docs.select(*common.numbered(keep), common.quoted(text_col).alias("text"))
+    schema = T.StructType(src.schema.fields[:-1] + [T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,4 +183,4 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text", keep: list[str]
             s = sent.value.score(_matrix(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(s, pa.float64())], [f.name for f in schema])
 
-    return src.mapInArrow(step, schema)
+    return common.renamed(src.mapInArrow(step, schema), keep)
