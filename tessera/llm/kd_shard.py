@@ -113,12 +113,11 @@ def _medians(points: DataFrame, ranges: dict[int, tuple[int, int]], goal: dict[i
     return out
 
 
-def kd_tree(points: DataFrame, groups: list[Group], dims: list[str], leaves: int, total: int, slack: float = SLACK) -> tuple[DataFrame, dict[int, Node]]:
-    """points: a table of key, tie, weight, node 0 and dims (longs under 2^30).
-    The points with their last nodes, and these."""
+def kd_tree(points: DataFrame, groups: list[Group], dims: list[str], leaves: int, total: int, rows: int, slack: float = SLACK) -> tuple[DataFrame, dict[int, Node]]:
+    """points: a table of key, tie, weight, node 0 and dims (longs under 2^30), of
+    `rows` at most. The points with their last nodes, and these."""
     spark = points.sparkSession
     nodes, root = {0: Node(0, leaves, groups)}, None
-    rows = points.count()
     while busy := [n for n, x in nodes.items() if x.leaves > 1]:
         each = [F.sum("weight").alias("w"), *[f(d).alias(f"{k}{i}") for i, d in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]]
         stats = {r.node: r for r in points.groupBy("node").agg(*each).collect()}  # a row a node
@@ -179,8 +178,8 @@ def kd_shard(docs: DataFrame, shards: int | None = 8, target_bytes: int | None =
     known = max(SLACK, min(0.25, shards / KNOWN)) * total / shards
     large = groups.where((F.col("weight") > known) & (F.col("n") > 1))
     held = [Group(r.key, r.size, tuple(r[d] for d in dims), 0, r.n) for r in large.collect()]  # max(KNOWN, 4 * shards) at most
-    light = common.materialise(groups.where((F.col("weight") <= known) | (F.col("n") == 1)).select("key", "size", "tie", "weight", "node", *dims), "points", n)
-    points, nodes = kd_tree(light, held, dims, shards, total)
+    light = groups.where((F.col("weight") <= known) | (F.col("n") == 1)).select("key", "size", "tie", "weight", "node", *dims)
+    points, nodes = kd_tree(light, held, dims, shards, total, n)
 
     leaf = common.local_table(spark, [(i, x.first) for i, x in nodes.items()], "node int, shard int")
     rows = rows.select("row", "doc_id", "size", "tie", "key")
