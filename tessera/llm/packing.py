@@ -18,7 +18,9 @@ their rank up in the plan, and so get sequence and offset. The plan's size depen
 on the window, not on the corpus.
 
 Null texts count as empty: a document of the end id alone. Rows that repeat a
-doc_id are packed each. Very long texts make many pieces. An empty table gives an
+doc_id, or all of a row, are packed each. Ties of pieces of one length go by doc_id,
+start and CRC; which of two equal pieces comes first is open. Very long texts make many
+pieces. Other columns are not read, so their names can't clash. An empty table gives an
 empty result.
 """
 
@@ -150,7 +152,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_c
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(step, schema)
+    return docs.select(common.quoted(id_col).cast("bigint").alias("doc_id"), F.coalesce(common.quoted(text_col), F.lit("")).alias("text")).mapInArrow(step, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

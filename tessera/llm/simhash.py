@@ -35,7 +35,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -73,6 +73,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(step, "doc_id bigint, fp bigint")
 
 
+def fingerprint_column(text: Column, words: int = 4) -> Column:
+    """The fingerprint as 16 hex digits."""
+
+    @F.arrow_udf("string")
+    def digits(texts: pa.Array) -> pa.Array:
+        return pa.array([f"{fingerprint(x.as_py(), words):016x}" for x in texts])
+
+    return digits(F.coalesce(text, F.lit("")))
+
+
 def cover(width: int, least: int) -> list[tuple[int, ...]]:
     """Sets of `width` positions such that any `least` of the eight hold one of them;
     greedily, the set that lies within most of those not yet served first."""
