@@ -173,7 +173,7 @@ def test_medians_are_those_of_sorting(spark, leaves, monkeypatch):
     rng = random.Random(leaves)
     rows = [(i, rng.randrange(1 << 32), rng.randrange(1, 50), 0, rng.randrange(1000), rng.choice([0, 7, 9, 1 << 20])) for i in range(300)]
     points = common.materialise(spark.createDataFrame(rows, "key bigint, tie bigint, weight bigint, node int, d0 bigint, d1 bigint"), "points")
-    out, nodes = kd_shard.kd_tree(points, [], ["d0", "d1"], leaves, sum(r[2] for r in rows), slack=0)
+    out, nodes = kd_shard.kd_tree(points, [], ["d0", "d1"], leaves, sum(r[2] for r in rows), 300, slack=0)
     got = {r.key: nodes[r.node].first for r in out.collect()}
     assert got == brute_tree([r[2] for r in rows], [(r[4], r[5], r[1]) for r in rows], leaves)
 

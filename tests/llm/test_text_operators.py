@@ -100,6 +100,41 @@ def test_language_edges(hard, empty):
     assert {r.lang_pred for r in language_id.identify(hard, None).collect()} == {"und"}
 
 
+def test_equal_rows_leave_room_for_other_languages(spark):
+    rows = [(1, "the same english words again", "aa")] * 300 + [(i, f"zwei drei vier fuenf {i} sechs", "zz") for i in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=40)
+    assert set(model.languages) == {"aa", "zz"}
+    many = [(i, f"text of its own {chr(97 + i % 26) * 5}", f"l{i:03d}") for i in range(260)]
+    assert len(set(language_id.fit(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), sample=100).languages)) == 260
+
+
+def test_language_and_quality_with_clashing_columns(spark, hard):
+    docs = hard.select("doc_id", "text", "lang", F.lit(1).alias("Score"), F.lit(2).alias("REJECTED"), F.lit(3).alias("ok"), F.lit(4).alias("c1"), F.lit(5).alias("a b.c"))
+    got = language_id.identify(docs, language_id.fit(docs))
+    assert got.columns == ["doc_id", "text", "lang", "ok", "c1", "a b.c", "lang_pred", "score", "rejected"] and got.count() == docs.count()
+    got = quality.score(docs, quality.fit(docs, spark.createDataFrame([(1, 1), (7, 0)], "doc_id bigint, quality int")))
+    assert got.columns == ["doc_id", "text", "lang", "REJECTED", "ok", "c1", "a b.c", "score"] and got.count() == docs.count()
+
+
+def brute_cosines(texts, model):
+    """Every text against every centroid, in plain Python."""
+    out = []
+    for t in texts:
+        x = np.log1p(language_id.count_vector(t).astype(float)) * model.idf
+        x = x / max(np.linalg.norm(x), 1e-12)
+        s = [float(np.dot(x, c)) for c in model.centroids]
+        out.append((model.languages[int(np.argmax(s))], max(s)))
+    return out
+
+
+def test_the_nearest_of_all_centroids_decides(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 100").limit(60)
+    model = language_id.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = language_id.identify(docs, model).collect()
+    for r, (lang, cos) in zip(rows, brute_cosines([r.text for r in rows], model), strict=True):
+        assert abs(r.score - min(1, cos)) < 1e-4 and r.lang_pred in (lang, "und")
+
+
 def test_far_texts_are_rejected(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(1, "漢字仮名交じり文" * 200), (2, "zqxj kvwz " * 300)], "doc_id bigint, text string")
@@ -131,6 +166,34 @@ def test_trees_learn_and_walk_alike():
     assert np.allclose(one, model.margin(x[:50]))
 
 
+def test_quality_of_held_out_documents(spark):
+    from tessera.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    rows = QUERIES["op3_quality"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert len(rows) > 30 and sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
+
+
+def slow_score(model, x):
+    m = model.base
+    for f, t, leaf in zip(model.feature, model.threshold, model.leaf):
+        at = 0
+        while at < len(f):
+            at = 2 * at + (2 if x[f[at]] > t[at] else 1)
+        m += leaf[at - len(f)]
+    return 1 / (1 + np.exp(-m))
+
+
+def test_scores_are_those_of_a_walk_node_by_node(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model).limit(40).collect():
+        assert abs(r.score - slow_score(model, quality.statistics(r.text))) < 1e-9
+    again = docs.unionByName(docs.where("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" zz"))))
+    assert (quality.fit(again, labels).threshold == model.threshold).all()  # the least text of an id
+
+
 def test_quality_edges(spark, hard, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (7, 1), (9, 0), (None, 1), (5, None)], "doc_id bigint, quality int")
     got = quality.score(hard, quality.fit(hard, labels), keep=["doc_id"]).collect()
