@@ -189,7 +189,8 @@ def candidate_sets(postings: DataFrame, cap: int = POSTING_CAP, rows: int | None
             return _mix(members.view(np.uint64) + np.uint64(PRIME))
 
         for kind, x, y in runs(batches, cap):
-            if kind == "pairs":
+            if kind == "few":
+                x, y = y[::2], y[1::2]
                 sets = (name(np.ascontiguousarray(x)) + name(np.ascontiguousarray(y))).view(np.int64)
                 yield out(np.concatenate([sets, sets]), np.concatenate([x, y]), False)
             elif kind == "run":

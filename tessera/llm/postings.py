@@ -16,6 +16,7 @@ from tessera.llm import common
 #: dealt to blocks, and every pair of blocks is compared on its own.
 POSTING_CAP = 4096
 OUT_ROWS = 1 << 14
+FEW = 128
 
 #: members (sorted, distinct) -> (member, root) arrays of a star forest
 Star = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -41,10 +42,35 @@ def star_forest(members: np.ndarray, near: Callable[[np.ndarray, int], np.ndarra
     return np.concatenate(got), np.concatenate(roots)
 
 
-def runs(batches: Iterator[pa.RecordBatch], cap: int | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Sorted (key, member) batches as ("pairs", first, second) for the postings
-    of two, ("run", keys, members) for larger ones and ("hot", keys, members) for
-    parts of those over cap. Repeated members of a posting count once."""
+def few_links(k: np.ndarray, m: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links within many short postings: all that are a distance apart at a time. A
+    posting with more links than members gives its forest instead."""
+    first, second = [], []
+    for d in range(1, len(k)):
+        i = np.flatnonzero(k[d:] == k[:-d])
+        if not len(i):
+            break
+        i = i[linked(m[i], m[i + d])]
+        first.append(i), second.append(i + d)
+    if not first:
+        return m[:0], m[:0]
+    first, second = np.concatenate(first), np.concatenate(second)
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    ends = np.append(starts[1:], len(k))
+    posting = np.searchsorted(starts, first, side="right") - 1
+    many = np.bincount(posting, minlength=len(starts)) >= ends - starts
+    sparse = ~many[posting]
+    got, roots = [m[second[sparse]]], [m[first[sparse]]]
+    for p in np.flatnonzero(many):
+        a, b = star_forest(m[starts[p] : ends[p]], linked)
+        got.append(a), roots.append(b)
+    return np.concatenate(got), np.concatenate(roots)
+
+
+def runs(batches: Iterator[pa.RecordBatch], cap: int | None, few: int = 2) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Sorted (key, member) batches as ("few", keys, members) for all postings of up
+    to `few` at once, ("run", keys, members) for each larger one and ("hot", keys,
+    members) for parts of those over cap. Repeated members of a posting count once."""
     keys = members = None
     hot = None
     for batch in batches:
@@ -64,25 +90,26 @@ def runs(batches: Iterator[pa.RecordBatch], cap: int | None) -> Iterator[tuple[s
         new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
         k, m = k[new], m[new]
         last = int(np.searchsorted(k == k[-1], True))
-        yield from _closed(k[:last], m[:last], cap)
+        yield from _closed(k[:last], m[:last], cap, few)
         keys, members = k[last:], m[last:]
         if cap and len(keys) > cap:
             hot = keys[0]
             yield "hot", keys, members
             keys = members = None
     if keys is not None:
-        yield from _closed(keys, members, cap)
+        yield from _closed(keys, members, cap, few)
 
 
-def _closed(k: np.ndarray, m: np.ndarray, cap: int | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _closed(k: np.ndarray, m: np.ndarray, cap: int | None, few: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     if len(k) < 2:
         return
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
-    two = starts[sizes == 2]
-    if len(two):
-        yield "pairs", m[two], m[two + 1]
-    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+    short = np.repeat((sizes > 1) & (sizes <= few), sizes)
+    if short.any():
+        yield "few", k[short], m[short]
+    long_ = sizes > few
+    for s, n in zip(starts[long_].tolist(), sizes[long_].tolist(), strict=True):
         yield "hot" if cap and n > cap else "run", k[s : s + n], m[s : s + n]
 
 
@@ -100,10 +127,9 @@ def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray]
                 return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
 
             held, size = [], 0
-            for kind, x, y in runs(batches, limit):
-                if kind == "pairs":
-                    mark = linked(x, y)
-                    x, y = x[mark], y[mark]
+            for kind, x, y in runs(batches, limit, FEW):
+                if kind == "few":
+                    x, y = few_links(x, y, linked)
                 elif kind == "run":
                     x, y = star_forest(y, linked)
                 else:
