@@ -24,11 +24,10 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 
-CACHE = 200_000
+CACHE = 150_000
 LONG_PIECE = 256
 #: The parts of the two makes of tokenizer file whose cutting places are known.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
@@ -38,11 +37,12 @@ _WORD_PIECES = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern
 MAKES = {"words": (_WORD_NORMALIZER, _WORD_PIECES), "space first": (None, {**_BYTE_LEVEL, "use_regex": True})}
 #: Code points that some engine takes for white space, beyond ASCII's six.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-_SPACE, _LETTERS, _MARK = r" \t\n\r\v\f", "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-`{-~]"
-_CUT = {
-    "words": re.compile(rf"{_LETTERS}(?={_MARK})|[^{_SPACE}]+"),
-    "space first": re.compile(rf" ?{_LETTERS}(?={_MARK})| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"),
-}
+_ODD_LATIN = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0"]
+_PLAIN_RUNS = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f"]
+_SPACE_FIRST = re.compile(r" ?[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+(?![^ \t\n\r\v\f])|[ \t\n\r\v\f]")
+_WORDS = re.compile(r"[^ \t\n\r\v\f]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]$")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -56,6 +56,42 @@ def make_of(spec: dict) -> str:
     return found[0] if plain and found else "whole"
 
 
+def is_latin(text: str) -> bool:
+    """Whether all code points are under 256: no marks that combine, and lowering one
+    character never makes two."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Pieces(dict):
+    """Ids of pieces, each standing after `before`; asked for when first met. What is
+    not met again while CACHE others are is forgotten."""
+
+    def __init__(self, encoder: Encoder, before: str = ""):
+        super().__init__()
+        self.encoder, self.before, self.older = encoder, before, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            stem = piece.rstrip(_MARKS)
+            if len(stem) < len(piece) and _LETTER.search(stem):
+                ids = self[stem] + self.encoder.bare[piece[len(stem) :]]
+            elif piece[0] == "\n" and self.before:
+                ids = self.encoder.bare["\n"] + self.encoder.bare[piece[1:]] if len(piece) > 1 else self.encoder.bare["\n"]
+            else:
+                ids = self.encoder.ask(self.before + piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,47 +100,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         spec = json.loads(source)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.kind = make_of(spec)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ask(self, pieces: list[str]) -> Iterator[bytes]:
-        space = {" ": "\u0120"}  # how the vocabulary spells it; letters are spelt as they are
-        plain = [w if (w := p.lower() if self.kind == "words" else space.get(p[0], p[0]) + p[1:]).removeprefix("\u0120").isalpha() and p.isascii() else None for p in pieces]
-        code, tokenize = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model.tokenize
-        rest = iter(self.library([p for p, w in zip(pieces, plain, strict=True) if w is None]))
-        return (next(rest) if w is None else array(code, [t.id for t in tokenize(w)]).tobytes() for w in plain)
-
-    def cut(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None if it must not be cut."""
-        if self.kind == "words" and text.isascii():
-            text = text.lower()  # as the normaliser does; an added token's string that arises so goes whole as well
-        if self.kind == "whole" or any(a in text for a in self.added) or self.kind == "space first" and _ODD_SPACE.search(text):
-            return None
-        return _CUT[self.kind].findall(text)
+        self.model = self.tokenizer.model
+        self.bare, self.spaced = Pieces(self), Pieces(self, " ")
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ask(self, piece: str) -> bytes:
+        word = piece[1:] if piece[0] == " " else piece
+        if not (word.isascii() and word.isalpha()):
+            return self.whole(piece)
+        # one word of letters that the vocabulary spells as they are, and a space as U+0120
+        spelt = word.lower() if self.kind == "words" else word if word is piece else "\u0120" + word
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        latin = is_latin(text)
+        lower = text.lower() if self.kind == "words" and latin else text  # as the normaliser does
+        if self.kind == "whole" or any(a in lower for a in self.added):
+            return self.whole(text)
+        odd = any(map(text.__contains__, _ODD_LATIN)) if latin else _ODD_SPACE.search(text)
+        if self.kind == "words":
+            return b"".join(map(self.bare.__getitem__, _WORDS.findall(lower) if odd else lower.split()))
+        if odd:
+            return self.whole(text)
+        if not text or any(map(text.__contains__, _PLAIN_RUNS)) or text.strip(" \n") != text:
+            return b"".join(map(self.bare.__getitem__, _SPACE_FIRST.findall(text)))
+        first, *rest = text.replace("\n", " \n").split(" ")  # each of the rest follows a space or is a line's first
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
-        pieces = set().union(*(p for p in cut if p is not None))
-        if len(self.known) > CACHE:  # what is asked for again in time moves on, the rest is forgotten
-            self.known, self.older = {}, self.known
-        new = pieces.difference(self.known)
-        back = new.intersection(self.older)
-        self.known.update((p, self.older[p]) for p in back)
-        asked = list(new.difference(back))
-        self.known.update(zip(asked, self.ask(asked), strict=True))
-        whole = iter(self.library([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        get = self.known.__getitem__
-        out = [np.frombuffer(next(whole) if p is None else b"".join(map(get, p)), self.dtype) for p in cut]
-        for p in asked:
-            if len(p) > LONG_PIECE:
-                del self.known[p]
-        return out
+        return [np.frombuffer(self._ids(t), self.dtype) for t in texts]
 
     def encode_one(self, text: str) -> np.ndarray:
         return self.encode([text])[0]
