@@ -48,7 +48,7 @@ def test_memory_of_pieces_stays_bounded(monkeypatch):
     enc = tokens.Encoder(tokens.tokenizer_source(BYTE))
     for i in range(300):
         enc.encode_one(f"word{i} other{i}, " * 2)
-    assert len(enc.known) <= 60 and len(enc.older) <= 60
+    assert all(len(p) <= 51 and len(p.older) <= 51 for p in (enc.bare, enc.spaced))
 
 
 def check_packing(rows, window):
