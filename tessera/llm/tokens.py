@@ -3,8 +3,9 @@
 For the two makes of tokenizer below a text may be cut at certain places that neither
 the normaliser nor the pattern ever joins, so the library is asked once for each
 distinct piece, many of them in one call, and texts are strung together from its
-answers. A piece of ASCII letters alone is one word by either pattern and goes to the
-library's model; any other piece takes its whole chain.
+answers. A piece of Latin-1 letters alone is one word by either pattern and goes to the
+library's model, spelt as the vocabulary spells its bytes; any other piece takes the
+library's whole chain.
 
 * "words": white space becomes one space and is dropped by the pattern, so words
   between ASCII white space don't know of each other.
@@ -42,7 +43,10 @@ _PLAIN_RUNS = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f"]
 _SPACE_FIRST = re.compile(r" ?[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+(?![^ \t\n\r\v\f])|[ \t\n\r\v\f]")
 _WORDS = re.compile(r"[^ \t\n\r\v\f]+")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]$")
+_LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: how byte-level vocabularies spell bytes: visible Latin-1 characters as they are, the others from U+0100 on
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 _encoders: dict[str, Encoder] = {}
 
@@ -77,8 +81,8 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            stem = piece.rstrip(_MARKS)
-            if len(stem) < len(piece) and _LETTER.search(stem):
+            stem = piece.rstrip(_MARKS) if piece[-1] in _MARKS else ""
+            if stem and _LATIN_WORD.fullmatch(stem[-1]):
                 ids = self[stem] + self.encoder.bare[piece[len(stem) :]]
             elif piece[0] == "\n" and self.before:
                 ids = self.encoder.bare["\n"] + self.encoder.bare[piece[1:]] if len(piece) > 1 else self.encoder.bare["\n"]
@@ -111,10 +115,12 @@ class Encoder:
 
     def ask(self, piece: str) -> bytes:
         word = piece[1:] if piece[0] == " " else piece
-        if not (word.isascii() and word.isalpha()):
+        plain = word.isascii() and word.isalpha()
+        if not plain and not _LATIN_WORD.fullmatch(word):
             return self.whole(piece)
-        # one word of letters that the vocabulary spells as they are, and a space as U+0120
-        spelt = word.lower() if self.kind == "words" else word if word is piece else "\u0120" + word
+        spelt = piece.lower() if self.kind == "words" else piece
+        if not plain or word is not piece:
+            spelt = spelt.encode().decode("latin-1").translate(_SPELT)
         return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _ids(self, text: str) -> bytes:
