@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Dialog tags.
 ROLES = ("user", "assistant", "system")
+#: Literal speaker marks and what they become.
+MARKS = (("SYSTEM: ", "<|system|>\n"), ("USER: ", "\n<|user|>\n"), ("ASSISTANT: ", "\n<|assistant|>\n"), ("<|endoftext|>", ""))
 EOS = 256
 
 
@@ -92,7 +94,7 @@ def pretty_piece(c: Column | str) -> Column:
 def role_tags(c: Column | str) -> Column:
     """Literal speaker marks to dialog tags."""
     out = strip(c)
-    for a, b in (("SYSTEM: ", "<|system|>\n"), ("USER: ", "\n<|user|>\n"), ("ASSISTANT: ", "\n<|assistant|>\n"), ("<|endoftext|>", "")):
+    for a, b in MARKS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

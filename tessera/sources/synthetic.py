@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ FILLER = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "lambda
 NEEDLE_HEAD = "You will be given a long text. Memorize the secret token.\n\nSECRET_TOKEN = {needle}\n\n"
 NEEDLE_TAIL = "\nQuestion: What is the SECRET_TOKEN?\nAnswer:"
 LOG_HEAD = "You are given a long log of variable assignments.\nRules:\n- Each line is VAR_xxxxxx = integer, or VAR_xxxxxx = VAR_yyyyyy + k.\n- Compute the requested VAR at the end.\n\nLOG BEGIN\n"
+#: An episode's numbers.
+BASE, LINES, DERIVED, ANEW, ASKED, SOURCES, LITERAL, STEP = 64, 128, 0.65, 0.35, 32, 129, 10_000_000, 9999
 LOG_TAIL = "\nLOG END\n\nQuestion: What is {query_key}?\nAnswer with just the integer."
 
 
@@ -46,53 +51,48 @@ def needles(spark: SparkSession, n: int, target_tokens: int, seed: int = 0) -> D
     return spark.sql(f"select id, prompt, answer from range({n}), lateral tessera_needle(cast(id as int))")
 
 
-class Ledger:
-    """Assignments of a key-value log and the values they bind."""
-
-    def __init__(self, rng: random.Random):
-        self.rng, self.values, self.lines = rng, [], []
-
-    def name(self, i: int) -> str:
-        return f"VAR_{i:06d}"
-
-    def literal(self) -> None:
-        self.values.append(self.rng.randint(-10_000_000, 10_000_000))
-        self.lines.append(f"{self.name(len(self.values) - 1)} = {self.values[-1]}")
-
-    def derived(self, target: int | None, below: int) -> None:
-        source, step = self.rng.randrange(below), self.rng.randint(-9999, 9999)
-        value = self.values[source] + step
-        if target is None:
-            target = len(self.values)
-            self.values.append(value)
+def variable(i: int) -> str:
+    return f"VAR_{i:06d}"
+
+
+def assignments(rng: np.random.Generator, values: list[int], asked: int) -> Iterator[str]:
+    """Endless lines of a log that binds `values`: literals for the first BASE, then new
+    variables, most of them a step from some earlier one; now and then `asked` is bound
+    anew to a step from one of the first."""
+    base = rng.integers(-LITERAL, LITERAL, BASE, endpoint=True).tolist()
+    for i, x in enumerate(base):
+        values.append(x)
+        yield f"{variable(i)} = {x}"
+    while True:
+        derived, anew = rng.random(2) < (DERIVED, ANEW)
+        if derived:
+            source, step = int(rng.integers(len(values))), int(rng.integers(-STEP, STEP, endpoint=True))
+            values.append(values[source] + step)
+            yield f"{variable(len(values) - 1)} = {variable(source)} + {step}"
         else:
-            self.values[target] = value
-        self.lines.append(f"{self.name(target)} = {self.name(source)} + {step}")
+            values.append(int(rng.integers(-LITERAL, LITERAL, endpoint=True)))
+            yield f"{variable(len(values) - 1)} = {values[-1]}"
+        if anew:
+            source, step = int(rng.integers(min(len(values), SOURCES))), int(rng.integers(-STEP, STEP, endpoint=True))
+            values[asked] = values[source] + step
+            yield f"{variable(asked)} = {variable(source)} + {step}"
 
 
 def kv_episodes(spark: SparkSession, n: int, min_tokens: int, max_tokens: int, seed: int = 0) -> DataFrame:
-    """id, prompt, answer: a log of 64 variables, then mostly derived ones, in which
-    the queried variable is bound anew now and then; it ends at a multiple of 128
-    lines once the prompt has a drawn number of byte tokens."""
+    """id, prompt, answer: a log of assignments, LINES of them at a time until the prompt
+    has a drawn number of byte tokens, and the value that the asked variable then has."""
 
     @F.udtf(returnType="prompt: string, answer: string")
     class Episode:
         def eval(self, i: int):
-            rng = random.Random(f"{seed}:{i}")
-            goal, log = rng.randint(min_tokens, max_tokens), Ledger(rng)
-            for _ in range(64):
-                log.literal()
-            asked, prompt = rng.randint(0, 32), ""
-            while len(prompt.encode()) < goal:
-                if rng.random() < 0.65:
-                    log.derived(None, len(log.values))
-                else:
-                    log.literal()
-                if rng.random() < 0.35:
-                    log.derived(asked, min(len(log.values), 129))
-                if len(log.lines) % 128 == 0:
-                    prompt = LOG_HEAD + "\n".join(log.lines) + LOG_TAIL.format(query_key=log.name(asked))
-            yield prompt, str(log.values[asked])
+            rng = np.random.default_rng([seed, i])
+            goal, asked = int(rng.integers(min_tokens, max_tokens, endpoint=True)), int(rng.integers(ASKED, endpoint=True))
+            values: list[int] = []
+            log, lines, tail = assignments(rng, values, asked), [], LOG_TAIL.format(query_key=variable(asked))
+            room = goal - len((LOG_HEAD + tail).encode())
+            while not lines or sum(map(len, lines)) + len(lines) - 1 < room:
+                lines += islice(log, LINES)
+            yield LOG_HEAD + "\n".join(lines) + tail, str(values[asked])
 
     spark.udtf.register("tessera_episode", Episode)
     return spark.sql(f"select id, prompt, answer from range({n}), lateral tessera_episode(cast(id as int))")
