@@ -23,6 +23,17 @@ def strip(c: Column | str) -> Column:
     return F.coalesce(F.btrim(col(c), F.lit(WS)), F.lit(""))
 
 
+def nonempty(c: Column | str) -> Column:
+    """Neither null nor empty, white space counting as text."""
+    return F.coalesce(col(c) != "", F.lit(False))
+
+
+def member_ci(c: Column | str, names: list[str]) -> Column:
+    """Whether a stripped value is among the names, without case; any is if there are none."""
+    wanted = {n.strip().lower() for n in names}
+    return F.lower(strip(c)).isin(*sorted(wanted)) if wanted else F.lit(True)
+
+
 def truncate(c: Column | str, max_chars: int) -> Column:
     return F.substring(strip(c), 1, max_chars) if max_chars > 0 else strip(c)
 

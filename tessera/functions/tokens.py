@@ -41,6 +41,15 @@ def blake2b_split(c: Column | str) -> Column:
     return F.arrow_udf(_blake2b, "string")(c)
 
 
+def _text_of_bytes(ids: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else bytes(i for i in x if i < 256).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+
+
+def byte_text(ids: Column | str) -> Column:
+    """The text of byte ids; other ids have none, and a cut character becomes U+FFFD."""
+    return F.arrow_udf(_text_of_bytes, "string")(ids)
+
+
 _loaded: dict = {}
 
 

@@ -18,6 +18,11 @@ def bucket_loss(df: DataFrame, bucket: str, order: str, loss: str, max_steps: in
     return first.groupBy(bucket).agg(F.avg(loss).alias("loss")).withColumn("ppl", F.exp("loss"))
 
 
+def first_examples(df: DataFrame, group: str, order: str, n: int = 10) -> DataFrame:
+    """The first n rows of each group."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__n") <= n).drop("__n")
+
+
 def macro_average(buckets: DataFrame) -> DataFrame:
     return buckets.agg(F.avg("loss").alias("loss")).withColumn("ppl", F.exp("loss"))
 

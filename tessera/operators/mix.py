@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import md5_word
 from tessera.operators.ordered import ranked, running_sums
 
+GAP_BITS = 24
+
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
     total = max(1e-12, sum(weights.values()))
@@ -58,13 +60,23 @@ def interleave(df: DataFrame, source: str, order: str, weights: dict[str, int],
 
 
 def random_arrival(df: DataFrame, source: str, order: str, weights: dict[str, float], seed: int) -> DataFrame:
-    """Adds `t`, the random arrival; sort by (t, source)."""
-    w = F.lit(None).cast("double")
-    for k, x in weights.items():
-        w = F.when(F.col(source) == k, F.lit(float(x))).otherwise(w)
+    """Adds `t`, the random arrival, a whole number that grows within a source and is
+    distinct over all rows. Gaps are exponential, drawn from a digest of seed, source
+    and order; they are summed up in blocks."""
+    names = list(weights)
+    w, index = F.lit(None).cast("double"), F.lit(None).cast("bigint")
+    for i, k in enumerate(names):
+        w = F.when(F.col(source) == k, F.lit(float(weights[k]))).otherwise(w)
+        index = F.when(F.col(source) == k, F.lit(i)).otherwise(index)
     u = (md5_word(F.concat_ws(":", F.lit(seed), F.col(source), F.col(order).cast("string"))) + 0.5) / F.lit(2.0**32)
-    own = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("t", F.sum(-F.log(u) / w).over(own))
+    gap = F.floor(-F.log(u) / w * F.lit(2.0**GAP_BITS)).cast("bigint") + 1
+    summed = running_sums(df.where(F.col(source).isin(names)), order, {"t": gap}, (source,))
+    return summed.withColumn("t", F.col("t") * len(names) + index)
+
+
+def random_interleave(df: DataFrame, source: str, order: str, weights: dict[str, float], seed: int) -> DataFrame:
+    """Adds out_pos from 1, by random arrivals."""
+    return ranked(random_arrival(df, source, order, weights, seed), "t", "out_pos").drop("t")
 
 
 def repeat(df: DataFrame, order: str, times: int) -> DataFrame:
@@ -87,7 +99,5 @@ def mixed_splits(tables: dict[str, dict[str, DataFrame]], order: str, weights: d
             own = df.withColumn("source", F.lit(s))
             rows = own if rows is None else rows.unionByName(own)
         timed = random_arrival(rows, "source", order, {s: weights[s] for s in have}, seed + (999 if split == "val" else 0))
-        # arrivals to whole numbers, so that the running sum is dealt to blocks
-        at = timed.withColumn("__at", (F.col("t") * F.lit(float(1 << 30))).cast("bigint"))
-        out[split] = running_sums(at, "__at", {"running": F.col(n)}).where(F.col("running") - F.col(n) < target).drop("__at", "t")
+        out[split] = running_sums(timed, "t", {"running": F.col(n)}).where(F.col("running") - F.col(n) < target).drop("t")
     return out

@@ -9,10 +9,11 @@ from tessera.functions.text import md5_word
 from tessera.operators.ordered import slices, spans
 
 
-def pack_blocks(df: DataFrame, order: str, ids: str, block: int, drop_tail: bool = True) -> DataFrame:
+def pack_blocks(df: DataFrame, order: str, ids: str, block: int, drop_tail: bool = True, n: str | None = None) -> DataFrame:
     """(block_id, tokens). Pieces of documents are shuffled, not tokens, and a block
-    gathers no more than its length."""
-    at = slices(spans(df.withColumn("__n", F.size(ids).cast("bigint")), order, "__n"), block, "block_id")
+    gathers no more than its length. n: a column of the number of ids, so that offsets
+    are known without making the ids."""
+    at = slices(spans(df.withColumn("__n", F.col(n) if n else F.size(ids).cast("bigint")), order, "__n"), block, "block_id")
     piece = F.slice(F.col(ids), (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
     pieces = at.select("block_id", F.struct(F.col("lo"), piece.alias("p")).alias("s"))
     blocks = pieces.groupBy("block_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"])).alias("tokens"))

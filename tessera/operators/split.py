@@ -53,6 +53,13 @@ def bucketed_saturating_split(df: DataFrame, order: str, n: str, side: str, buck
     return out.where("split is not null").drop(*drop)
 
 
+def budget_by_shard(df: DataFrame, order: str, n: str, target: int, shard: int) -> DataFrame:
+    """Rows until the shards that are full hold the target, so past it by a shard at
+    most. Adds `running`."""
+    r = running_sums(df, order, {"running": F.col(n)})
+    return r.where((F.col("running") - F.col(n)) < -(-target // shard) * shard)
+
+
 def budget_prefix(df: DataFrame, order: str, n: str, target: int) -> DataFrame:
     """Rows until the target is reached, the last one passing it. Adds `running`."""
     return running_sums(df, order, {"running": F.col(n)}).where(F.col("running") - F.col(n) < target)

@@ -30,6 +30,11 @@ r AS (SELECT i.*, idx, (2 * row_number() OVER (PARTITION BY i.source ORDER BY {o
 SELECT row_number() OVER (ORDER BY vt, idx) AS out_pos, {columns} FROM r {where}"""
 
 
+#: random arrivals of items (source, doc_id, n), by the seed's digests
+ARRIVALS = """weights(source, w, idx) AS (VALUES ('en', 5, 0), ('fr', 3, 1), ('de', 2, 2), ('es', 1, 3)), items AS ({items}),
+arrivals AS (SELECT source, doc_id, n, (sum(floor(-ln((('0x' || substr(md5('{seed}:' || source || ':' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE) / w * 16777216.0::DOUBLE)::BIGINT + 1) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT * 4 + idx AS t FROM items JOIN weights USING (source))"""
+
+
 def first(role: str, k: int = 1) -> str:
     return f"list(t ORDER BY turn) FILTER (role = '{role}')[{k}]"
 
@@ -37,6 +42,33 @@ def first(role: str, k: int = 1) -> str:
 EXCHANGE = "CASE WHEN {u} = '' THEN '' ELSE '<|user|>' || chr(10) || {u} || chr(10) END || CASE WHEN {a} = '' THEN '' ELSE '<|assistant|>' || chr(10) || {a} || chr(10) END"
 
 ORACLES: dict[str, str] = {
+    "bin_scan": f"WITH {IDS} SELECT 'train-' || lpad((p // 100000)::VARCHAR, 5, '0') || '.bin' AS path, count(*)::BIGINT AS n_tokens, sum(x)::BIGINT AS token_sum FROM stream GROUP BY p // 100000",
+    "jsonl_append": "SELECT doc_id, lang FROM documents",
+    "nonempty_unstripped": "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE length(text) END::BIGINT AS n FROM documents WHERE doc_id % 4 = 1 OR (doc_id % 4 = 2 AND text <> '')",
+    "filter_lang_any": "SELECT doc_id, lang FROM documents",
+    "shard_budget": f'WITH {SPANS} SELECT doc_id, n, "end" AS running FROM spans WHERE start < 500000',
+    "random_interleave": f"WITH {ARRIVALS.format(seed=5, items='SELECT lang AS source, doc_id, 0 AS n FROM documents')} SELECT row_number() OVER (ORDER BY t) AS out_pos, source, doc_id FROM arrivals",
+    "interleave_mixed_units": interleaved(
+        "SELECT lang AS source, doc_id, strlen(text) AS n, unnest(CASE WHEN lang IN ('en', 'fr') THEN [0] ELSE range((strlen(text) + 1023) // 1024) END)::INT AS chunk_no FROM documents WHERE strlen(text) > 0",
+        "doc_id, chunk_no",
+        "source, doc_id, chunk_no, (CASE WHEN source IN ('en', 'fr') THEN n ELSE least(1024, n - 1024 * chunk_no) END)::BIGINT AS n_tokens",
+    ),
+    "split_driver": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {SIZED}, {ARRIVALS.format(seed=seed, items=f'SELECT lang AS source, doc_id, n FROM sized WHERE side = {lit(side)}')}, r AS (SELECT *, sum(n) OVER (ORDER BY t)::BIGINT AS running FROM arrivals) SELECT {lit(side)} AS split, source, doc_id, running FROM r WHERE running - n < {target})"
+        for side, seed, target in (("train", 5, 400_000), ("val", 1004, 20_000))
+    ),
+    "accuracy_examples": "SELECT lang, doc_id, ok FROM (SELECT lang, doc_id, (quality = 1) = contains(text, '. ') AS ok, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents JOIN labels USING (doc_id)) WHERE k <= 10",
+    "tool_transcript": """WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id, CASE conv_id % 4
+ WHEN 0 THEN '<|system|>' || chr(10) || 's ' || chr(10) || '<|user|>' || chr(10) || 'u' || conv_id || ' ' || chr(10) || '<|assistant|>' || chr(10) || 'a' || chr(10)
+ WHEN 1 THEN '<|user|>' || chr(10) || 'find ' || conv_id || ' ' || chr(10) || '<|assistant|>' || chr(10) || '<call:search>{"name": "Web_Search", "args": "q' || conv_id || '"}</call> <response>found' || chr(10) || '</response>' || chr(10) || '<|user|>' || chr(10) || 'ok' || chr(10)
+ WHEN 2 THEN '{"name": "f", "arguments": {"a": ' || conv_id || '}}' || chr(10)
+ ELSE '<|user|>' || chr(10) || 'do ' || chr(10) || '<|assistant|>' || chr(10) || '<call:tool>{"name": "run", "args": ' || conv_id || '}</call> and <call:tool>{"name": "x", "args": 7}</call>' || chr(10) END AS text
+FROM c""",
+    "multinomial_draw": f"""WITH {VECTORS}, p AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM c),
+q AS (SELECT vec_id, i, len, sum(e) OVER (PARTITION BY vec_id ORDER BY i) / sum(e) OVER (PARTITION BY vec_id) AS cum, (('0x' || substr(md5('draw:' || vec_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM p)
+SELECT vec_id, coalesce(min(i) FILTER (cum > u), max(len) - 1)::INT AS i FROM q GROUP BY vec_id""",
+    "stream_dedup": f"SELECT md5(t) AS h, strlen(t)::BIGINT + 1 AS n FROM (SELECT DISTINCT trim(text, {WHITE}) AS t FROM documents)",
     "scan_documents": "SELECT doc_id, lang, source, n_chars FROM documents",
     "source_text_clean": f"SELECT lang AS bucket, doc_id, trim(text, {WHITE}) AS text FROM documents WHERE trim(text, {WHITE}) <> ''",
     "concat_configs": "SELECT row_number() OVER (ORDER BY source, doc_id) AS out_pos, doc_id FROM documents",

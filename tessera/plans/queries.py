@@ -34,7 +34,7 @@ def sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", "lang", F.array_append(K.byte_tokens("text"), F.lit(X.EOS)).alias("ids"))
+    return docs(spark, d).select("doc_id", "lang", X.n_tokens("text").alias("n"), F.array_append(K.byte_tokens("text"), F.lit(X.EOS)).alias("ids"))
 
 
 # ------------------------------------------------------------------ sources
@@ -131,19 +131,50 @@ def shard_manifest_drop_tail(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; a local session may do
+    without that setting."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
-@query
-def bin_scan(spark, d):
+def _shards(spark: SparkSession, d: str) -> str:
     out = _scratch(spark)
     sinks.write_shards(tokens(spark, d), "doc_id", "ids", out, 100_000).write.parquet(f"{out}-manifest")
-    t = readers.token_shards(spark, out)
-    return t.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.size("tokens").alias("n_tokens"), K.total(F.col("tokens")).alias("token_sum"))
+    return out
+
+
+@query
+def bin_scan(spark, d):
+    """Shards written, read back in pieces of bounded size, and counted."""
+    t = readers.token_shards(spark, _shards(spark, d), ids_a_row=30_000)
+    own = F.regexp_extract("path", "([^/]+)$", 1)
+    return t.groupBy(own.alias("path")).agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(K.total(F.col("tokens"))).alias("token_sum"))
+
+
+@query
+def shard_head(spark, d):
+    """The first 500 ids of each shard and their text."""
+    t = readers.token_shards(spark, _shards(spark, d), ids_a_row=500, rows=1)
+    own = F.regexp_extract("path", "([^/]+)$", 1).alias("path")
+    return t.select(own, F.size("tokens").cast("bigint").alias("n_tokens"), K.total(F.col("tokens")).alias("token_sum"), F.length(K.byte_text("tokens")).cast("bigint").alias("n_chars"))
+
+
+@query
+def jsonl_append(spark, d):
+    """Rows appended in two goes to one folder of JSON lines, read back."""
+    out, rows = _scratch(spark), docs(spark, d).select("doc_id", "lang")
+    for part in (0, 1):
+        sinks.append_lines(rows.where(F.col("doc_id") % 2 == part), out)
+    return spark.read.schema("doc_id bigint, lang string").json(out)
 
 
 @query
@@ -169,10 +200,23 @@ def strip_text(spark, d):
     return docs(spark, d).select("doc_id", X.strip(padded).alias("text")).withColumn("n", F.length("text").cast("bigint"))
 
 
+@query
+def nonempty_unstripped(spark, d):
+    """White space counts as a text here; null and empty ones don't."""
+    c = docs(spark, d).select("doc_id", F.expr("case doc_id % 4 when 0 then '' when 1 then ' ' when 2 then text end").alias("text"))
+    return c.where(X.nonempty("text")).select("doc_id", F.length("text").cast("bigint").alias("n"))
+
+
 @query
 def filter_lang_ci(spark, d):
     given = F.concat(F.lit(" "), F.upper("lang"), F.lit(" "))
-    return docs(spark, d).where(F.lower(X.strip(given)).isin("en", "de")).select("doc_id", "lang")
+    return docs(spark, d).where(X.member_ci(given, ["EN", "de "])).select("doc_id", "lang")
+
+
+@query
+def filter_lang_any(spark, d):
+    """No names given: every row stays."""
+    return docs(spark, d).where(X.member_ci(F.col("lang"), [])).select("doc_id", "lang")
 
 
 @query
@@ -282,6 +326,12 @@ def budget_prefix(spark, d):
     return split.budget_prefix(sized(spark, d), "doc_id", "n", 500_000).select("doc_id", "n", "running")
 
 
+@query
+def shard_budget(spark, d):
+    """A budget that only counts tokens of shards already full."""
+    return split.budget_by_shard(sized(spark, d), "doc_id", "n", 450_000, 100_000).select("doc_id", "n", "running")
+
+
 @query
 def mix_report(spark, d):
     weights = spark.createDataFrame([(k, w) for k, w in mix.normalised({k: float(w) for k, w in WEIGHTS.items()}).items()], "source string, weight_norm double")
@@ -308,6 +358,34 @@ def interleave_first_exhausted(spark, d):
     return mix.interleave(docs(spark, d).select(F.col("lang").alias("source"), "doc_id"), "source", "doc_id", WEIGHTS, first_exhausted=True).select("out_pos", "source", "doc_id")
 
 
+@query
+def random_interleave(spark, d):
+    """Each next pick a draw in proportion to the weights, by arrival times."""
+    return mix.random_interleave(docs(spark, d).select(F.col("lang").alias("source"), "doc_id"), "source", "doc_id", WEIGHTS, seed=5).select("out_pos", "source", "doc_id")
+
+
+@query
+def interleave_mixed_units(spark, d):
+    """Whole texts of some languages, chunks of 1024 byte tokens of the others."""
+    n = F.octet_length("text")
+    unit = F.when(F.col("lang").isin("en", "fr"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.expr("(octet_length(text) - 1) div 1024").cast("int")))
+    units = docs(spark, d).where(n > 0).select(F.col("lang").alias("source"), "doc_id", F.explode(unit).alias("chunk_no"), n.alias("n"))
+    most = units.agg(F.max("chunk_no")).first()[0] + 1
+    size = F.when(F.col("source").isin("en", "fr"), F.col("n")).otherwise(F.least(F.lit(1024), F.col("n") - 1024 * F.col("chunk_no")))
+    units = units.withColumns({"ord": F.col("doc_id") * most + F.col("chunk_no"), "n_tokens": size.cast("bigint")})
+    return mix.interleave(units, "source", "ord", WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no", "n_tokens")
+
+
+@query
+def split_driver(spark, d):
+    """Both splits mixed from all languages up to their targets, val by a seed of its own."""
+    own = sized(spark, d).select("lang", "doc_id", "n", "side")
+    tables = {k: {s: own.where((F.col("lang") == k) & (F.col("side") == s)).select("doc_id", "n") for s in ("train", "val")} for k in WEIGHTS}
+    out = mix.mixed_splits(tables, "doc_id", {k: float(w) for k, w in WEIGHTS.items()}, 5, {"train": 400_000, "val": 20_000}, "n")
+    rows = [t.select(F.lit(s).alias("split"), "source", "doc_id", "running") for s, t in out.items()]
+    return rows[0].unionByName(rows[1])
+
+
 @query
 def normalize_weights(spark, d):
     return spark.createDataFrame(list(mix.normalised({"web": 0.6, "code": 0.3, "math": 0.3, "off": 0.0}).items()), "source string, w double").withColumn("w", F.round("w", 9))
@@ -354,14 +432,14 @@ def bpe_pair_counts(spark, d):
 
 @query
 def pack_blocks(spark, d):
-    b = pack.pack_blocks(tokens(spark, d), "doc_id", "ids", BLOCK)
+    b = pack.pack_blocks(tokens(spark, d), "doc_id", "ids", BLOCK, n="n")
     return b.select("block_id", F.size("tokens").cast("bigint").alias("n"), K.total(F.col("tokens")).alias("token_sum"), F.element_at("tokens", 1).alias("first"), F.element_at("tokens", -1).alias("last"))
 
 
 @query
 def next_token_pairs(spark, d):
     """Pairs of all blocks, summed up by block."""
-    pairs = pack.next_token_pairs(pack.pack_blocks(tokens(spark, d), "doc_id", "ids", BLOCK))
+    pairs = pack.next_token_pairs(pack.pack_blocks(tokens(spark, d), "doc_id", "ids", BLOCK, n="n"))
     x, y, at = (F.col(c).cast("bigint") for c in ("x", "y", "pos"))
     return pairs.groupBy("block_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(x * y).alias("xy"), F.sum((at + 1) * (x + 3 * y)).alias("weighed"))
 
@@ -440,17 +518,20 @@ def role_tag_replace(spark, d):
     return chat.conversations(table(spark, d, "conversations")).select("conv_id", X.role_tags(F.concat(said, F.lit(" <|endoftext|>"))).alias("text"))
 
 
+#: transcripts of a conversation {id}: with a call, a nested one that stays, a response
 TRANSCRIPTS = [
-    (6, "SYSTEM: s USER: u ASSISTANT: a <|endoftext|>"),
-    (7, 'USER: find ASSISTANT: {"name": "web_search", "arguments": "q"} FUNCTION RESPONSE: found\nUSER: ok'),
-    (8, '{"name": "f", "arguments": {"a": 1}}'),
+    "SYSTEM: s USER: u{id} ASSISTANT: a <|endoftext|>",
+    'USER: find {id} ASSISTANT: {"name": "Web_Search", "arguments": "q{id}"} FUNCTION RESPONSE: found\nUSER: ok',
+    '{"name": "f", "arguments": {"a": {id}}}',
+    'USER: do ASSISTANT: {"name" : "run" , "arguments":{id}} and {"name": "x", "arguments": "7"}',
 ]
 
 
 @query
 def tool_transcript(spark, d):
-    t = spark.createDataFrame(TRANSCRIPTS, "id int, chat string")
-    return t.select("id", chat.tool_transcript(F.col("chat")).alias("text"))
+    form = F.element_at(F.array(*map(F.lit, TRANSCRIPTS)), F.pmod("conv_id", F.lit(len(TRANSCRIPTS))).cast("int") + 1)
+    c = table(spark, d, "conversations").select("conv_id").distinct()
+    return c.select("conv_id", chat.tool_transcript(F.replace(form, F.lit("{id}"), F.col("conv_id").cast("string"))).alias("text"))
 
 
 @query
@@ -545,6 +626,14 @@ def accuracy(spark, d):
     return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("acc"))
 
 
+@query
+def accuracy_examples(spark, d):
+    """The first ten examples of each language and how they were judged."""
+    both = docs(spark, d).join(table(spark, d, "labels"), "doc_id")
+    ok = (F.col("quality") == 1) == F.contains(F.col("text"), F.lit(". "))
+    return metrics.first_examples(both.select("lang", "doc_id", ok.alias("ok")), "lang", "doc_id").select("lang", "doc_id", "ok")
+
+
 @query
 def grouped_contains_acc(spark, d):
     band = F.least(F.expr("octet_length(text) div 1000"), F.lit(5)).cast("int")
@@ -645,6 +734,13 @@ def stream_dedup(spark, d):
     return streams.stream_dedup(spark, d, _scratch(spark))
 
 
+@query
+def stream_budget(spark, d):
+    from tessera.streaming import dedup as streams
+
+    return streams.stream_budget(spark, d, _scratch(spark), 300_000)
+
+
 @query
 def stream_totals(spark, d):
     from tessera.streaming import dedup as streams

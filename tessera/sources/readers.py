@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +41,26 @@ def line_delimited(df: DataFrame, text: str) -> DataFrame:
     return split.withColumn("prompt", strip("__s")).drop("__s").where("prompt <> ''")
 
 
-def token_shards(spark: SparkSession, path: str, dtype: str = "uint16") -> DataFrame:
-    """Headerless little-endian shards below a folder: (path, tokens)."""
+def token_shards(spark: SparkSession, path: str, dtype: str = "uint16", ids_a_row: int = 1 << 16, rows: int | None = None) -> DataFrame:
+    """Headerless little-endian shards below a folder: (path, part, tokens), ids_a_row
+    ids at most in a row, and the first `rows` rows of each shard where that is set.
+    Only names and lengths are listed; a part is read by its place in the file."""
     kind = np.dtype(dtype).newbyteorder("<")
-
-    @F.arrow_udf("array<bigint>")
-    def decode(content: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(c.as_buffer(), kind).astype(np.int64) for c in content], pa.list_(pa.int64()))
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(path)
-    return files.select("path", decode("content").alias("tokens"))
+    step = ids_a_row * kind.itemsize
+
+    def read(batches):
+        for batch in batches:
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                where, own = fs.FileSystem.from_uri(name if not name.startswith("file:") or name.startswith("file://") else "file://" + name[5:])
+                with where.open_input_file(own) as f:
+                    f.seek(part * step)
+                    ids = np.frombuffer(f.read(step), kind).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part]), pa.array([ids], pa.list_(pa.int64()))], ["path", "part", "tokens"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
+    last = F.ceil(F.col("length") / step) - 1
+    parts = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), last if rows is None else F.least(last, F.lit(rows - 1)))).alias("part"))
+    return parts.repartition("path", "part").mapInArrow(read, "path string, part bigint, tokens array<bigint>")
 
 
 def chunks(df: DataFrame, tokens: Column, size: int) -> DataFrame:

@@ -84,6 +84,11 @@ def copy_extra(sources: list[tuple[str, str]], out: str) -> int:
     return done
 
 
+def append_lines(df: DataFrame, out: str) -> None:
+    """Rows added to a folder of JSON lines; files of its own for each task, no lock."""
+    df.write.mode("append").json(out)
+
+
 def report(df: DataFrame, out: str) -> None:
     """One JSON object a row."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(out)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import hash_split, n_tokens
+from tessera.functions.text import hash_split, n_tokens, strip
 from tessera.operators.dedup import content_key
+from tessera.operators.split import budget_prefix
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,27 +24,42 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Drain what is there now into Parquet files; a restart goes on from the checkpoint."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Drain what is there now into Parquet files. The folder holds output and state,
+    so a run with the same one goes on where the last ended, and adds to its rows."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """doc_id of one document of each stripped text, by exactly-once state."""
-    docs = read_documents(spark, sf_dir).select("doc_id", content_key().alias("h"))
-    name = uuid.uuid4().hex
-    return run_to_end(docs.dropDuplicates(["h"]), f"{folder}/out-{name}", f"{folder}/state-{name}").select("doc_id")
+    """One row of each stripped text: its digest and token count. Which of equal texts
+    comes first does not show. The state holds a digest for each distinct text."""
+    docs = read_documents(spark, sf_dir).select(content_key().alias("h"), n_tokens(strip("text")).alias("n"))
+    return run_to_end(docs.dropDuplicates(["h"]), folder)
 
 
 def stream_totals(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Token totals by split, kept across batches by foreachBatch in one table a batch."""
-    name = uuid.uuid4().hex
+    """Token totals by split, kept across batches by foreachBatch in one table a batch;
+    a batch done again writes its table again."""
     docs = read_documents(spark, sf_dir).select(hash_split("text", 2.0).alias("split"), n_tokens("text").alias("n"))
 
     def add(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).write.mode("overwrite").parquet(f"{folder}/totals-{name}/epoch={epoch}")
+        batch.groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).write.mode("overwrite").parquet(f"{folder}/totals/epoch={epoch}")
+
+    docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/totals").groupBy("split").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
+
+def stream_budget(spark: SparkSession, sf_dir: str, folder: str, budget: int) -> DataFrame:
+    """doc_ids, in order within a batch, until the token budget is used up; what earlier
+    batches used is read from their tables, so the budget holds across restarts."""
+    docs = read_documents(spark, sf_dir).select("doc_id", n_tokens("text").alias("n"))
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        done = [f"{folder}/taken/epoch={e}" for e in range(epoch)]
+        used = batch.sparkSession.read.parquet(*done).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if done else 0
+        budget_prefix(batch, "doc_id", "n", max(0, budget - used)).select("doc_id", "n").write.mode("overwrite").parquet(f"{folder}/taken/epoch={epoch}")
 
-    docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state-{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/totals-{name}").groupBy("split").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/taken").select("doc_id", "n")

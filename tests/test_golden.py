@@ -84,13 +84,37 @@ def test_blocks_pairs_and_shards(spark, tmp_path):
     assert [(r.x, r.y) for r in pairs] == [(1, 2), (2, 0), (0, 3)]
     rows = sinks.write_shards(docs, "d", "ids", f"{tmp_path}/s", 4).orderBy("shard_id").collect()
     assert [(r.name, r.n_tokens) for r in rows] == [("train-00000.bin", 4), ("train-00001.bin", 4), ("train-00002.bin", 1)]
-    back = [x for r in readers.token_shards(spark, f"{tmp_path}/s").orderBy("path").collect() for x in r.tokens]
+    back = [x for r in readers.token_shards(spark, f"{tmp_path}/s", ids_a_row=3).orderBy("path", "part").collect() for x in r.tokens]
     assert back == [1, 2, 0, 3, 4, 5, 0, 6, 0]
     sinks.write_shards(docs, "d", "ids", f"{tmp_path}/f", 4, drop_tail=True).collect()
     assert len(readers.shards_below(f"{tmp_path}/f")) == 2
     assert [r.s for r in readers.chunks(spark.createDataFrame([(list(range(10)),)], "t array<int>"), F.col("t"), 4).select(F.size("chunk").alias("s")).collect()] == [4, 4, 2]
 
 
+def test_heads_of_shards(spark, tmp_path):
+    text = "häuser und höfe"
+    ids = list(text.encode())
+    sinks.write_shards(spark.createDataFrame([(0, [*ids, 256, *ids])], "d bigint, ids array<int>"), "d", "ids", f"{tmp_path}/s", len(ids) + 4).collect()
+    rows = readers.token_shards(spark, f"{tmp_path}/s", ids_a_row=len(ids) + 1, rows=1).orderBy("path").select(F.size("tokens").alias("n"), K.byte_text("tokens").alias("t")).collect()
+    assert rows[0].t == text and rows[0].n == len(ids) + 1 and rows[1].n == len(ids) - 3
+
+
+def test_a_stream_goes_on_from_its_folder(spark, tmp_path):
+    from tessera.streaming import dedup as streams
+
+    def add(rows, name):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+
+    add([(1, "a"), (2, "b"), (3, "a ")], "one")
+    first = streams.stream_dedup(spark, f"{tmp_path}", f"{tmp_path}/d").count()
+    taken = {r.doc_id for r in streams.stream_budget(spark, f"{tmp_path}", f"{tmp_path}/b", 7).collect()}
+    add([(4, "b"), (5, "c"), (6, "d")], "two")
+    assert (first, streams.stream_dedup(spark, f"{tmp_path}", f"{tmp_path}/d").count()) == (2, 4)
+    assert taken == {1, 2, 3} == {r.doc_id for r in streams.stream_budget(spark, f"{tmp_path}", f"{tmp_path}/b", 7).collect()}
+    again = streams.stream_totals(spark, f"{tmp_path}", f"{tmp_path}/t").agg(F.sum("docs")).first()[0]
+    assert again == 6 == streams.stream_totals(spark, f"{tmp_path}", f"{tmp_path}/t").agg(F.sum("docs")).first()[0]
+
+
 def test_spans_and_slices(spark):
     rng = random.Random(1)
     sizes = [rng.randrange(0, 9) for _ in range(200)]
