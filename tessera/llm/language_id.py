@@ -46,7 +46,7 @@ CENTROIDS = 4
 REJECT_SHARE = 0.002
 REJECT_MARGIN = 0.75
 ENOUGH = 400
-PIECE = 1 << 22
+PIECE = 1 << 19
 CHUNK = 64
 #: bytes to features' alphabet: a to z and bytes from 128 as they are, anything else a space
 LETTERS = np.array([c if 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint32)

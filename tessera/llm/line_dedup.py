@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ BINS = BANDS * ROWS
 THRESHOLD = 0.8
 BLANK = " \t\r\x0b\x0c"
 LINE_BATCH = 2000
-LINE_CHARS = 1 << 20
+LINE_CHARS = 1 << 19
 EMPTY = np.uint32(0xFFFFFFFF)
 PRIME = 0x9E3779B97F4A7C15
 
@@ -175,7 +176,7 @@ def signatures(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, id_halves([line_id(x) for x in lines])), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS))], names)
 
     rows = texts.mapInArrow(step, ", ".join(f"{n} bigint" for n in names))
-    return rows.groupBy("line", "rest").agg(*[F.first(n).alias(n) for n in names[2:]])
+    return rows.groupBy("line", "rest").agg(*[F.min(n).alias(n) for n in names[2:]])
 
 
 def candidate_sets(postings: DataFrame, cap: int = POSTING_CAP, rows: int | None = None) -> DataFrame:
@@ -215,11 +216,22 @@ def grams(line: str, k: int = SHINGLE) -> set[str]:
     return {line[i : i + k] for i in range(len(line) - k + 1)}
 
 
+def packed_grams(line: str) -> np.ndarray | None:
+    """The distinct shingles themselves, sorted: eight characters under 256 are a number
+    of 64 bits. None for a line with other characters."""
+    try:
+        data = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return np.unique(np.ndarray(len(data) - SHINGLE + 1, "<u8", data, strides=(1,)))
+
+
 class Shingled:
     """The distinct shingles of many lines, each line's sorted, in one array."""
 
     def __init__(self, lines: list[str], k: int = SHINGLE):
         self.lines = lines
+        self.packed = lru_cache(64)(lambda i: packed_grams(lines[i]))
         h, counts = shingle_hashes(lines, k)
         line = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
         code = np.sort(line << np.uint64(44) | h >> np.uint64(20))
@@ -236,8 +248,16 @@ class Shingled:
         out = self._near(rest, x, threshold)
         at = np.flatnonzero(out)
         if len(at):
-            own = grams(self.lines[x])
-            out[at] = [len(own & g) >= threshold * len(own | g) - 1e-9 for g in (grams(self.lines[i]) for i in rest[at])]
+            own = self.packed(int(x))
+            for k, i in zip(at.tolist(), rest[at].tolist(), strict=True):
+                mine, other = own, self.packed(i)
+                if mine is None or other is None:
+                    mine, other = grams(self.lines[x]), grams(self.lines[i])
+                    shared = len(mine & other)
+                else:
+                    both = np.sort(np.concatenate([mine, other]))
+                    shared = np.count_nonzero(both[1:] == both[:-1])
+                out[k] = shared >= threshold * (len(mine) + len(other) - shared) - 1e-9
         return out
 
     def _near(self, rest: np.ndarray, x: int, threshold: float) -> np.ndarray:

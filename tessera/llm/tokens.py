@@ -28,7 +28,7 @@ from array import array
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 250_000
 LONG_PIECE = 256
 #: The parts of the two makes of tokenizer file whose cutting places are known.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}

@@ -245,6 +245,22 @@ def test_bands_find_similar_lines():
     assert found >= 297
 
 
+def test_similarity_is_that_of_the_shingles():
+    rng = random.Random(7)
+    lines = []
+    for _ in range(40):
+        x = "".join(rng.choice("abcdé ") for _ in range(rng.randrange(8, 120)))
+        lines += [x, x[: len(x) // 2] + rng.choice(["", "zz", "漢"]) + x[len(x) // 2 :], x + x]
+    s, every = line_dedup.Shingled(lines), np.arange(len(lines))
+    for i, x in enumerate(lines):
+        own = {x[k : k + 8] for k in range(len(x) - 7)}
+        want = []
+        for y in lines:
+            other = {y[k : k + 8] for k in range(len(y) - 7)}
+            want.append(len(own & other) >= 0.8 * len(own | other) - 1e-9)
+        assert s.near(every, i, 0.8).tolist() == want
+
+
 def test_long_lines_are_compared_two_at_a_time(monkeypatch):
     rng = random.Random(4)
     base = "".join(rng.choice("abcdef ") for _ in range(500))
