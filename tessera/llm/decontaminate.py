@@ -4,7 +4,7 @@ Texts are normalised to words (A-Z lowered; runs of letters, digits and all
 characters from U+0080). Words of the items are numbered; every window of `window`
 consecutive item words is a pattern of numbers, so matches keep to words. A document's
 words become numbers by the same table, 0 where no item has the word, and are scanned
-once; matches give word positions, which are mapped back to code-point offsets of the
+once, runs without a 0 that could hold a pattern; matches give word positions, which are mapped back to code-point offsets of the
 original text.
 
 The automaton has a node for each distinct beginning of a pattern, about 50 bytes here
@@ -77,6 +77,7 @@ class Patterns:
     automaton: ahocorasick.Automaton
     length: list[int]
     items: list[tuple]
+    shortest: int = 0
 
     @classmethod
     def of(cls, parts: list[tuple[str | None, bytes]], window: int) -> Patterns:
@@ -92,7 +93,7 @@ class Patterns:
                     items.append((item,))
                 elif item not in items[k]:
                     items[k] += (item,)
-        out = cls(numbers, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [len(p) for p in at], items)
+        out = cls(numbers, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [len(p) for p in at], items, min(map(len, at), default=0))
         for pattern, k in at.items():
             out.automaton.add_word(pattern, k)
         if at:
@@ -104,7 +105,9 @@ class Patterns:
         w = words(text)
         if not w or not self.items:
             return len(w), [], set()
-        hits = list(self.automaton.iter(tuple(map(self.numbers.get, w, repeat(0)))))
+        own = np.fromiter(map(self.numbers.get, w, repeat(0)), np.int32, len(w))
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], own != 0, [False]])))
+        hits = [(a + e, k) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True) if b - a >= self.shortest for e, k in self.automaton.iter(tuple(own[a:b].tolist()))]
         if not hits:
             return len(w), [], set()
         edge = np.zeros(len(w) + 1, np.int64)

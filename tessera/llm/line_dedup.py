@@ -384,8 +384,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = candidate_sets(postings, rows=2 * rows)
     common.release(spark)
 
-    members = sets.select("line").distinct()
-    occ = common.materialise(occurrences(src, members, common.bitmap_log2(members.count())), "lines")
+    occ = common.materialise(occurrences(src, sets, common.bitmap_log2(sets.count())), "lines")
     texts = occ.where("text is not null").select("line", "id", "text").distinct()
     links = verified_links(sets.join(texts, "line").select("set", "id", "text"))
     comp = common.connected_components(links, rows)
