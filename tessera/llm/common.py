@@ -202,7 +202,7 @@ def by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str, to
 
 # ------------------------------------------------------------------ ranges
 
-RANGE_BITS = 16
+RANGE_BITS = 12
 MAX_RANGES = 1 << 15
 
 

@@ -36,8 +36,8 @@ from tessera.llm import common
 from tessera.llm.files import Folder
 
 REVISIT_BYTES = 1000
-ROLL_BYTES = 16 << 20
-SHARD_BYTES = 128 << 20
+ROLL_BYTES = 4 << 20
+SHARD_BYTES = 32 << 20
 HEAD_BYTES = 700
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the WARC 1.1 format.
