@@ -68,6 +68,7 @@ FROM c""",
     "multinomial_draw": f"""WITH {VECTORS}, p AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM c),
 q AS (SELECT vec_id, i, len, sum(e) OVER (PARTITION BY vec_id ORDER BY i) / sum(e) OVER (PARTITION BY vec_id) AS cum, (('0x' || substr(md5('draw:' || vec_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM p)
 SELECT vec_id, coalesce(min(i) FILTER (cum > u), max(len) - 1)::INT AS i FROM q GROUP BY vec_id""",
+    "stream_budget": f"WITH {SPANS} SELECT doc_id, n FROM spans WHERE start < 300000",
     "stream_dedup": f"SELECT md5(t) AS h, strlen(t)::BIGINT + 1 AS n FROM (SELECT DISTINCT trim(text, {WHITE}) AS t FROM documents)",
     "scan_documents": "SELECT doc_id, lang, source, n_chars FROM documents",
     "source_text_clean": f"SELECT lang AS bucket, doc_id, trim(text, {WHITE}) AS text FROM documents WHERE trim(text, {WHITE}) <> ''",
