@@ -8,8 +8,9 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,28 @@ def renamed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.toDF(*columns, *df.columns[len(columns) :])
 
 
+# -------------------------------------------------------------- Python workers
+
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, build: Callable[[], object]):
+    """What a Python worker keeps between tasks: one thing at most, and only until a
+    task of an operator that asks for another, or calls alone()."""
+    if key not in _resident:
+        alone()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def alone() -> None:
+    """Give back the memory of what another operator's tasks have left in this worker."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 # ------------------------------------------------------------------------ ranks
 
 RANK_BLOCKS = 2048

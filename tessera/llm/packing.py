@@ -41,7 +41,6 @@ from tessera.llm.tokens import encoder, tokenizer_source
 WINDOW = 1024
 FREQUENT = 64
 SWEEPS = 60
-BATCH = 64
 BLOCKS = 256
 
 
@@ -138,11 +137,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_c
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(sent.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, BATCH):
-                part = batch.slice(i, BATCH)
+            for part, texts in enc.groups(batch, 1):
                 doc, start, length, crc, total, raw = [], [], [], [], [], []
-                for d, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    whole = np.append(ids, end_id).astype("<u4")
+                for d, ids in zip(part.column(0).to_pylist(), texts, strict=True):
+                    whole = np.append(ids.astype("<u4"), np.uint32(end_id))
                     for s in range(0, len(whole), window):
                         piece = whole[s : s + window].tobytes()
                         doc.append(d), start.append(s), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(len(whole))

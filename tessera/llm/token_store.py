@@ -41,7 +41,6 @@ FOOTER = struct.Struct("<8sIIQQQqQ")  # magic, id bytes, null doc_ids, documents
 SAMPLE = 256
 ROLL = 1 << 24
 SHARD_BYTES = 24 << 20
-BATCH = 64
 READ_DOCS = 1 << 13
 
 
@@ -193,9 +192,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
         enc = encoder(sent.value)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, BATCH):
-                part = batch.slice(i, BATCH)
-                ids = [x.tobytes() + end for x in enc.encode(part.column(1).to_pylist())]
+            for part, texts in enc.groups(batch, 1):
+                ids = [x.tobytes() + end for x in texts]
                 own = part.column(0).fill_null(-(1 << 63)).to_numpy()
                 shard = np.searchsorted(edges, own, side="left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
