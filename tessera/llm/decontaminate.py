@@ -55,6 +55,7 @@ def segments(benchmark: DataFrame, window: int) -> DataFrame:
     nodes their windows make at most."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for batch in batches:
             item, body, nodes = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -144,6 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     n_items, items_sha256, contaminated and, unless switched off, spans: the
     hit passages as [start, end) code points."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     keep = common.others(docs.columns if keep is None else keep, RESULTS)
     bodies = common.materialise(segments(benchmark, window), "segments", rows=0)
     parts = common.materialise(common.gapless(bodies, [], ["item", "body"], "at", weight="nodes").select("item", "body", F.expr(f"at div {max_nodes}").alias("part")), "parts", rows=0)

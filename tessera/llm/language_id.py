@@ -144,6 +144,7 @@ def fit_sample(langs: list[str], counts: np.ndarray, df: np.ndarray, docs: int,
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model | None:
     """Learn from the rows of labelled with a text and a language."""
     spark = labelled.sparkSession
+    common.small_batches(spark)
     src = labelled.select(*(common.quoted(c).alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (lang_col, "lang")))).where("text is not null and lang is not null")
     sizes = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("rows"))
     sizes = [(r.lang, r.rows) for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
@@ -155,6 +156,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     picked = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53) < F.col("share")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         df, docs, met = np.zeros(DIM, np.int64), 0, set()
         for batch in batches:
             take = batch.column(2).to_numpy(zero_copy_only=False)
@@ -193,6 +195,7 @@ def has_letter(text_col: str = "text") -> Column:
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all, if none are named) with lang_pred, score and rejected."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     keep = common.others(docs.columns if keep is None else keep, ("lang_pred", "score", "rejected"))
     if model is None:
         return docs.select(*map(common.quoted, keep), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
@@ -201,6 +204,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     schema = T.StructType(src.schema.fields[:-2] + T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         model = sent.value
         names = np.array(model.languages, object)
         for batch in batches:

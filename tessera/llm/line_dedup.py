@@ -169,6 +169,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     names = ["line", "rest", *(f"b{i}" for i in range(BANDS))]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for lines in _batches(batches):
             lines = [x for x in lines if len(x) >= SHINGLE]
             if lines:
@@ -183,6 +184,7 @@ def candidate_sets(postings: DataFrame, cap: int = POSTING_CAP, rows: int | None
     """(key, member) postings to (set, line) of those with two members or more."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         def out(sets: np.ndarray, lines: np.ndarray, hot: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(lines, pa.int64()), pa.array(np.full(len(lines), hot))], ["set", "line", "hot"])
 
@@ -310,6 +312,7 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(set, id, text) to links (a, b) between line ids."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
         held: list[dict[bytes, str]] = []
         size = 0
@@ -337,6 +340,7 @@ def occurrences(docs: DataFrame, candidates: DataFrame, log2_bits: int) -> DataF
     bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_bytes(common.key_bitmap(candidates, "line", log2_bits), log2_bits))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         bitmap = np.frombuffer(bits.value, np.uint8)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
@@ -377,6 +381,7 @@ def surplus(places: DataFrame, components: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with shortened texts, n_lines and n_removed."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     src = docs.select(common.quoted(id_col).alias("doc_id"), common.quoted(text_col).alias("text"))
     rows = docs.count()  # sizes the files of intermediate tables, no more
     sig = signatures(src.select("text"))
@@ -417,6 +422,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = next(i for i, c in enumerate(keep) if c.lower() == text_col.lower())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for b in batches:
             out, n_lines, n_removed = [], [], []
             for text, drop in zip(b.column(at), b.column(b.num_columns - 1)):

@@ -131,6 +131,7 @@ def places(chosen: list[tuple[tuple[int, ...], int]], window: int) -> dict[str,
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
+    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_source(tokenizer))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 

@@ -123,6 +123,7 @@ def posting_links(postings: DataFrame, linked: Callable[[np.ndarray, np.ndarray]
 
     def scan(limit: int | None):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.alone()
             def out(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
 

@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     src = src.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(b.column(1))), pa.list_(pa.float64())), b.column(2)], ["x", "y"])
 
@@ -176,9 +177,11 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text", keep: list[str]
     keep = common.others(docs.columns if keep is None else keep, ("score",))
     src = docs.select(*common.numbered(keep), common.quoted(text_col).alias("text"))
     schema = T.StructType(src.schema.fields[:-1] + [T.StructField("score", T.DoubleType())])
+    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for b in batches:
             s = sent.value.score(_matrix(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(s, pa.float64())], [f.name for f in schema])

@@ -180,6 +180,7 @@ class StoreReader:
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL, shard_bytes: int = SHARD_BYTES) -> str:
     """Write the store and return its folder, which holds `files` and `manifest`."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     out = out or common.scratch(spark, "tokens")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     light = common.materialise(src.select("doc_id", (F.octet_length("text") + 16).cast("bigint").alias("n")), "sizes")
