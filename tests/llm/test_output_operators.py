@@ -319,3 +319,29 @@ def open_bytes(data):
     import io
 
     return io.BytesIO(data)
+
+
+def test_groups_cover_a_batch_whatever_its_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", "one two", " " * 9, "x" * 500 + "\nA é Ünï", "", "a\n b ", "tail " * 99, "Ａ b c Hello"]
+    for path in (WORD, BYTE):
+        enc = tokens.Encoder(tokens.tokenizer_source(path))
+        want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for group, span in ((1, 1), (64, 3), (1 << 22, 1 << 19)):
+            monkeypatch.setattr(tokens, "GROUP", group)
+            monkeypatch.setattr(tokens, "SPAN", span)
+            batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"]).slice(1)
+            got = [(d, ids.tolist()) for part, found in enc.groups(batch, 1) for d, ids in zip(part.column(0).to_pylist(), found, strict=True)]
+            assert got == list(enumerate(want))[1:]
+
+
+def test_a_worker_keeps_one_thing():
+    from tessera.llm import common
+
+    first = common.resident("a", list)
+    assert common.resident("a", list) is first
+    second = common.resident("b", list)
+    assert common.resident("a", list) is not first and common.resident("b", list) is not second
+    common.alone()
+    assert not common._resident
