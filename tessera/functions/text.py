@@ -44,8 +44,8 @@ def first_truthy(*cs: Column | str) -> Column:
 
 
 def n_tokens(c: Column | str) -> Column:
-    """Byte tokens of a text and the end id."""
-    return F.octet_length(col(c)).cast("bigint") + 1
+    """Byte tokens of a text and the end id; a null text has the end id alone."""
+    return F.coalesce(F.octet_length(col(c)), F.lit(0)).cast("bigint") + 1
 
 
 def md5_word(c: Column) -> Column:

@@ -13,6 +13,7 @@ from tessera.operators import chat, dedup, logits, metrics, mix, pack, split
 from tessera.operators.ordered import ranked, slices, spans
 from tessera.sources import readers, sinks, synthetic
 from tessera.sources.readers import table
+from tessera.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,14 +53,8 @@ def source_text_clean(spark, d):
 
 @query
 def concat_configs(spark, d):
-    own = ranked(docs(spark, d).select("source", "doc_id"), "doc_id", "rn", ("source",))
-    sizes = own.groupBy("source").count().orderBy("source").collect()  # a row for each source
-    before, rows = 0, []
-    for r in sizes:
-        rows.append((r.source, before))
-        before += r["count"]
-    base = spark.createDataFrame(rows, "source string, base bigint")
-    return own.join(F.broadcast(base), "source").select((F.col("rn") + F.col("base")).alias("out_pos"), "doc_id")
+    """All of one source, then all of the next; rows of no source come first."""
+    return ranked(docs(spark, d).select("source", "doc_id"), ("source", "doc_id"), "out_pos").select("out_pos", "doc_id")
 
 
 @query
@@ -131,24 +126,12 @@ def shard_manifest_drop_tail(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; a local session may do
-    without that setting."""
-    import re
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    return scratch(spark, "query")
 
 
 def _shards(spark: SparkSession, d: str) -> str:
     out = _scratch(spark)
-    sinks.write_shards(tokens(spark, d), "doc_id", "ids", out, 100_000).write.parquet(f"{out}-manifest")
+    sinks.write_shards(tokens(spark, d), "doc_id", "ids", out, 100_000, n="n").write.parquet(f"{out}-manifest")
     return out
 
 
@@ -348,9 +331,7 @@ def weighted_interleave(spark, d):
 def interleave_chunks(spark, d):
     n = F.octet_length("text")
     c = docs(spark, d).where(n > 0).select(F.col("lang").alias("source"), "doc_id", F.explode(F.sequence(F.lit(0), F.expr("(octet_length(text) - 1) div 1024").cast("int"))).alias("chunk_no"))
-    most = c.agg(F.max("chunk_no")).first()[0] + 1
-    c = c.withColumn("ord", F.col("doc_id") * most + F.col("chunk_no"))
-    return mix.interleave(c, "source", "ord", WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no")
+    return mix.interleave(c, "source", ("doc_id", "chunk_no"), WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no")
 
 
 @query
@@ -370,10 +351,9 @@ def interleave_mixed_units(spark, d):
     n = F.octet_length("text")
     unit = F.when(F.col("lang").isin("en", "fr"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.expr("(octet_length(text) - 1) div 1024").cast("int")))
     units = docs(spark, d).where(n > 0).select(F.col("lang").alias("source"), "doc_id", F.explode(unit).alias("chunk_no"), n.alias("n"))
-    most = units.agg(F.max("chunk_no")).first()[0] + 1
     size = F.when(F.col("source").isin("en", "fr"), F.col("n")).otherwise(F.least(F.lit(1024), F.col("n") - 1024 * F.col("chunk_no")))
-    units = units.withColumns({"ord": F.col("doc_id") * most + F.col("chunk_no"), "n_tokens": size.cast("bigint")})
-    return mix.interleave(units, "source", "ord", WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no", "n_tokens")
+    units = units.withColumn("n_tokens", size.cast("bigint"))
+    return mix.interleave(units, "source", ("doc_id", "chunk_no"), WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no", "n_tokens")
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import slices, spans
+from tessera.operators.pack import pieces
 
 
 def shard_manifest(df: DataFrame, order: str, n: str, size: int, drop_tail: bool = False) -> DataFrame:
@@ -21,13 +22,12 @@ def shard_manifest(df: DataFrame, order: str, n: str, size: int, drop_tail: bool
     return cut.where(F.col("n_tokens") == size) if drop_tail else cut
 
 
-def write_shards(df: DataFrame, order: str, ids: str, out: str, size: int, prefix: str = "train", dtype: str = "uint16", drop_tail: bool = False) -> DataFrame:
+def write_shards(df: DataFrame, order: str, ids: str, out: str, size: int, prefix: str = "train", dtype: str = "uint16", drop_tail: bool = False, n: str | None = None) -> DataFrame:
     """Headerless shards prefix-00000.bin ... of `size` ids, the last one shorter or
     dropped. Pieces meet sorted in the task that owns a shard and are written as
     they come, under a name of the task's own that is moved at the end."""
     kind = np.dtype(dtype).newbyteorder("<")
-    at = slices(spans(df.withColumn("__n", F.size(ids).cast("bigint")), order, "__n"), size, "shard_id")
-    piece = at.select("shard_id", "lo", F.slice(F.col(ids), (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("p"))
+    piece = pieces(df, order, ids, size, "shard_id", n)
     uri = out if "://" in out or out.startswith("file:") else f"file://{os.path.abspath(out)}"
 
     def write(batches):

@@ -225,7 +225,7 @@ def test_trailing_and_minima_across_blocks(spark):
     df = spark.createDataFrame([(i * 7, x, "s") for i, x in enumerate(xs)], "o bigint, x bigint, k string")
     got = {r.o // 7: r.m for r in trailing(df, "o", 10, "m", lambda: F.sum("x"), ("k",), block=25).collect()}
     assert got == {i: sum(xs[max(0, i - 9) : i + 1]) for i in range(300)}
-    low = {r.o // 7: r.m for r in running_minima(df, "o", "x", "m", blocks=9).collect()}
+    low = {r.o // 7: r.m for r in running_minima(df, "o", "x", "m", ranges=9).collect()}
     assert low == {i: min(xs[:i]) if i else None for i in range(300)}
 
 
