@@ -87,7 +87,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op6_line_dedup, op7_simhash, op8_warc, op9_token_store, op10_exact_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.resampling import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024).drop("n_words")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_packing, op5_kd_shard, op6_line_dedup, op7_simhash, op8_warc, op9_token_store, op10_exact_dedup, op11_filter_audit, op13_importance_resampling)}
 
 ORACLES: dict[str, str] = {
     "op8_warc": r"""
@@ -127,4 +139,62 @@ ranked AS (
          count(*) OVER (PARTITION BY norm) AS group_size
   FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM ranked""",
+    "op11_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+m AS (
+  SELECT doc_id, part,
+         (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > first, false)::INT AS fails
+  FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+cube AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(name, bit)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, k::INT AS step, (SELECT bit FROM letter WHERE name = filter_order[k]) AS bit,
+         list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(filter_order[j]) - 65)))::INT AS before
+  FROM orders, range(1, 6) AS r(k)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (fails & (bit | coalesce(before, 0)) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails & bit <> 0 AND fails & coalesce(before, 0) = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails & bit <> 0 AND fails & coalesce(before, 0) <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (good AND fails & bit <> 0 AND fails & coalesce(before, 0) = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (toxic AND fails & bit <> 0 AND fails & coalesce(before, 0) = 0), 0)::BIGINT AS toxic_lost
+  FROM cube, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted""",
+    "op13_importance_resampling": r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 't', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+crc AS (
+  SELECT w, xor(list_reduce(list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT),
+                lambda a, b: list_reduce(range(0, 8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS b
+  FROM (SELECT DISTINCT w FROM words)),
+n AS (SELECT side, b, count(*) AS n FROM words JOIN crc USING (w) GROUP BY ALL),
+sums AS (SELECT coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM n),
+gains AS (
+  SELECT b, floor(1000 * ln(((coalesce(sum(n) FILTER (side = 't'), 0) + 1)::DOUBLE * ((SELECT s FROM sums) + 10000)) / ((coalesce(sum(n) FILTER (side = 'd'), 0) + 1)::DOUBLE * ((SELECT t FROM sums) + 10000)))) AS gain
+  FROM n GROUP BY b),
+weights AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM words JOIN crc USING (w) JOIN gains USING (b) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM drawn) THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (doc_id)""",
 }
