@@ -147,7 +147,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, filters: dict[str, Filter |
     kept, removed, redundant (fails, but went before), unique_fails (fails this alone),
     good_lost, toxic_lost, and shapley: removed by that filter, summed over all orders.
     Filters have names of one letter; there are seven of them at most."""
-    filters = filters or FILTERS
+    filters = FILTERS if filters is None else filters
     n = len(filters)
     if not 0 < n <= 7 or any(len(x) != 1 for x in filters):
         raise ValueError("one to seven filters, named by one letter each")
