@@ -12,18 +12,19 @@ most (a + b) (100 - percent) / (100 + percent) elements.
    band and, as the smaller of a pair, in the next. A band fixes the largest distance d and
    the sketch's length.
 3. Pigeonhole. The sketch is cut into parts so few that one part holds `tolerance` of the d
-   flips at most; that part is cut again, into `pieces` words of 64 bits, of which all but
+   flips at most; that part is cut again, into `pieces` words of 32 bits, of which all but
    `tolerance` are equal. Every choice of that many words of a part is a key: two sets that
    link share one. Keys are joined by a shuffle. TOLERANCE grows with the number of sets,
    as longer keys meet by chance less often; any gives the same links.
-4. Verification, exactly, on the sets. Every member of a posting is tested against the
-   posting's first (a star); the links found are joined by union-find. Postings whose
-   members are not all in one component by then are tested further, in a task for each
-   posting (or, if it is long, for each pair of its blocks), pairs of one component being
-   left out. So no link between components is lost, while thousands of versions of a text
-   make thousands of tests, not millions.
-
-The sets themselves are not kept: those of candidates are made again from their texts.
+4. Verification. Every member of a posting is tested against the posting's first (a star);
+   the links found are joined by union-find. Postings whose members are not all in one
+   component by then are tested further, in a task for each posting (or, if it is long, for
+   each pair of its blocks), pairs of one component being left out. So no link between
+   components is lost, while thousands of versions of a text make thousands of tests, not
+   millions. A test first compares the lowest eighth of the hashes, as 32-bit codes, kept of
+   each document: what differs there alone may be too much already. What passes is
+   decided on the whole sets, which are made again from the texts of these few.
+
 Equal sets count once: a task posts a set it has posted before no more.
 
 Elements and sets are told apart by 64-bit hashes. Null texts and those without words have
@@ -58,6 +59,7 @@ TOLERANCE = ((4_000_000, (1, 3)), (400_000_000, (2, 5)), (1 << 62, (3, 7)))
 CAP = 512
 SALT = 1024
 OUT = 1 << 15
+LOW = np.uint64(1 << 61)
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -75,9 +77,9 @@ def salts(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _A + np.array([salt], np.uint64) * _B)
 
 
-def set_of(text: str | None, n: int = 4) -> np.ndarray:
-    """The sorted hashes of a text's distinct n-grams."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+def elements_of(data: bytes, n: int) -> np.ndarray:
+    """The sorted hashes of the distinct n-grams of a text in UTF-8."""
+    data = data.translate(LOWER)
     hashes, at = [], 0
     while at < len(data):
         end = data.find(b" ", at + STEP)
@@ -85,14 +87,23 @@ def set_of(text: str | None, n: int = 4) -> np.ndarray:
         words = data[at:end].split()
         hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
         at = end
-    w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    w = hashes[0] if len(hashes) == 1 else np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     k = min(n, len(w))
     if not k:
         return w
     grams = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
-        grams = mix(grams + w[i : len(w) - k + 1 + i] * _A)
-    return np.unique(grams)
+        grams = (grams ^ (grams >> np.uint64(29))) * _A + w[i : len(w) - k + 1 + i]
+    return np.unique(mix(grams))
+
+
+def set_of(text: str | None, n: int = 4) -> np.ndarray:
+    return elements_of((text or "").encode("utf-8", "surrogatepass"), n)
+
+
+def low_codes(elements: np.ndarray) -> np.ndarray:
+    """The lowest eighth of the hashes as 32-bit codes."""
+    return (elements[: np.searchsorted(elements, LOW)] >> np.uint64(29)).astype(np.uint32)
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -134,9 +145,8 @@ def keys_of(elements: np.ndarray, band: int, percent: int, tolerance: int, piece
     parts, words, choices = scheme(band, percent, tolerance, pieces)
     length = parts * words
     slot = (elements >> np.uint64(32)) * np.uint64(length) >> np.uint64(32)
-    bit = slot * np.uint64(64) + (elements & np.uint64(63))
-    parity = (np.bincount(bit.astype(np.int64), minlength=length * 64) & 1).astype(np.uint8)
-    sketch = np.packbits(parity, bitorder="little").view(np.uint64)
+    sketch = np.zeros(length, np.uint32)
+    np.bitwise_xor.at(sketch, slot.astype(np.int64), np.uint32(1) << (elements & np.uint64(31)).astype(np.uint32))
     mixed = mix(sketch + salts(length, band)).reshape(parts, words)
     keys = [mix(mixed[:, c].sum(axis=1, dtype=np.uint64) + salts(parts, 1000 + i)) for i, c in enumerate(choices)]
     return np.concatenate(keys)
@@ -147,22 +157,23 @@ def keys_of(elements: np.ndarray, band: int, percent: int, tolerance: int, piece
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     common.small_batches(docs.sparkSession)
-    return docs.select(common.quoted(id_col).cast("bigint").alias("doc_id"), common.quoted(text_col).alias("text"))
+    return docs.select(common.quoted(id_col).cast("bigint").alias("doc_id"), F.coalesce(common.quoted(text_col), F.lit("")).cast("binary").alias("text"))
 
 
 def sized_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, set) of each document, without the sets themselves."""
+    """(doc_id, size, set, low) of each document: its set's size, id and low codes."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
         for batch in batches:
-            size, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            size, ids, low = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), []
             for i, text in enumerate(batch.column(1)):
-                own = set_of(text.as_py(), n)
+                own = elements_of(text.as_py(), n)
                 size[i], ids[i] = len(own), set_id(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids.view(np.int64))], ["doc_id", "size", "set"])
+                low.append(low_codes(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids.view(np.int64)), pa.array(low, pa.binary())], ["doc_id", "size", "set", "low"])
 
-    return texts.mapInArrow(step, "doc_id bigint, size bigint, set bigint")
+    return texts.mapInArrow(step, "doc_id bigint, size bigint, set bigint, low binary")
 
 
 def _once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -170,7 +181,7 @@ def _once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.n
     seen: set[int] = set()
     for batch in batches:
         for text in batch.column(0):
-            own = set_of(text.as_py(), n)
+            own = elements_of(text.as_py(), n)
             me = set_id(own)
             if len(own) and me not in seen:
                 if len(seen) >= SEEN:
@@ -271,32 +282,32 @@ def meetings(posted: DataFrame, percent: int) -> DataFrame:
 # ----------------------------------------------------------------- verification
 
 
-def similar(x: np.ndarray, ys: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets link with x, all being sorted. The lowest eighth of the hashes is compared
-    first: what differs there alone may be too much already."""
-    sizes = np.fromiter(map(len, ys), np.int64, len(ys))
-    ok = 100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))
-    most = farthest(sizes + len(x), percent)
-    for limit in (np.uint64(1 << 61), None):
-        at = np.flatnonzero(ok)
-        if not len(at):
-            break
-        own = x if limit is None else x[: np.searchsorted(x, limit)]
-        cut = [ys[i] if limit is None else ys[i][: np.searchsorted(ys[i], limit)] for i in at]
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        both = np.zeros(len(cut), np.int64)
-        if len(own) and count.any():
-            all_ = np.concatenate(cut)
-            there = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
-            ends = np.cumsum(np.concatenate([[0], there.astype(np.int64)]))
-            stops = np.cumsum(count)
-            both = ends[stops] - ends[stops - count]
-        ok[at] = len(own) + count - 2 * both <= most[at]
+def shared(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
+    """How many values of each of the sorted ys are in the sorted x."""
+    count = np.fromiter(map(len, ys), np.int64, len(ys))
+    if not len(x) or not count.any():
+        return np.zeros(len(ys), np.int64)
+    all_ = np.concatenate(ys)
+    there = x[np.minimum(np.searchsorted(x, all_), len(x) - 1)] == all_
+    ends, stops = np.cumsum(np.concatenate([[0], there.astype(np.int64)])), np.cumsum(count)
+    return ends[stops] - ends[stops - count]
+
+
+def similar(nx: int, x: np.ndarray, ny: np.ndarray, ys: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets (of sizes ny) may link with x (of size nx): those that differ by no more than
+    a link allows. Exact where x and ys are whole sets; of low codes, none that links is
+    left out, as codes that coincide only make sets more alike."""
+    ok = 100 * np.minimum(ny, nx) >= percent * np.maximum(ny, nx)
+    at = np.flatnonzero(ok)
+    if len(at):
+        cut = [ys[i] for i in at]
+        differ = len(x) + np.fromiter(map(len, cut), np.int64, len(cut)) - 2 * shared(x, cut)
+        ok[at] = differ <= farthest(ny[at] + nx, percent)
     return ok
 
 
 def sets_again(texts: DataFrame, sized: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """(member, elements) of the needed sets, made from a document of each."""
+    """(member, size, elements) of the needed sets, made from a document of each."""
     of = sized.where("size > 0").groupBy(F.col("set").alias("member")).agg(F.min("doc_id").alias("doc_id")).join(needed, "member", "left_semi")
     keys = common.materialise(of.select(F.xxhash64("doc_id").alias("k")), "wanted")
     bits = common.bitmap_log2(keys.count())
@@ -306,41 +317,43 @@ def sets_again(texts: DataFrame, sized: DataFrame, needed: DataFrame, n: int) ->
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
         for me, own in _once(batches, n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([me], np.uint64).view(np.int64)), pa.array([own.tobytes()], pa.binary())], ["member", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([me], np.uint64).view(np.int64)), pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["member", "size", "elements"])
 
-    made = chosen.select("text").mapInArrow(step, "member bigint, elements binary").join(needed, "member", "left_semi")
-    return common.materialise(made.groupBy("member").agg(F.min("elements").alias("elements")), "sets")
+    made = chosen.select("text").mapInArrow(step, "member bigint, size bigint, elements binary").join(needed, "member", "left_semi")
+    # a few tasks may have made the same set
+    return common.materialise(made.dropDuplicates(["member"]), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. b's elements come to a's, at most SALT or so of them to a
-    task's stretch of a; of these one row is held at a time."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, kind: type) -> DataFrame:
+    """The pairs (a, b) that pass, by sets (member, size, elements) of the kind. b's elements
+    come to a's, about SALT of them at most to a task's stretch of a; of these one batch is
+    held at a time."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
     dealt = common.materialise(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt")), "pairs")
-    heads = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("member")).select("a", "salt", F.lit(None).cast("bigint").alias("b"), "elements")
-    rest = dealt.join(sets, F.col("b") == F.col("member")).select("a", "salt", "b", "elements")
+    heads = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("member")).select("a", "salt", F.lit(None).cast("bigint").alias("b"), "size", "elements")
+    rest = dealt.join(sets, F.col("b") == F.col("member")).select("a", "salt", "b", "size", "elements")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
-        at, x = None, None
+        at, nx, x = None, 0, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            own, ys, got = [], [], ([], [])
+            a, b, n = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            own, ny, ys, got = [], [], [], ([], [])
 
             def test():
-                for y, ok in zip(own, similar(x, ys, percent), strict=True):
+                for y, ok in zip(own, similar(nx, x, np.array(ny), ys, percent), strict=True):
                     if ok:
                         got[0].append(at), got[1].append(y)
 
-            for i, e in enumerate(batch.column(3)):
-                elements = np.frombuffer(e.as_buffer(), np.uint64)
+            for i, e in enumerate(batch.column(4)):
+                elements = np.frombuffer(e.as_py(), kind)
                 if b[i] is None:
                     if own:
                         test()
-                        own, ys = [], []
-                    at, x = a[i], elements.copy()
+                        own, ny, ys = [], [], []
+                    at, nx, x = a[i], n[i], elements
                 else:
-                    own.append(b[i]), ys.append(elements)
+                    own.append(b[i]), ny.append(n[i]), ys.append(elements)
             if own:
                 test()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["a", "b"])
@@ -349,43 +362,60 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.materialise(sorted_.mapInArrow(step, "a bigint, b bigint"), "linked")
 
 
-def settled(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: int, cap: int = CAP) -> DataFrame:
-    """Links (a, b) between the components that each posting (posting, member) holds, as many
-    as join them; postings within one component are left out."""
+def open_tasks(lists: DataFrame, components: DataFrame, cap: int) -> DataFrame:
+    """(task, member, root) of postings (posting, member) in more than one component, long
+    ones as a task for each pair of their blocks."""
     rooted = common.materialise(lists.join(components, F.col("member") == F.col("node"), "left").select("posting", "member", F.coalesce("root", "member").alias("root")), "rooted")
     open_ = rooted.groupBy("posting").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     blocks = F.when(F.col("members") <= cap, 1).otherwise(F.ceil(F.col("members") / (cap // 2)))
     dealt = rooted.join(open_.select("posting", blocks.cast("bigint").alias("blocks")), "posting").withColumn("i", F.pmod(F.xxhash64("member"), "blocks"))
-    paired = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(F.xxhash64("posting", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "member", "root")
-    met = paired.join(sets, "member").select("task", "member", "root", "elements")
+    return dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(F.xxhash64("posting", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "member", "root")
+
+
+def compared(tasks: DataFrame, sets: DataFrame, percent: int, kind: type, whole: bool) -> DataFrame:
+    """Within each task, members of different components. Of whole sets: links (a, b), as many
+    as join the components they join. Else (task, member) of those members that have
+    another to be compared with on whole sets."""
+    met = tasks.join(sets, "member").select("task", "member", "root", "size", "elements")
+    names = ["a", "b"] if whole else ["task", "member"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
 
-        def links(members: list[int], roots: list[int], elements: list[np.ndarray]) -> pa.RecordBatch:
-            group, got = np.array(roots), ([], [])
+        def within(task: int, rows: list[tuple]) -> pa.RecordBatch:
+            members, group, sizes, elements = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
+            got, some = ([], []), np.zeros(len(rows), bool)
             for i, x in enumerate(elements):
                 other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
                 if not len(other):
                     continue
-                for j in other[similar(x, [elements[k] for k in other], percent)]:
+                near = other[similar(int(sizes[i]), x, sizes[other], [elements[k] for k in other], percent)]
+                if not whole:
+                    some[near] = True
+                    some[i] |= len(near) > 0
+                    continue
+                for j in near:
                     if group[j] != group[i]:
                         got[0].append(members[i]), got[1].append(members[j])
                         group[group == group[j]] = group[i]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["a", "b"])
+            if not whole:
+                at = np.flatnonzero(some)
+                got = [task] * len(at), [members[i] for i in at]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names)
 
-        now, members, roots, elements = None, [], [], []
+        now, rows = None, []
         for batch in batches:
-            for task, m, r, e in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            for task, *row, e in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
                 if task != now:
-                    if len(members) > 1:
-                        yield links(members, roots, elements)
-                    now, members, roots, elements = task, [], [], []
-                members.append(m), roots.append(r), elements.append(np.frombuffer(e.as_py(), np.uint64))
-        if len(members) > 1:
-            yield links(members, roots, elements)
+                    if len(rows) > 1:
+                        yield within(now, rows)
+                    now, rows = task, []
+                rows.append((*row, np.frombuffer(e.as_py(), kind)))
+        if len(rows) > 1:
+            yield within(now, rows)
 
-    return common.materialise(met.repartition("task").sortWithinPartitions("task", "member").mapInArrow(step, "a bigint, b bigint"), "settled")
+    dealt = met.repartition("task").sortWithinPartitions("task", "member")
+    return common.materialise(dealt.mapInArrow(step, ", ".join(f"{c} bigint" for c in names)), "compared")
 
 
 def ngram_links(docs: DataFrame, ngram: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tolerance: tuple[int, int] | None = None, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
@@ -400,14 +430,22 @@ def ngram_links(docs: DataFrame, ngram: int = 4, percent: int = 85, id_col: str
     met = common.materialise(meetings(postings(texts, ngram, percent, flips, pieces), percent), "met")
     pairs = met.where("star").select("a", "b")
     lists = met.where("not star").select(F.col("a").alias("posting"), F.col("b").alias("member"))
-    needed = common.materialise(pairs.select(F.col("a").alias("member")).unionByName(pairs.select(F.col("b").alias("member"))).unionByName(lists.select("member")).distinct(), "needed")
-    sets = sets_again(texts, sized, needed, ngram)
-    star = verified(pairs, sets, percent)
+    ends = lambda df: df.select(F.col("a").alias("member")).unionByName(df.select(F.col("b").alias("member")))
+    needed = ends(pairs).unionByName(lists.select("member")).distinct()
+    lows = common.materialise(sized.select(F.col("set").alias("member"), "size", F.col("low").alias("elements")).join(needed, "member", "left_semi").dropDuplicates(["member"]), "lows")
+    near = verified(pairs, lows, percent, np.uint32)
+    sets = sets_again(texts, sized, ends(near).distinct(), ngram)
+    star = verified(near, sets, percent, np.uint64)
     components = common.connected_components(star, star.count())
-    more = settled(lists, components, sets, percent, cap)
-    if not more.isEmpty():
-        components = common.connected_components(star.unionByName(more), star.count() + more.count())
-    common.discard(met, needed, sets)
+    tasks = common.materialise(open_tasks(lists, components, cap), "tasks")
+    few = compared(tasks, lows, percent, np.uint32, whole=False)
+    if not few.isEmpty():
+        more_sets = sets_again(texts, sized, few.select("member").distinct(), ngram)
+        more = compared(tasks.join(few, ["task", "member"], "left_semi"), more_sets, percent, np.uint64, whole=True)
+        if not more.isEmpty():
+            components = common.connected_components(star.unionByName(more), star.count() + more.count())
+        common.discard(more_sets)
+    common.discard(met, lows, sets, tasks)
     return sized, components
 
 

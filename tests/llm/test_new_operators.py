@@ -179,17 +179,21 @@ def test_chains_in_long_postings(spark):
     check_join(spark, rows, cap=8)
 
 
-def test_settled_finds_what_stars_miss(spark):
-    """Of four sets that meet in a posting, the first links with none, the others chain."""
+def test_open_postings_give_what_stars_miss(spark):
+    """Of five sets that meet in a posting, the first links with none, the others chain."""
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
-    far = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    far = np.unique(rng.integers(0, 2**63, 160, dtype=np.uint64))
     near = [base[i * 8 : 160 + i * 8] for i in range(4)]
-    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate([far, *near], 1)], "member bigint, elements binary")
+    rows = [(i, len(x), bytearray(x.tobytes())) for i, x in enumerate([far, *near], 1)]
+    sets = spark.createDataFrame(rows, "member bigint, size bigint, elements binary")
+    lows = spark.createDataFrame([(i, n, bytearray(ngram_join.low_codes(np.frombuffer(x, np.uint64)).tobytes())) for i, n, x in rows], sets.schema)
     lists = spark.createDataFrame([(7, i) for i in range(1, 6)] + [(8, 1), (8, 2), (8, 3)], "posting bigint, member bigint")
-    none = spark.createDataFrame([(2, 2), (3, 2)], "node bigint, root bigint")
+    known = spark.createDataFrame([(2, 2), (3, 2)], "node bigint, root bigint")
     for cap in (512, 2):
-        links = {frozenset(r) for r in ngram_join.settled(lists, none, sets, 85, cap).collect()}
+        tasks = ngram_join.open_tasks(lists, known, cap)
+        few = ngram_join.compared(tasks, lows, 85, np.uint32, whole=False)
+        links = {frozenset(r) for r in ngram_join.compared(tasks.join(few, ["task", "member"], "left_semi"), sets, 85, np.uint64, whole=True).collect()}
         seen = {2, 3}
         for _ in range(4):
             for a, b in links:
