@@ -1,4 +1,5 @@
-"""Structured Streaming forms: deduplication with state and running token totals."""
+"""Structured Streaming forms of the catalogue: deduplication with state, running token
+totals, budgets and groups."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import hash_split, n_tokens, strip
 from tessera.operators.dedup import content_key
 from tessera.operators.split import budget_prefix
+from tessera.streaming.stateful import dedup_bounded, flush_by_count_or_time
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +29,21 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
     """Drain what is there now into Parquet files. The folder holds output and state,
     so a run with the same one goes on where the last ended, and adds to its rows."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # timers would ask for batches without rows for ever
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """One row of each stripped text: its digest and token count. Which of equal texts
-    comes first does not show. The state holds a digest for each distinct text."""
+    comes first does not show. The state holds a digest for each distinct text, without a
+    bound; dedup_bounded of streaming.stateful has one."""
     docs = read_documents(spark, sf_dir).select(content_key().alias("h"), n_tokens(strip("text")).alias("n"))
     return run_to_end(docs.dropDuplicates(["h"]), folder)
 
@@ -52,14 +61,34 @@ def stream_totals(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 
 
 def stream_budget(spark: SparkSession, sf_dir: str, folder: str, budget: int) -> DataFrame:
-    """doc_ids, in order within a batch, until the token budget is used up; what earlier
-    batches used is read from their tables, so the budget holds across restarts."""
+    """doc_ids, in order within a batch, until the token budget is used up. Each batch
+    leaves one row, what has been used up to its end, and reads that of the batch before;
+    so the budget holds across restarts and a batch's work does not grow with their number."""
     docs = read_documents(spark, sf_dir).select("doc_id", n_tokens("text").alias("n"))
 
     def add(batch: DataFrame, epoch: int) -> None:
-        done = [f"{folder}/taken/epoch={e}" for e in range(epoch)]
-        used = batch.sparkSession.read.parquet(*done).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if done else 0
-        budget_prefix(batch, "doc_id", "n", max(0, budget - used)).select("doc_id", "n").write.mode("overwrite").parquet(f"{folder}/taken/epoch={epoch}")
+        own = batch.sparkSession
+        used = own.read.parquet(f"{folder}/used/epoch={epoch - 1}").first()[0] if epoch else 0
+        batch.persist()
+        try:
+            if used < budget:
+                budget_prefix(batch, "doc_id", "n", budget - used).select("doc_id", "n").write.mode("overwrite").parquet(f"{folder}/taken/epoch={epoch}")
+                used += own.read.schema("n bigint").parquet(f"{folder}/taken/epoch={epoch}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            own.range(1).select(F.lit(used).cast("bigint").alias("used")).write.mode("overwrite").parquet(f"{folder}/used/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/taken").select("doc_id", "n")
+    return spark.read.schema("doc_id bigint, n bigint").parquet(f"{folder}/taken")
+
+
+def stream_dedup_bounded(spark: SparkSession, sf_dir: str, folder: str, capacity: int, buckets: int) -> DataFrame:
+    """doc_id of the documents that a bounded memory takes for new."""
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return run_to_end(dedup_bounded(docs, "doc_id", capacity, buckets).select("doc_id"), folder)
+
+
+def stream_flush(spark: SparkSession, sf_dir: str, folder: str, items: int, wait_ms: int) -> DataFrame:
+    """(source, group_no, flushed_by, items): doc_ids of each source in groups."""
+    docs = read_documents(spark, sf_dir).select("source", "doc_id")
+    return run_to_end(flush_by_count_or_time(docs, "source", "doc_id", items, wait_ms), folder)
