@@ -21,9 +21,11 @@ most (a + b) (100 - percent) / (100 + percent) elements.
    component by then are tested further, in a task for each posting (or, if it is long, for
    each pair of its blocks), pairs of one component being left out. So no link between
    components is lost, while thousands of versions of a text make thousands of tests, not
-   millions. A test first compares the lowest eighth of the hashes, as 32-bit codes, kept of
-   each document: what differs there alone may be too much already. What passes is
-   decided on the whole sets, which are made again from the texts of these few.
+   millions. A test first compares sketches of one or two bits an element, kept of each
+   document: their Hamming distance alone may be too much already (longer ones are folded to
+   the length of the shorter). What passes is decided on the whole sets, which are made
+   again from the texts of these few; of each set the likeliest pair is decided first, and
+   others only where they would join two components.
 
 Equal sets count once: a task posts a set it has posted before no more.
 
@@ -59,7 +61,6 @@ TOLERANCE = ((4_000_000, (1, 3)), (400_000_000, (2, 5)), (1 << 62, (3, 7)))
 CAP = 512
 SALT = 1024
 OUT = 1 << 15
-LOW = np.uint64(1 << 61)
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -101,9 +102,26 @@ def set_of(text: str | None, n: int = 4) -> np.ndarray:
     return elements_of((text or "").encode("utf-8", "surrogatepass"), n)
 
 
-def low_codes(elements: np.ndarray) -> np.ndarray:
-    """The lowest eighth of the hashes as 32-bit codes."""
-    return (elements[: np.searchsorted(elements, LOW)] >> np.uint64(29)).astype(np.uint32)
+def sketch_of(elements: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: a power of two of bits, one and a half an element or more."""
+    words = 1
+    while words * 128 < len(elements) * 3:
+        words *= 2
+    sketch = np.zeros(words, np.uint64)
+    at = elements & np.uint64(words * 64 - 1)
+    np.bitwise_xor.at(sketch, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return sketch
+
+
+def distances(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
+    """The Hamming distances of a sketch and others."""
+    out, sizes = np.zeros(len(ys), np.int64), np.fromiter(map(len, ys), np.int64, len(ys))
+    for words in np.unique(sizes):
+        at = np.flatnonzero(sizes == words)
+        m = min(len(x), int(words))
+        y = np.bitwise_xor.reduce(np.stack([ys[i] for i in at]).reshape(len(at), -1, m), axis=1)
+        out[at] = np.bitwise_count(y ^ np.bitwise_xor.reduce(x.reshape(-1, m), axis=0)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -161,19 +179,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sized_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, set, low) of each document: its set's size, id and low codes."""
+    """(doc_id, size, set, sketch) of each document: its set's size, id and sketch."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
         for batch in batches:
-            size, ids, low = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), []
+            size, ids, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), []
             for i, text in enumerate(batch.column(1)):
                 own = elements_of(text.as_py(), n)
                 size[i], ids[i] = len(own), set_id(own)
-                low.append(low_codes(own).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids.view(np.int64)), pa.array(low, pa.binary())], ["doc_id", "size", "set", "low"])
+                sketches.append(sketch_of(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids.view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "size", "set", "sketch"])
 
-    return texts.mapInArrow(step, "doc_id bigint, size bigint, set bigint, low binary")
+    return texts.mapInArrow(step, "doc_id bigint, size bigint, set bigint, sketch binary")
 
 
 def _once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -293,17 +311,17 @@ def shared(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
     return ends[stops] - ends[stops - count]
 
 
-def similar(nx: int, x: np.ndarray, ny: np.ndarray, ys: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets (of sizes ny) may link with x (of size nx): those that differ by no more than
-    a link allows. Exact where x and ys are whole sets; of low codes, none that links is
-    left out, as codes that coincide only make sets more alike."""
-    ok = 100 * np.minimum(ny, nx) >= percent * np.maximum(ny, nx)
-    at = np.flatnonzero(ok)
+def differ(nx: int, x: np.ndarray, ny: np.ndarray, ys: list[np.ndarray], percent: int, whole: bool) -> np.ndarray:
+    """By how much sets (of sizes ny) differ from x (of size nx), or -1 where that is more than
+    a link allows. Of whole sets that is exact; of sketches no more than it is, so that none
+    that links is left out."""
+    out = np.full(len(ys), -1, np.int64)
+    at = np.flatnonzero(100 * np.minimum(ny, nx) >= percent * np.maximum(ny, nx))
     if len(at):
         cut = [ys[i] for i in at]
-        differ = len(x) + np.fromiter(map(len, cut), np.int64, len(cut)) - 2 * shared(x, cut)
-        ok[at] = differ <= farthest(ny[at] + nx, percent)
-    return ok
+        d = len(x) + np.fromiter(map(len, cut), np.int64, len(cut)) - 2 * shared(x, cut) if whole else distances(x, cut)
+        out[at] = np.where(d <= farthest(ny[at] + nx, percent), d, -1)
+    return out
 
 
 def sets_again(texts: DataFrame, sized: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -320,12 +338,13 @@ def sets_again(texts: DataFrame, sized: DataFrame, needed: DataFrame, n: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.array([me], np.uint64).view(np.int64)), pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["member", "size", "elements"])
 
     made = chosen.select("text").mapInArrow(step, "member bigint, size bigint, elements binary").join(needed, "member", "left_semi")
-    # a few tasks may have made the same set
-    return common.materialise(made.dropDuplicates(["member"]), "sets")
+    # tasks may have made the same set of repeated rows, which then is compared twice
+    return common.materialise(made, "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, kind: type) -> DataFrame:
-    """The pairs (a, b) that pass, by sets (member, size, elements) of the kind. b's elements
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """The pairs (a, b) that pass, and by how much they differ, by whole sets or sketches
+    (member, size, elements). b's elements
     come to a's, about SALT of them at most to a task's stretch of a; of these one batch is
     held at a time."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
@@ -338,15 +357,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, kind: type) -> Dat
         at, nx, x = None, 0, None
         for batch in batches:
             a, b, n = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            own, ny, ys, got = [], [], [], ([], [])
+            own, ny, ys, got = [], [], [], ([], [], [])
 
             def test():
-                for y, ok in zip(own, similar(nx, x, np.array(ny), ys, percent), strict=True):
-                    if ok:
-                        got[0].append(at), got[1].append(y)
+                d = differ(nx, x, np.array(ny), ys, percent, whole)
+                for i in np.flatnonzero(d >= 0):
+                    got[0].append(at), got[1].append(own[i]), got[2].append(d[i])
 
             for i, e in enumerate(batch.column(4)):
-                elements = np.frombuffer(e.as_py(), kind)
+                elements = np.frombuffer(e.as_py(), np.uint64)
                 if b[i] is None:
                     if own:
                         test()
@@ -356,10 +375,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, kind: type) -> Dat
                     own.append(b[i]), ny.append(n[i]), ys.append(elements)
             if own:
                 test()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["a", "b", "d"])
 
     sorted_ = heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return common.materialise(sorted_.mapInArrow(step, "a bigint, b bigint"), "linked")
+    return common.materialise(sorted_.mapInArrow(step, "a bigint, b bigint, d bigint"), "linked")
 
 
 def open_tasks(lists: DataFrame, components: DataFrame, cap: int) -> DataFrame:
@@ -372,7 +391,7 @@ def open_tasks(lists: DataFrame, components: DataFrame, cap: int) -> DataFrame:
     return dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(F.xxhash64("posting", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "member", "root")
 
 
-def compared(tasks: DataFrame, sets: DataFrame, percent: int, kind: type, whole: bool) -> DataFrame:
+def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Within each task, members of different components. Of whole sets: links (a, b), as many
     as join the components they join. Else (task, member) of those members that have
     another to be compared with on whole sets."""
@@ -389,7 +408,7 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, kind: type, whole:
                 other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
                 if not len(other):
                     continue
-                near = other[similar(int(sizes[i]), x, sizes[other], [elements[k] for k in other], percent)]
+                near = other[differ(int(sizes[i]), x, sizes[other], [elements[k] for k in other], percent, whole) >= 0]
                 if not whole:
                     some[near] = True
                     some[i] |= len(near) > 0
@@ -410,7 +429,7 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, kind: type, whole:
                     if len(rows) > 1:
                         yield within(now, rows)
                     now, rows = task, []
-                rows.append((*row, np.frombuffer(e.as_py(), kind)))
+                rows.append((*row, np.frombuffer(e.as_py(), np.uint64)))
         if len(rows) > 1:
             yield within(now, rows)
 
@@ -432,20 +451,32 @@ def ngram_links(docs: DataFrame, ngram: int = 4, percent: int = 85, id_col: str
     lists = met.where("not star").select(F.col("a").alias("posting"), F.col("b").alias("member"))
     ends = lambda df: df.select(F.col("a").alias("member")).unionByName(df.select(F.col("b").alias("member")))
     needed = ends(pairs).unionByName(lists.select("member")).distinct()
-    lows = common.materialise(sized.select(F.col("set").alias("member"), "size", F.col("low").alias("elements")).join(needed, "member", "left_semi").dropDuplicates(["member"]), "lows")
-    near = verified(pairs, lows, percent, np.uint32)
+    sketches = common.materialise(sized.select(F.col("set").alias("member"), "size", F.col("sketch").alias("elements")).join(needed, "member", "left_semi").dropDuplicates(["member"]), "sketches")
+    near = verified(pairs, sketches, percent, whole=False)
+    common.release(docs.sparkSession)
     sets = sets_again(texts, sized, ends(near).distinct(), ngram)
-    star = verified(near, sets, percent, np.uint64)
-    components = common.connected_components(star, star.count())
+    first = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b")
+    links = verified(first, sets, percent, whole=True).select("a", "b")
+    n = links.count()
+    components = common.connected_components(links, n)
+    of = lambda c: components.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    rest = common.materialise(apart.join(first, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, sets, percent, whole=True).select("a", "b"))
+        n = links.count()
+        components = common.connected_components(links, n)
+    common.discard(sets)
+    common.release(docs.sparkSession)
     tasks = common.materialise(open_tasks(lists, components, cap), "tasks")
-    few = compared(tasks, lows, percent, np.uint32, whole=False)
+    few = compared(tasks, sketches, percent, whole=False)
     if not few.isEmpty():
-        more_sets = sets_again(texts, sized, few.select("member").distinct(), ngram)
-        more = compared(tasks.join(few, ["task", "member"], "left_semi"), more_sets, percent, np.uint64, whole=True)
+        sets = sets_again(texts, sized, few.select("member").distinct(), ngram)
+        more = compared(tasks.join(few, ["task", "member"], "left_semi"), sets, percent, whole=True)
         if not more.isEmpty():
-            components = common.connected_components(star.unionByName(more), star.count() + more.count())
-        common.discard(more_sets)
-    common.discard(met, lows, sets, tasks)
+            components = common.connected_components(links.unionByName(more), n + more.count())
+        common.discard(sets)
+    common.discard(met, sketches, tasks)
     return sized, components
 
 

@@ -187,13 +187,13 @@ def test_open_postings_give_what_stars_miss(spark):
     near = [base[i * 8 : 160 + i * 8] for i in range(4)]
     rows = [(i, len(x), bytearray(x.tobytes())) for i, x in enumerate([far, *near], 1)]
     sets = spark.createDataFrame(rows, "member bigint, size bigint, elements binary")
-    lows = spark.createDataFrame([(i, n, bytearray(ngram_join.low_codes(np.frombuffer(x, np.uint64)).tobytes())) for i, n, x in rows], sets.schema)
+    sketches = spark.createDataFrame([(i, n, bytearray(ngram_join.sketch_of(np.frombuffer(x, np.uint64)).tobytes())) for i, n, x in rows], sets.schema)
     lists = spark.createDataFrame([(7, i) for i in range(1, 6)] + [(8, 1), (8, 2), (8, 3)], "posting bigint, member bigint")
     known = spark.createDataFrame([(2, 2), (3, 2)], "node bigint, root bigint")
     for cap in (512, 2):
         tasks = ngram_join.open_tasks(lists, known, cap)
-        few = ngram_join.compared(tasks, lows, 85, np.uint32, whole=False)
-        links = {frozenset(r) for r in ngram_join.compared(tasks.join(few, ["task", "member"], "left_semi"), sets, 85, np.uint64, whole=True).collect()}
+        few = ngram_join.compared(tasks, sketches, 85, whole=False)
+        links = {frozenset(r) for r in ngram_join.compared(tasks.join(few, ["task", "member"], "left_semi"), sets, 85, whole=True).collect()}
         seen = {2, 3}
         for _ in range(4):
             for a, b in links:
@@ -202,6 +202,16 @@ def test_open_postings_give_what_stars_miss(spark):
         assert seen == {2, 3, 4, 5}
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (30, 33), (90, 80), (700, 690), (700, 1500)):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        ys = [np.union1d(x[: n - k], rng.integers(0, 2**64, max(0, m - n + k), dtype=np.uint64)) for k in (0, 1, n // 2, n)]
+        true = [len(np.setxor1d(x, y)) for y in ys]
+        got = ngram_join.distances(ngram_join.sketch_of(x), [ngram_join.sketch_of(y) for y in ys])
+        assert all(a <= b and a % 2 == b % 2 for a, b in zip(got.tolist(), true)) and got[-1] > min(n, m) // 3
+
+
 def test_join_of_a_hot_text_and_an_empty_table(spark, empty, hard):
     rows = [(i, "the hot text of which a third of all documents are copies" if i % 3 == 0 else f"text {i} of its own with number {i * 7}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
