@@ -24,9 +24,10 @@ of a result's name, under any case, is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import ahocorasick
@@ -44,6 +45,8 @@ TO_WORDS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 6
 LOWER_STR = {c: c + 32 for c in range(65, 91)}
 MAX_NODES = 2 << 20
 SEGMENT = 4096
+#: sets of groups whose items a worker has counted
+REMEMBERED = 10_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -72,52 +75,73 @@ def segments(benchmark: DataFrame, window: int) -> DataFrame:
 
 @dataclass
 class Patterns:
-    """The automaton over numbered words, and each pattern's length and items."""
+    """The automaton over numbered words, each pattern's length and its group: the set of
+    items that have the pattern, which patterns of the same items share."""
 
     numbers: dict[bytes, int]
     automaton: ahocorasick.Automaton
     length: list[int]
-    items: list[tuple]
+    group: list[int]
+    groups: list[frozenset]
     shortest: int = 0
+    known: dict[frozenset, tuple[int, str]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, parts: list[tuple[str | None, bytes]], window: int) -> Patterns:
         numbers: dict[bytes, int] = {}
         at: dict[tuple[int, ...], int] = {}
-        items: list[tuple] = []
+        items: list[set] = []
         for item, body in parts:
             w = [numbers.setdefault(x, len(numbers) + 1) for x in body.split()]
             n = min(window, len(w))
             for i in range(len(w) - n + 1 if n else 0):
                 k = at.setdefault(tuple(w[i : i + n]), len(items))
                 if k == len(items):
-                    items.append((item,))
-                elif item not in items[k]:
-                    items[k] += (item,)
-        out = cls(numbers, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [len(p) for p in at], items, min(map(len, at), default=0))
+                    items.append({item})
+                else:
+                    items[k].add(item)
+        groups: dict[frozenset, int] = {}
+        group = [groups.setdefault(frozenset(x), len(groups)) for x in items]
+        out = cls(numbers, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [len(p) for p in at], group, list(groups), min(map(len, at), default=0))
         for pattern, k in at.items():
             out.automaton.add_word(pattern, k)
         if at:
             out.automaton.make_automaton()
         return out
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
-        """(words, merged word ranges that are hit, items)."""
+    def items_of(self, groups: frozenset) -> set:
+        return {i for g in groups for i in self.groups[g] if i is not None}
+
+    def told(self, groups: frozenset) -> tuple[int, str]:
+        """How many items, and the digest of their sorted names; once for each distinct
+        set of groups."""
+        if groups not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[groups] = told(self.items_of(groups))
+        return self.known[groups]
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], frozenset]:
+        """(words, merged word ranges that are hit, groups of items)."""
         w = words(text)
-        if not w or not self.items:
-            return len(w), [], set()
+        if not w or not self.group:
+            return len(w), [], frozenset()
         own = np.fromiter(map(self.numbers.get, w, repeat(0)), np.int32, len(w))
         turn = np.flatnonzero(np.diff(np.concatenate([[False], own != 0, [False]])))
         hits = [(a + e, k) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True) if b - a >= self.shortest for e, k in self.automaton.iter(tuple(own[a:b].tolist()))]
         if not hits:
-            return len(w), [], set()
+            return len(w), [], frozenset()
         edge = np.zeros(len(w) + 1, np.int64)
         last = np.array([e for e, _ in hits]) + 1
         np.add.at(edge, last - [self.length[k] for _, k in hits], 1)
         np.add.at(edge, last, -1)
         hit = np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]])
         turn = np.flatnonzero(np.diff(hit))
-        return len(w), list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)), {i for k in {k for _, k in hits} for i in self.items[k]}
+        return len(w), list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)), frozenset(self.group[k] for _, k in hits)
+
+
+def told(items: set) -> tuple[int, str]:
+    return len(items), hashlib.sha256(",".join(sorted(items)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -150,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     bodies = common.materialise(segments(benchmark, window), "segments", rows=0)
     parts = common.materialise(common.gapless(bodies, [], ["item", "body"], "at", weight="nodes").select("item", "body", F.expr(f"at div {max_nodes}").alias("part")), "parts", rows=0)
     last = parts.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("words", "bigint"), ("ranges", "array<struct<s:int,e:int>>"), ("items", "array<string>"), ("places", "array<struct<s:int,e:int>>"))]
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("words", "bigint"), ("ranges", "array<struct<s:int,e:int>>"), ("items", "array<string>"), ("n", "bigint"), ("sha", "string"), ("places", "array<struct<s:int,e:int>>"))]
     state = docs.select(*common.numbered(keep), common.quoted(text_col).alias("text"), *none)
     names = state.columns
 
@@ -161,21 +185,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
 
         def step(batches: Iterator[pa.RecordBatch], patterns=patterns, final=final) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols = list(batch.columns[:-5])
-                texts, _, old_r, old_i, _ = batch.columns[-5:]
-                ns, rs, its, places = [], [], [], []
+                cols = list(batch.columns[:-7])
+                texts, _, old_r, old_i, *_ = batch.columns[-7:]
+                ns, rs, its, counts, digests, places = [], [], [], [], [], []
                 for i, x in enumerate(texts):
                     text = x.as_py()
-                    n, r, it = patterns.value.scan(text)
+                    n, r, groups = patterns.value.scan(text)
+                    before = old_i[i].as_py() if old_r[i].is_valid else None
                     if old_r[i].is_valid:
                         r = merged(r + [(q["s"], q["e"]) for q in old_r[i].as_py()])
-                        it = it.union(old_i[i].as_py())
+                    # names of items go from pass to pass only where there is another one
+                    its.append([] if final else sorted(patterns.value.items_of(groups).union(before or ())))
+                    count, digest = (patterns.value.told(groups) if not before else told(patterns.value.items_of(groups).union(before))) if final else (None, None)
+                    counts.append(count)
+                    digests.append(digest)
                     ns.append(n)
                     rs.append([{"s": a, "e": b} for a, b in r])
-                    its.append(sorted(x for x in it if x is not None))
                     places.append([{"s": a, "e": b} for a, b in offsets(text, r)] if final and spans and r else [])
                 done = pa.nulls(batch.num_rows, pa.string()) if final else texts  # the text goes no further
-                yield pa.RecordBatch.from_arrays([*cols, done, pa.array(ns, pa.int64()), pa.array(rs, RANGES), pa.array(its, pa.list_(pa.string())), pa.array(places, RANGES)], names)
+                yield pa.RecordBatch.from_arrays([*cols, done, pa.array(ns, pa.int64()), pa.array(rs, RANGES), pa.array(its, pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(places, RANGES)], names)
 
         new = state.mapInArrow(step, state.schema)
         if not final:
@@ -186,5 +214,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
         state = new
     common.discard(bodies, parts)
     hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
-    out = state.select(*[f"c{i}" for i in range(len(keep))], F.col("words").alias("n_words"), hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *([F.transform("places", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias("spans")] if spans else []))
+    out = state.select(*[f"c{i}" for i in range(len(keep))], F.col("words").alias("n_words"), hit.alias("n_hit"), F.col("n").alias("n_items"), F.col("sha").alias("items_sha256"), (hit > 0).alias("contaminated"), *([F.transform("places", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias("spans")] if spans else []))
     return common.renamed(out, keep)

@@ -50,6 +50,7 @@ class Group:
     dims: tuple[int, ...]
     first: int
     last: int
+    tie: int = 0
 
     @property
     def weight(self) -> int:
@@ -81,8 +82,8 @@ def set_apart(groups: list[Group], axis: int, goal: float, room: float) -> tuple
             left.append(rest.pop(0))
         elif not right_fits:
             cut = g.first + min(g.last - g.first, max(0, round((middle - held) / g.size)))
-            left.append(Group(g.key, g.size, g.dims, g.first, cut))
-            rest[0] = Group(g.key, g.size, g.dims, cut, g.last)
+            left.append(Group(g.key, g.size, g.dims, g.first, cut, g.tie))
+            rest[0] = Group(g.key, g.size, g.dims, cut, g.last, g.tie)
     return [g for g in left if g.weight], [g for g in rest if g.weight]
 
 
@@ -177,18 +178,18 @@ def kd_shard(docs: DataFrame, shards: int | None = 8, target_bytes: int | None =
     groups = common.materialise(groups.withColumn("weight", F.col("n") * F.col("size")).withColumn("node", F.lit(0)), "points", n)
     known = max(SLACK, min(0.25, shards / KNOWN)) * total / shards
     large = groups.where((F.col("weight") > known) & (F.col("n") > 1))
-    held = [Group(r.key, r.size, tuple(r[d] for d in dims), 0, r.n) for r in large.collect()]  # max(KNOWN, 4 * shards) at most
+    held = [Group(r.key, r.size, tuple(r[d] for d in dims), 0, r.n, r.tie) for r in large.collect()]  # max(KNOWN, 4 * shards) at most
     light = groups.where((F.col("weight") <= known) | (F.col("n") == 1)).select("key", "size", "tie", "weight", "node", *dims)
     points, nodes = kd_tree(light, held, dims, shards, total, n)
 
     leaf = common.local_table(spark, [(i, x.first) for i, x in nodes.items()], "node int, shard int")
     rows = rows.select("row", "doc_id", "size", "tie", "key")
-    few = common.local_table(spark, sorted({(g.key, g.size) for g in held}), "key bigint, size bigint")
-    own = ["key", "size"]
-    placed = rows.join(F.broadcast(few), own, "left_anti").join(points.select("node", *own, "tie"), [*own, "tie"]).join(F.broadcast(leaf), "node").drop("node", "key")
+    few = common.local_table(spark, sorted({(g.key, g.size, g.tie) for g in held}), "key bigint, size bigint, tie bigint")
+    own = ["key", "size", "tie"]
+    placed = rows.join(F.broadcast(few), own, "left_anti").join(points.select("node", *own), own).join(F.broadcast(leaf), "node").drop("node", "key")
     if held:
-        spans = [(g.key, g.size, x.first, g.first, g.last) for x in nodes.values() for g in x.groups]
-        table = common.local_table(spark, spans, "key bigint, size bigint, shard int, first bigint, last bigint")
+        spans = [(g.key, g.size, g.tie, x.first, g.first, g.last) for x in nodes.values() for g in x.groups]
+        table = common.local_table(spark, spans, "key bigint, size bigint, tie bigint, shard int, first bigint, last bigint")
         mine = common.materialise(rows.join(F.broadcast(few), own), "large")
         ranked = common.gapless(mine, own, ["row"], "rank")
         there = ranked.join(F.broadcast(table), own).where("rank >= first and rank < last")

@@ -42,6 +42,8 @@ WINDOW = 1024
 FREQUENT = 64
 SWEEPS = 60
 BLOCKS = 256
+#: a length's rows are ranked in blocks of about so many at most
+BLOCK_ROWS = 500_000
 
 
 def combinations_of(hist: np.ndarray, window: int, frequent: int = FREQUENT) -> list[tuple[int, ...]]:
@@ -163,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
         hist[n] = k
     table = places(plan(hist, window), window)
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    ranked = common.gapless(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "rank", blocks=BLOCKS)
+    ranked = common.gapless(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "rank", blocks=max(BLOCKS, -(-int(hist.sum()) // BLOCK_ROWS)))
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

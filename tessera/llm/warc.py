@@ -80,17 +80,18 @@ def page_record(page_id: int | None, copy: int, url: str | None, payload: bytes,
 def write_warc(pages: DataFrame, out: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, level: int = 6) -> str:
     """Write the archive and return its folder, which holds `files` and `manifest`."""
     spark = pages.sparkSession
+    common.small_batches(spark)
     out = out or common.scratch(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     light = common.materialise(src.select("page_id", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n")), "payloads")
-    size = light.agg(F.sum("n")).first()[0] or 0
+    size, total = light.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     weighed = light.select("page_id", (F.col("n") + HEAD_BYTES).cast("bigint").alias("n"))
     edges = np.array(common.range_edges(weighed, "page_id", "n", -(-size // shard_bytes)), np.int64)
 
     long_ = light.where(F.col("n") >= revisit_bytes)
-    kept = long_.groupBy("sha", "n").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    told = long_.join(kept, ["sha", "n"]).groupBy("page_id", "sha", "keep").agg(F.count(F.lit(1)).alias("same"))
+    kept = long_.groupBy("sha", "n").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    told = common.by_key(long_, kept, ["sha", "n"], "rows", total).groupBy("page_id", "sha", "keep").agg(F.count(F.lit(1)).alias("same"))
     # decisions come first in their page: kind 0, then its records by payload
     empty = F.lit(None)
     decisions = told.select("page_id", F.lit(0).alias("kind"), "sha", empty.cast("string").alias("url"), empty.cast("binary").alias("payload"), "keep")
@@ -167,6 +168,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
     """The page records of the files that the manifest lists: page_id,
     payload_bytes, payload_digest, record_type, refers_to, url and, on demand,
     the payload. Digests of blocks and payloads are checked."""
+    common.small_batches(spark)
     manifest = spark.read.schema("name string, shard bigint, part bigint, records bigint, bytes bigint, sha1 string").parquet(f"{folder}/manifest")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

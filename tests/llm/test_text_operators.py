@@ -1,6 +1,7 @@
 """Language ID, quality, decontamination and their edge cases."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +61,18 @@ def test_an_automaton_has_no_more_nodes_than_counted():
     assert p.automaton.get_stats()["nodes_count"] <= 491 * 10 + 1
 
 
+def test_items_that_open_alike_are_named_once():
+    opening = b" ".join(b"word%d" % i for i in range(10))
+    parts = [(f"{i:06d}", opening + b" own%d" % i) for i in range(40_000)]
+    began = time.process_time()
+    p = decontaminate.Patterns.of(parts, 10)
+    text = opening.decode()
+    told = [p.told(p.scan(text + f" own{i}")[2]) for i in (1, 1, 7)]
+    assert time.process_time() - began < 20
+    assert all(n == 40_000 for n, _ in told) and len({d for _, d in told}) == 1
+    assert len(p.groups) == 40_001 and sum(map(len, p.groups)) == 80_000
+
+
 def test_contamination_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "mot pour mot", 3, "x", 4)], "doc_id bigint, text string, `N_HIT` int, words string, c0 int")
     items = spark.createDataFrame([(2, "mot pour mot")], "item_id bigint, text string")
