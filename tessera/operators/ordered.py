@@ -106,9 +106,9 @@ def ranked(df: DataFrame, order: Order, out: str, keys: Sequence[str] = ()) -> D
     return running_sums(df, order, {out: F.lit(1)}, keys)
 
 
-def spans(df: DataFrame, order: Order, n: str) -> DataFrame:
-    """Adds start and end: where each row's n tokens lie in the concatenation."""
-    return running_sums(df, order, {"end": F.col(n)}).withColumn("start", F.col("end") - F.coalesce(n, F.lit(0)))
+def spans(df: DataFrame, order: Order, n: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds start and end: where each row's n tokens lie in the concatenation of its keys."""
+    return running_sums(df, order, {"end": F.col(n)}, keys).withColumn("start", F.col("end") - F.coalesce(n, F.lit(0)))
 
 
 def slices(df: DataFrame, size: int, out: str) -> DataFrame:

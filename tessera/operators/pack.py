@@ -9,30 +9,33 @@ from tessera.functions.text import md5_word
 from tessera.operators.ordered import Order, columns_of, slices, spans
 
 
-def placed_ids(df: DataFrame, order: Order, ids: str, n: str | None = None) -> DataFrame:
-    """(start, end, ids) of each row in the concatenation. Only light rows are put in order
+def placed_ids(df: DataFrame, order: Order, ids: str, n: str | None = None, key: str | None = None) -> DataFrame:
+    """(start, end, ids) of each row in the concatenation (with key, in that of its value,
+    which is kept). Only light rows are put in order
     (the order's columns, the number of ids and the row's digest); ids meet their places
     in one join on these. n: a column of the number of ids, so that it is known without
     making them. Null orders come first, null ids are none."""
-    keys = [f"__k{i}" for i in range(len(columns_of(order)))]
-    named = df.select(*[c.alias(k) for c, k in zip(columns_of(order), keys, strict=True)], F.coalesce(F.col(n) if n else F.size(ids), F.lit(0)).cast("bigint").alias("__n"), F.col(ids).alias("__ids"))
+    by = [*([F.col(key)] if key else []), *columns_of(order)]
+    keys = [f"__k{i}" for i in range(len(by))]
+    named = df.select(*[c.alias(k) for c, k in zip(by, keys, strict=True)], F.coalesce(F.col(n) if n else F.size(ids), F.lit(0)).cast("bigint").alias("__n"), F.col(ids).alias("__ids"))
     # equal rows of one order share a row of the light table, and take their turn in it
     light = named.groupBy(*keys, "__n").agg(F.count(F.lit(1)).alias("__copies")).withColumn("__all", F.col("__n") * F.col("__copies"))
-    at = spans(light, [*keys, "__n"], "__all").select(*[F.col(k).alias(f"__a{k}") for k in [*keys, "__n"]], "__copies", "start")
+    at = spans(light, [*keys, "__n"], "__all", keys[:1] if key else ()).select(*[F.col(k).alias(f"__a{k}") for k in [*keys, "__n"]], "__copies", "start")
     on = named["__n"] == at["__a__n"]
     for k in keys:
         on = on & named[k].eqNullSafe(at[f"__a{k}"])
     met = named.join(at, on)
     turn = Window.partitionBy(*keys, "__n").orderBy(F.xxhash64("__ids"))
-    single = met.where("__copies = 1").select("start", "__n", F.col("__ids"))
-    several = met.where("__copies > 1").withColumn("start", F.col("start") + (F.row_number().over(turn) - 1) * F.col("__n")).select("start", "__n", "__ids")
-    return single.unionByName(several).select("start", (F.col("start") + F.col("__n")).alias("end"), F.col("__ids").alias(ids))
+    kept = ["__k0"] if key else []
+    single = met.where("__copies = 1").select(*kept, "start", "__n", "__ids")
+    several = met.where("__copies > 1").withColumn("start", F.col("start") + (F.row_number().over(turn) - 1) * F.col("__n")).select(*kept, "start", "__n", "__ids")
+    return single.unionByName(several).select(*[F.col("__k0").alias(key) for _ in kept], "start", (F.col("start") + F.col("__n")).alias("end"), F.col("__ids").alias(ids))
 
 
-def pieces(df: DataFrame, order: Order, ids: str, size: int, out: str, n: str | None = None) -> DataFrame:
-    """(out, lo, p): the ids of each row cut at multiples of `size`."""
-    at = slices(placed_ids(df, order, ids, n), size, out)
-    return at.select(out, "lo", F.slice(F.col(ids), (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("p"))
+def pieces(df: DataFrame, order: Order, ids: str, size: int, out: str, n: str | None = None, key: str | None = None) -> DataFrame:
+    """(out, lo, p): the ids of each row cut at multiples of `size`; with key, that comes first."""
+    at = slices(placed_ids(df, order, ids, n, key), size, out)
+    return at.select(*([key] if key else []), out, "lo", F.slice(F.col(ids), (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("p"))
 
 
 def pack_blocks(df: DataFrame, order: Order, ids: str, block: int, drop_tail: bool = True, n: str | None = None) -> DataFrame:
