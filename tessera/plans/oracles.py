@@ -177,3 +177,14 @@ SELECT vec_id, i::INT AS i, round(a * cos(t) - b * sin(t), 6) AS value FROM a UN
 SELECT id, TRY_CAST(regexp_extract_all(t, '-?\d+')[-1] AS BIGINT) AS value FROM d""",
     "stream_totals": f"WITH {SIZED} SELECT side AS split, count(*) AS docs, sum(n)::BIGINT AS tokens FROM sized GROUP BY side",
 }
+
+ORACLES["corpus_build"] = f"""SELECT target, ((sum(n_tokens) + 49999) // 50000)::BIGINT AS shards, sum(n_tokens)::BIGINT AS n_tokens, sum(token_sum)::BIGINT AS token_sum
+FROM (SELECT doc_id, CASE WHEN split = 'train' THEN 'train' ELSE 'val/' || coalesce(lang, 'none') END AS target FROM ({ORACLES["bucketed_saturating_split"]})) JOIN ({ORACLES["tokenize_bytes"]}) USING (doc_id) GROUP BY target"""
+#: A row a step: what the memory holds, and whether the row was new to it.
+BOUNDED = """SELECT {b} AS b, doc_id, t, row_number() OVER (PARTITION BY {b} ORDER BY doc_id) AS k FROM (SELECT doc_id, md5(trim(text, {white})) AS t FROM documents)), steps AS (
+SELECT DISTINCT b, 0::BIGINT AS k, []::VARCHAR[] AS seen, NULL::BIGINT AS doc_id FROM r UNION ALL
+SELECT r.b, r.k, CASE WHEN list_contains(seen, t) THEN seen WHEN len(seen) + 1 >= {capacity} THEN [] ELSE list_append(seen, t) END, CASE WHEN NOT list_contains(seen, t) THEN r.doc_id END
+FROM steps JOIN r ON r.b = steps.b AND r.k = steps.k + 1) SELECT doc_id FROM steps WHERE doc_id IS NOT NULL"""
+ORACLES["dedup_bounded"] = "WITH RECURSIVE r AS (" + BOUNDED.format(b="0", white=WHITE, capacity=300)
+ORACLES["stream_dedup_bounded"] = "WITH RECURSIVE r AS (" + BOUNDED.format(b="('0x' || substr(t, 1, 8))::BIGINT % 4", white=WHITE, capacity=75)
+ORACLES["stream_flush"] = "SELECT source, (count(*) // 8)::BIGINT AS groups, (count(*) // 8 * 8)::BIGINT AS items FROM documents GROUP BY source HAVING count(*) >= 8"

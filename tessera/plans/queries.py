@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import tokens as K
 from tessera.operators import chat, dedup, logits, metrics, mix, pack, split
+from tessera.operators.cursor import Cursor, ahead
 from tessera.operators.ordered import ranked, slices, spans
-from tessera.sources import readers, sinks, synthetic
+from tessera.plans import builds
+from tessera.sources import readers, sinks, synthetic, token_source
 from tessera.sources.readers import table
 from tessera.tables import scratch
 
@@ -120,37 +122,50 @@ def shard_manifest(spark, d):
     return sinks.shard_manifest(sized(spark, d), "doc_id", "n", 100_000)
 
 
-@query
-def shard_manifest_drop_tail(spark, d):
-    return sinks.shard_manifest(sized(spark, d), "doc_id", "n", 100_000, drop_tail=True)
-
-
 def _scratch(spark: SparkSession) -> str:
     return scratch(spark, "query")
 
 
-def _shards(spark: SparkSession, d: str) -> str:
+def _shards(spark: SparkSession, d: str, **options) -> tuple[str, DataFrame]:
+    """The folder of the documents' token shards, and its manifest."""
     out = _scratch(spark)
-    sinks.write_shards(tokens(spark, d), "doc_id", "ids", out, 100_000, n="n").write.parquet(f"{out}-manifest")
-    return out
+    return out, token_source.write_tokens(tokens(spark, d), "doc_id", "ids", out, 100_000, n="n", **options)
+
+
+@query
+def shard_manifest_drop_tail(spark, d):
+    """What a writer that drops the last, short shard has written."""
+    _, manifest = _shards(spark, d, drop_tail=True)
+    return manifest.select("shard_id", "n_tokens", (F.col("shard_id") * 100_000).alias("first_pos"))
 
 
 @query
 def bin_scan(spark, d):
     """Shards written, read back in pieces of bounded size, and counted."""
-    t = readers.token_shards(spark, _shards(spark, d), ids_a_row=30_000)
-    own = F.regexp_extract("path", "([^/]+)$", 1)
-    return t.groupBy(own.alias("path")).agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(K.total(F.col("tokens"))).alias("token_sum"))
+    t = token_source.read_tokens(spark, _shards(spark, d)[0], ids_a_row=30_000)
+    return t.groupBy("path").agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(K.total(F.col("tokens"))).alias("token_sum"))
 
 
 @query
 def shard_head(spark, d):
     """The first 500 ids of each shard and their text."""
-    t = readers.token_shards(spark, _shards(spark, d), ids_a_row=500, rows=1)
+    t = readers.token_shards(spark, _shards(spark, d)[0], ids_a_row=500, rows=1)
     own = F.regexp_extract("path", "([^/]+)$", 1).alias("path")
     return t.select(own, F.size("tokens").cast("bigint").alias("n_tokens"), K.total(F.col("tokens")).alias("token_sum"), F.length(K.byte_text("tokens")).cast("bigint").alias("n_chars"))
 
 
+@query
+def corpus_build(spark, d):
+    """One call writes the shards of train and of each language's val and commits them; the
+    version is read back."""
+    root = _scratch(spark)
+    own = docs(spark, d).select("doc_id", "lang", "text").join(tokens(spark, d).select("doc_id", "n", "ids"), "doc_id")
+    builds.build(own, root, builds.Plan(600_000, 8_000, 50_000), "doc_id", "lang", "text", "ids", "n")
+    _, t = builds.built(spark, root)
+    target = F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("target")
+    return t.groupBy(target).agg(F.countDistinct("path").alias("shards"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(K.total(F.col("tokens"))).alias("token_sum"))
+
+
 @query
 def jsonl_append(spark, d):
     """Rows appended in two goes to one folder of JSON lines, read back."""
@@ -456,6 +471,13 @@ def batches_drop_last(spark, d):
     return _order(spark, d).where(F.col("pos") < n // 8 * 8).select(F.expr("pos div 8").alias("batch_id"), F.col("pos").alias("sample_no"), "block_id")
 
 
+@query
+def training_cursor(spark, d):
+    """What follows a saved cursor in its epoch, by a bijection of block ids; no sort."""
+    at = Cursor(seed=7, blocks=n_blocks(spark, d), world=4, batch=8).after(3)
+    return ahead(spark, at).select("step", "rank", "slot", "block_id")
+
+
 # --------------------------------------------------------------------- chat
 
 
@@ -714,6 +736,22 @@ def stream_dedup(spark, d):
     return streams.stream_dedup(spark, d, _scratch(spark))
 
 
+@query
+def stream_dedup_bounded(spark, d):
+    from tessera.streaming import dedup as streams
+
+    return streams.stream_dedup_bounded(spark, d, _scratch(spark), 300, buckets=4)
+
+
+@query
+def stream_flush(spark, d):
+    """How many full groups of eight each source gives out."""
+    from tessera.streaming import dedup as streams
+
+    groups = streams.stream_flush(spark, d, _scratch(spark), items=8, wait_ms=3_600_000)
+    return groups.where("flushed_by = 'count'").groupBy("source").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.size("items")).alias("items"))
+
+
 @query
 def stream_budget(spark, d):
     from tessera.streaming import dedup as streams
