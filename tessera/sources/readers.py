@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
@@ -79,28 +77,6 @@ def source_spec(item: str) -> tuple[str, str, float]:
     return name, path, float(weight)
 
 
-def shards_below(folder: str) -> list[str]:
-    return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".bin"))
-
-
-def validate_sources(sources: list[tuple[str, str, float]], splits: tuple[str, ...] = ("train", "val")) -> None:
-    """Raise before any work unless each source has shards of each split."""
-    for name, path, _ in sources:
-        for split in splits:
-            if not os.path.isdir(own := os.path.join(path, split)):
-                raise FileNotFoundError(f"{name}: no folder {own}")
-            if not shards_below(own):
-                raise FileNotFoundError(f"{name}: no shards below {own}")
-
-
-def val_buckets(folder: str) -> dict[str, str]:
-    """One bucket where shards lie in the folder itself, else each subfolder with shards."""
-    if any(f.endswith(".bin") for f in os.listdir(folder)):
-        return {"val": folder}
-    subs = {f: os.path.join(folder, f) for f in sorted(os.listdir(folder)) if os.path.isdir(os.path.join(folder, f))}
-    return {f: p for f, p in subs.items() if shards_below(p)} or {"val": folder}
-
-
 def saved_chat(spark: SparkSession, path: str) -> DataFrame:
     """A saved session as (system, turn, user, assistant)."""
     schema = "system string, turns array<struct<user:string, assistant:string>>"

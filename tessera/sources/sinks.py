@@ -1,19 +1,12 @@
-"""Sinks: fixed-size token shards, retention and JSON reports."""
+"""Sinks: manifests of fixed-size shards, retention and JSON reports. Shards themselves are
+written by token_source."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
-
-import numpy as np
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import slices, spans
-from tessera.operators.pack import pieces
 
 
 def shard_manifest(df: DataFrame, order: str, n: str, size: int, drop_tail: bool = False) -> DataFrame:
@@ -22,68 +15,11 @@ def shard_manifest(df: DataFrame, order: str, n: str, size: int, drop_tail: bool
     return cut.where(F.col("n_tokens") == size) if drop_tail else cut
 
 
-def write_shards(df: DataFrame, order: str, ids: str, out: str, size: int, prefix: str = "train", dtype: str = "uint16", drop_tail: bool = False, n: str | None = None) -> DataFrame:
-    """Headerless shards prefix-00000.bin ... of `size` ids, the last one shorter or
-    dropped. Pieces meet sorted in the task that owns a shard and are written as
-    they come, under a name of the task's own that is moved at the end."""
-    kind = np.dtype(dtype).newbyteorder("<")
-    piece = pieces(df, order, ids, size, "shard_id", n)
-    uri = out if "://" in out or out.startswith("file:") else f"file://{os.path.abspath(out)}"
-
-    def write(batches):
-        where, path = fs.FileSystem.from_uri(uri)
-        where.create_dir(path, recursive=True)
-        open_, n, name, temporary = None, 0, "", ""
-
-        def close(shard):
-            open_.close()
-            if drop_tail and n < size:
-                where.delete_file(temporary)
-                return pa.RecordBatch.from_pylist([])
-            where.move(temporary, f"{path}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([n])], ["shard_id", "name", "n_tokens"])
-
-        last = None
-        for batch in batches:
-            for shard, ids_ in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                if shard != last:
-                    if last is not None:
-                        done = close(last)
-                        if done.num_rows:
-                            yield done
-                    last, n, name = shard, 0, f"{prefix}-{shard:05d}.bin"
-                    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
-                    open_ = where.open_output_stream(temporary, compression=None)
-                values = ids_.values.to_numpy(zero_copy_only=False)
-                open_.write(values.astype(kind).tobytes())
-                n += len(values)
-        if last is not None:
-            done = close(last)
-            if done.num_rows:
-                yield done
-
-    return piece.repartition("shard_id").sortWithinPartitions("shard_id", "lo").mapInArrow(write, "shard_id bigint, name string, n_tokens bigint")
-
-
 def newest(df: DataFrame, owner: str, order: list, keep: int = 3) -> DataFrame:
     """The newest rows of each owner."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).where(F.col("__n") <= keep).drop("__n")
 
 
-def copy_extra(sources: list[tuple[str, str]], out: str) -> int:
-    """Copy each source's dpo/*.npz under its name, never over a file; how many."""
-    os.makedirs(out, exist_ok=True)
-    done = 0
-    for name, path in sources:
-        folder = os.path.join(path, "dpo")
-        for f in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-            to = os.path.join(out, f"{name}_{f}")
-            if f.endswith(".npz") and not os.path.exists(to):
-                shutil.copyfile(os.path.join(folder, f), to)
-                done += 1
-    return done
-
-
 def append_lines(df: DataFrame, out: str) -> None:
     """Rows added to a folder of JSON lines; files of its own for each task, no lock."""
     df.write.mode("append").json(out)

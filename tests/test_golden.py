@@ -11,7 +11,7 @@ from tessera.functions import text as X
 from tessera.functions import tokens as K
 from tessera.operators import chat, logits, metrics, pack
 from tessera.operators.ordered import running_minima, slices, spans, trailing
-from tessera.sources import readers, sinks, synthetic
+from tessera.sources import discovery, readers, sinks, synthetic, token_source
 
 
 def value(spark, column):
@@ -82,19 +82,19 @@ def test_blocks_pairs_and_shards(spark, tmp_path):
     assert sorted(tuple(r.tokens) for r in blocks.collect()) == [(1, 2, 0, 3), (4, 5, 0, 6)]
     pairs = pack.next_token_pairs(blocks.where("block_id = 0")).orderBy("pos").collect()
     assert [(r.x, r.y) for r in pairs] == [(1, 2), (2, 0), (0, 3)]
-    rows = sinks.write_shards(docs, "d", "ids", f"{tmp_path}/s", 4).orderBy("shard_id").collect()
+    rows = token_source.write_tokens(docs, "d", "ids", f"{tmp_path}/s", 4).orderBy("shard_id").collect()
     assert [(r.name, r.n_tokens) for r in rows] == [("train-00000.bin", 4), ("train-00001.bin", 4), ("train-00002.bin", 1)]
     back = [x for r in readers.token_shards(spark, f"{tmp_path}/s", ids_a_row=3).orderBy("path", "part").collect() for x in r.tokens]
     assert back == [1, 2, 0, 3, 4, 5, 0, 6, 0]
-    sinks.write_shards(docs, "d", "ids", f"{tmp_path}/f", 4, drop_tail=True).collect()
-    assert len(readers.shards_below(f"{tmp_path}/f")) == 2
+    token_source.write_tokens(docs, "d", "ids", f"{tmp_path}/f", 4, drop_tail=True).collect()
+    assert discovery.shards_below(spark, f"{tmp_path}/f").count() == 2
     assert [r.s for r in readers.chunks(spark.createDataFrame([(list(range(10)),)], "t array<int>"), F.col("t"), 4).select(F.size("chunk").alias("s")).collect()] == [4, 4, 2]
 
 
 def test_heads_of_shards(spark, tmp_path):
     text = "häuser und höfe"
     ids = list(text.encode())
-    sinks.write_shards(spark.createDataFrame([(0, [*ids, 256, *ids])], "d bigint, ids array<int>"), "d", "ids", f"{tmp_path}/s", len(ids) + 4).collect()
+    token_source.write_tokens(spark.createDataFrame([(0, [*ids, 256, *ids])], "d bigint, ids array<int>"), "d", "ids", f"{tmp_path}/s", len(ids) + 4).collect()
     rows = readers.token_shards(spark, f"{tmp_path}/s", ids_a_row=len(ids) + 1, rows=1).orderBy("path").select(F.size("tokens").alias("n"), K.byte_text("tokens").alias("t")).collect()
     assert rows[0].t == text and rows[0].n == len(ids) + 1 and rows[1].n == len(ids) - 3
 
@@ -171,15 +171,16 @@ def test_sources(spark, tmp_path):
     for part in ("train", "val/one", "val/two/deep", "val/none"):
         (tmp_path / part).mkdir(parents=True)
     with pytest.raises(FileNotFoundError):
-        readers.validate_sources([("a", str(tmp_path), 1.0)])
+        discovery.validate_sources(spark, [("a", str(tmp_path), 1.0)])
     for part in ("train", "val/one", "val/two/deep"):
         np.arange(5, dtype="<u2").tofile(tmp_path / part / "x.bin")
-    readers.validate_sources([("a", str(tmp_path), 1.0)])
-    assert list(readers.val_buckets(f"{tmp_path}/val")) == ["one", "two"]
-    assert list(readers.val_buckets(f"{tmp_path}/train")) == ["val"]
+    discovery.validate_sources(spark, [("a", str(tmp_path), 1.0)])
+    assert list(discovery.val_buckets(spark, f"{tmp_path}/val")) == ["one", "two"]
+    assert list(discovery.val_buckets(spark, f"{tmp_path}/train")) == ["val"]
+    assert discovery.val_buckets(spark, f"{tmp_path}/nowhere") == {"val": f"{tmp_path}/nowhere"}
     (tmp_path / "dpo").mkdir()
     (tmp_path / "dpo/p.npz").write_bytes(b"1")
-    assert [sinks.copy_extra([("a", str(tmp_path))], f"{tmp_path}/out") for _ in range(2)] == [1, 0]
+    assert [discovery.copy_extra(spark, [("a", str(tmp_path))], f"{tmp_path}/out") for _ in range(2)] == [1, 0]
 
 
 def test_json_lines(spark, tmp_path):
@@ -236,3 +237,20 @@ def test_kth_value_narrows_down(spark):
     for k in (1, 2, 350, 400, 699, 700):
         assert metrics.kth_value(df, "x", k, bins=8, few=5) == sorted(xs)[k - 1]
     assert metrics.kth_value(df, "x", 701) is None and metrics.kth_value(df.limit(0), "x", 1) is None
+
+
+def test_many_files_are_listed_and_copied(spark, tmp_path):
+    (tmp_path / "a/dpo").mkdir(parents=True)
+    (tmp_path / "b/dpo/deep").mkdir(parents=True)
+    for i in range(1500):
+        (tmp_path / f"a/dpo/{i:05d}.npz").write_bytes(b"%d" % i)
+    for name in ("b/dpo/x.npz", "b/dpo/deep/y.npz", "b/dpo/z.txt"):
+        (tmp_path / name).write_bytes(b"b")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/a_00007.npz").write_bytes(b"kept")
+    sources = [("a", f"file://{tmp_path}/a"), ("b", f"{tmp_path}/b"), ("c", f"{tmp_path}/none")]
+    assert [discovery.copy_extra(spark, sources, f"{tmp_path}/out") for _ in range(2)] == [1500, 0]
+    assert (tmp_path / "out/a_00007.npz").read_bytes() == b"kept" and (tmp_path / "out/a_01499.npz").read_bytes() == b"1499"
+    files = discovery.listing(spark, f"{tmp_path}/out")
+    assert files.count() == 1501 and files.where("name = 'b_x.npz'").first().length == 1
+    assert discovery.listing(spark, f"{tmp_path}/b", "*.npz").orderBy("name").first().name == "dpo/deep/y.npz"
