@@ -16,10 +16,11 @@ most (a + b) (100 - percent) / (100 + percent) elements.
    `tolerance` are equal. Every choice of that many words of a part is a key: two sets that
    link share one. Keys are joined by a shuffle. TOLERANCE grows with the number of sets,
    as longer keys meet by chance less often; any gives the same links.
-4. Verification. Every member of a posting is tested against the posting's first (a star);
-   the links found are joined by union-find. Postings whose members are not all in one
-   component by then are tested further, in a task for each posting (or, if it is long, for
-   each pair of its blocks), pairs of one component being left out. So no link between
+4. Verification. The members of a posting of up to FEW are tested against each other, those
+   of a longer one against its first (a star); the links found are joined by union-find.
+   Longer postings whose members are not all in one component by then are tested further,
+   in a task for each posting (or, if it is long, for each pair of its blocks), pairs of one
+   component being left out. So no link between
    components is lost, while thousands of versions of a text make thousands of tests, not
    millions. A test first compares sketches of one or two bits an element, kept of each
    document: their Hamming distance alone may be too much already (longer ones are folded to
@@ -60,6 +61,8 @@ TOLERANCE = ((4_000_000, (1, 3)), (400_000_000, (2, 5)), (1 << 62, (3, 7)))
 #: members of a posting that are compared in one task
 CAP = 512
 SALT = 1024
+#: postings of up to so many members are pairs; and so many pairs a member may come of a longer one
+FEW = 4
 OUT = 1 << 15
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -232,9 +235,9 @@ def postings(texts: DataFrame, n: int, percent: int, tolerance: int, pieces: int
 
 
 def meetings(posted: DataFrame, percent: int) -> DataFrame:
-    """Postings of two members or more, as rows (a, b, star): either a candidate pair of the
-    first member and another, or (posting, member) of a posting of three or more. Postings
-    of the same members are the same posting."""
+    """Postings of two members or more, as rows (a, b, star): either a candidate pair (any of
+    a posting of up to FEW members, else the first member and another), or (posting, member)
+    of a longer posting. Postings of the same members are the same posting."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
@@ -253,8 +256,17 @@ def meetings(posted: DataFrame, percent: int) -> DataFrame:
             fits = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((small > 0) | (s > 0)) & (m != first)
             if fits.any():
                 yield out(first[fits], m[fits], True)
+            if not head:
+                short = np.repeat((count > 2) & (count <= FEW), count)
+                for d in range(1, FEW - 1):
+                    # pairs d apart of which the first is not the posting's first: these are there already
+                    i = np.flatnonzero(short[:-d] & (k[d:] == k[:-d]) & (m[:-d] != first[:-d]))
+                    lo, hi = np.minimum(y[i], y[i + d]), np.maximum(y[i], y[i + d])
+                    i = i[(100 * lo >= percent * hi) & ((s[i] > 0) | (s[i + d] > 0))]
+                    if len(i):
+                        yield out(m[i], m[i + d], True)
             # a posting's name is a digest of its members, which are sorted
-            many = np.repeat(count > 2, count) if not head else np.ones(len(k), bool)
+            many = np.repeat(count > FEW, count) if not head else np.ones(len(k), bool)
             if many.any():
                 if head:
                     yield out(k, m, False)
@@ -393,17 +405,18 @@ def open_tasks(lists: DataFrame, components: DataFrame, cap: int) -> DataFrame:
 
 def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Within each task, members of different components. Of whole sets: links (a, b), as many
-    as join the components they join. Else (task, member) of those members that have
-    another to be compared with on whole sets."""
+    as join the components they join. Of sketches: what is left to be compared on whole sets,
+    as pairs (a, b, true), or, where these are over FEW times the members, as (task,
+    member, false) of the members they have."""
     met = tasks.join(sets, "member").select("task", "member", "root", "size", "elements")
-    names = ["a", "b"] if whole else ["task", "member"]
+    names = ["a", "b"] if whole else ["a", "b", "pair"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
 
         def within(task: int, rows: list[tuple]) -> pa.RecordBatch:
             members, group, sizes, elements = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
-            got, some = ([], []), np.zeros(len(rows), bool)
+            got, some, pairs = ([], []), np.zeros(len(rows), bool), 0
             for i, x in enumerate(elements):
                 other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
                 if not len(other):
@@ -412,15 +425,19 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
                 if not whole:
                     some[near] = True
                     some[i] |= len(near) > 0
+                    pairs += len(near)
+                    if pairs <= FEW * len(rows):
+                        got[0].extend([members[i]] * len(near)), got[1].extend(members[j] for j in near)
                     continue
                 for j in near:
                     if group[j] != group[i]:
                         got[0].append(members[i]), got[1].append(members[j])
                         group[group == group[j]] = group[i]
-            if not whole:
+            if not whole and pairs > FEW * len(rows):
                 at = np.flatnonzero(some)
                 got = [task] * len(at), [members[i] for i in at]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names)
+            columns = [pa.array(c, pa.int64()) for c in got]
+            return pa.RecordBatch.from_arrays(columns if whole else [*columns, pa.array(np.full(len(got[0]), pairs <= FEW * len(rows)))], names)
 
         now, rows = None, []
         for batch in batches:
@@ -434,7 +451,7 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
             yield within(now, rows)
 
     dealt = met.repartition("task").sortWithinPartitions("task", "member")
-    return common.materialise(dealt.mapInArrow(step, ", ".join(f"{c} bigint" for c in names)), "compared")
+    return common.materialise(dealt.mapInArrow(step, "a bigint, b bigint" if whole else "a bigint, b bigint, pair boolean").distinct(), "compared")
 
 
 def ngram_links(docs: DataFrame, ngram: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tolerance: tuple[int, int] | None = None, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
@@ -469,10 +486,14 @@ def ngram_links(docs: DataFrame, ngram: int = 4, percent: int = 85, id_col: str
     common.discard(sets)
     common.release(docs.sparkSession)
     tasks = common.materialise(open_tasks(lists, components, cap), "tasks")
-    few = compared(tasks, sketches, percent, whole=False)
-    if not few.isEmpty():
-        sets = sets_again(texts, sized, few.select("member").distinct(), ngram)
-        more = compared(tasks.join(few, ["task", "member"], "left_semi"), sets, percent, whole=True)
+    left = compared(tasks, sketches, percent, whole=False)
+    if not left.isEmpty():
+        near = left.where("pair").select("a", "b")
+        few = left.where("not pair").select(F.col("a").alias("task"), F.col("b").alias("member"))
+        sets = sets_again(texts, sized, ends(near).unionByName(few.select("member")).distinct(), ngram)
+        more = verified(near, sets, percent, whole=True).select("a", "b")
+        if not few.isEmpty():
+            more = more.unionByName(compared(tasks.join(few, ["task", "member"], "left_semi"), sets, percent, whole=True))
         if not more.isEmpty():
             components = common.connected_components(links.unionByName(more), n + more.count())
         common.discard(sets)

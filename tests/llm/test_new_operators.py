@@ -167,7 +167,7 @@ def test_join_is_brute_force(spark, tolerance):
     check_join(spark, join_rows(tolerance[0]), tolerance=tolerance)
 
 
-def test_chains_in_long_postings(spark):
+def test_chains_in_long_postings(spark, monkeypatch):
     """Versions that drift: the first is far from the last, all are one component."""
     rng = random.Random(4)
     words = [f"w{i}" for i in range(120)]
@@ -177,9 +177,11 @@ def test_chains_in_long_postings(spark):
         words[rng.randrange(120)] = f"v{i}"
     rows += [(100 + i, " ".join(f"u{i}x{j}" if j % 2 else f"w{j}" for j in range(120))) for i in range(20)]
     check_join(spark, rows, cap=8)
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    check_join(spark, rows, cap=8)
 
 
-def test_open_postings_give_what_stars_miss(spark):
+def test_open_postings_give_what_stars_miss(spark, monkeypatch):
     """Of five sets that meet in a posting, the first links with none, the others chain."""
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
@@ -190,10 +192,14 @@ def test_open_postings_give_what_stars_miss(spark):
     sketches = spark.createDataFrame([(i, n, bytearray(ngram_join.sketch_of(np.frombuffer(x, np.uint64)).tobytes())) for i, n, x in rows], sets.schema)
     lists = spark.createDataFrame([(7, i) for i in range(1, 6)] + [(8, 1), (8, 2), (8, 3)], "posting bigint, member bigint")
     known = spark.createDataFrame([(2, 2), (3, 2)], "node bigint, root bigint")
-    for cap in (512, 2):
+    for cap, few in ((512, 4), (512, 0), (2, 4)):
         tasks = ngram_join.open_tasks(lists, known, cap)
-        few = ngram_join.compared(tasks, sketches, 85, whole=False)
-        links = {frozenset(r) for r in ngram_join.compared(tasks.join(few, ["task", "member"], "left_semi"), sets, 85, whole=True).collect()}
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        left = ngram_join.compared(tasks, sketches, 85, whole=False)
+        assert {r.pair for r in left.collect()} <= {few > 0}
+        links = {frozenset(r) for r in ngram_join.verified(left.where("pair").select("a", "b"), sets, 85, whole=True).select("a", "b").collect()}
+        rest = left.where("not pair").select(F.col("a").alias("task"), F.col("b").alias("member"))
+        links |= {frozenset(r) for r in ngram_join.compared(tasks.join(rest, ["task", "member"], "left_semi"), sets, 85, whole=True).collect()}
         seen = {2, 3}
         for _ in range(4):
             for a, b in links:
