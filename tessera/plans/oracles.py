@@ -188,3 +188,12 @@ FROM steps JOIN r ON r.b = steps.b AND r.k = steps.k + 1) SELECT doc_id FROM ste
 ORACLES["dedup_bounded"] = "WITH RECURSIVE r AS (" + BOUNDED.format(b="0", white=WHITE, capacity=300)
 ORACLES["stream_dedup_bounded"] = "WITH RECURSIVE r AS (" + BOUNDED.format(b="('0x' || substr(t, 1, 8))::BIGINT % 4", white=WHITE, capacity=75)
 ORACLES["stream_flush"] = "SELECT source, (count(*) // 8)::BIGINT AS groups, (count(*) // 8 * 8)::BIGINT AS items FROM documents GROUP BY source HAVING count(*) >= 8"
+#: of documents whole or in chunks; an item's key is its document and its chunk
+UNITS = "SELECT lang AS source, doc_id, strlen(text) AS n, unnest(CASE WHEN lang IN ('en', 'fr') THEN [0] ELSE range((strlen(text) + 1023) // 1024) END)::INT AS chunk_no FROM documents WHERE strlen(text) > 0"
+ORACLES["random_mixed_units"] = (
+    f"WITH {ARRIVALS.format(seed=5, items=UNITS)}".replace("SELECT source, doc_id, n, (sum", "SELECT source, doc_id, chunk_no, n, (sum").replace("':' || doc_id)", "':' || doc_id || ':' || chunk_no)").replace("ORDER BY doc_id))::BIGINT * 4", "ORDER BY doc_id, chunk_no))::BIGINT * 4")
+    + " SELECT row_number() OVER (ORDER BY t) AS out_pos, source, doc_id, chunk_no, (CASE WHEN source IN ('en', 'fr') THEN n ELSE least(1024, n - 1024 * chunk_no) END)::BIGINT AS n_tokens FROM arrivals"
+)
+#: a character is a byte that continues none, or one that continues what the shard does not hold
+ORACLES["shard_head"] = f"""WITH {IDS}, h AS (SELECT p // 100000 AS s, p % 100000 AS i, x FROM stream WHERE p % 100000 < 500), f AS (SELECT s, min(i) FILTER (x < 128 OR x > 191) AS lead FROM h GROUP BY s)
+SELECT 'train-' || lpad(s::VARCHAR, 5, '0') || '.bin' AS path, count(*)::BIGINT AS n_tokens, sum(x)::BIGINT AS token_sum, (count(*) FILTER (x < 256 AND (x < 128 OR x > 191 OR i < lead)))::BIGINT AS n_chars FROM h JOIN f USING (s) GROUP BY s"""

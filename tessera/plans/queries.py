@@ -360,15 +360,25 @@ def random_interleave(spark, d):
     return mix.random_interleave(docs(spark, d).select(F.col("lang").alias("source"), "doc_id"), "source", "doc_id", WEIGHTS, seed=5).select("out_pos", "source", "doc_id")
 
 
-@query
-def interleave_mixed_units(spark, d):
+def _units(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts of some languages, chunks of 1024 byte tokens of the others."""
     n = F.octet_length("text")
     unit = F.when(F.col("lang").isin("en", "fr"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.expr("(octet_length(text) - 1) div 1024").cast("int")))
     units = docs(spark, d).where(n > 0).select(F.col("lang").alias("source"), "doc_id", F.explode(unit).alias("chunk_no"), n.alias("n"))
     size = F.when(F.col("source").isin("en", "fr"), F.col("n")).otherwise(F.least(F.lit(1024), F.col("n") - 1024 * F.col("chunk_no")))
-    units = units.withColumn("n_tokens", size.cast("bigint"))
-    return mix.interleave(units, "source", ("doc_id", "chunk_no"), WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no", "n_tokens")
+    return units.withColumn("n_tokens", size.cast("bigint"))
+
+
+@query
+def random_mixed_units(spark, d):
+    """Texts and chunks, each next pick a draw in proportion to the weights."""
+    return mix.random_interleave(_units(spark, d), "source", ("doc_id", "chunk_no"), WEIGHTS, seed=5).select("out_pos", "source", "doc_id", "chunk_no", "n_tokens")
+
+
+@query
+def interleave_mixed_units(spark, d):
+    """The same by fixed strides."""
+    return mix.interleave(_units(spark, d), "source", ("doc_id", "chunk_no"), WEIGHTS).select("out_pos", "source", "doc_id", "chunk_no", "n_tokens")
 
 
 @query
