@@ -49,7 +49,7 @@ def in_ranges(df: DataFrame, order: Order, keys: Sequence[str] = (), values: dic
     return materialise(cut.withColumn("__r", F.spark_partition_id()), "ranges")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     """The join of a range and its key with what is known of them in b (range __br,
     keys __bk0, __bk1, ...)."""
     on = a["__r"] == b["__br"]
@@ -58,7 +58,7 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return on
 
 
-def _carried(placed: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+def carried(placed: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
     """What earlier ranges hold of a key that goes on in a range, a row a range at most."""
     own = [quoted(k).alias(f"__bk{i}") for i, k in enumerate(keys)]
     names = [f"__bk{i}" for i in range(len(keys))]
@@ -73,20 +73,20 @@ def running_sums(df: DataFrame, order: Order, values: dict[str, Column], keys: S
     none) within the keys, in the order of `order`. Hand in light rows: they are shuffled
     twice and written once."""
     placed = in_ranges(df, order, keys, {f"__v_{n}": F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")) for n, c in values.items()}, ranges)
-    base = _carried(placed, keys, {n: (F.sum(f"__v_{n}"), F.sum) for n in values})
+    base = carried(placed, keys, {n: (F.sum(f"__v_{n}"), F.sum) for n in values})
     own = Window.partitionBy("__r", *map(quoted, keys)).orderBy(*columns_of(order), "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumns({f"__s_{n}": F.sum(f"__v_{n}").over(own) for n in values})
-    out = summed.join(base, _same(summed, base, keys), "left")
+    out = summed.join(base, same(summed, base, keys), "left")
     return out.select(*[summed["`" + c.replace("`", "``") + "`"] for c in df.columns], *[(F.col(f"__s_{n}") + F.coalesce(F.col(f"__b_{n}"), F.lit(0))).cast("bigint").alias(n) for n in values])
 
 
 def running_minima(df: DataFrame, order: Order, value: str, out: str, keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Adds the least value of the rows before; null for the first."""
     placed = in_ranges(df, order, keys, ranges=ranges)
-    base = _carried(placed, keys, {"m": (F.min(value), F.min)})
+    base = carried(placed, keys, {"m": (F.min(value), F.min)})
     own = Window.partitionBy("__r", *map(quoted, keys)).orderBy(*columns_of(order), "__tie").rowsBetween(Window.unboundedPreceding, -1)
     least = placed.withColumn("__o", F.min(value).over(own))
-    joined = least.join(base, _same(least, base, keys), "left")
+    joined = least.join(base, same(least, base, keys), "left")
     return joined.select(*[least["`" + c.replace("`", "``") + "`"] for c in df.columns], F.least("__o", "__b_m").alias(out))
 
 

@@ -88,6 +88,21 @@ def test_bounded_dedup(spark, seed):
     assert sorted(r.i for r in dedup.keep_first_bounded(df, "i", 3).collect()) == want
 
 
+def test_bounded_dedup_of_a_hot_text_over_many_ranges(spark):
+    rng = random.Random(7)
+    rows = [(2**61 - rng.getrandbits(40) * 100 - i, "hot" if i % 3 == 0 else f"t{rng.randrange(60)}") for i in range(500)]
+    seen, want = set(), []
+    for i, t in sorted(rows):
+        if t not in seen:
+            seen.add(t)
+            want.append(i)
+            if len(seen) >= 20:
+                seen = set()
+    df = spark.createDataFrame(rows, "i bigint, text string").repartition(3)
+    assert sorted(r.i for r in dedup.keep_first_bounded(df, "i", 20, ranges=6).collect()) == want
+    assert dedup.keep_first_bounded(df.limit(0), "i", 20).count() == 0
+
+
 def test_bounded_dedup_case(spark):
     df = spark.createDataFrame(list(enumerate("aabaa")), "i bigint, text string")
     assert sorted(r.i for r in dedup.keep_first_bounded(df, "i", 2).collect()) == [0, 2, 3]
