@@ -7,13 +7,14 @@ import gc
 import json
 import re
 import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import tables
+
 # ---------------------------------------------------------------- shared folder
 
 
@@ -32,7 +33,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted with all below it when the driver ends."""
+    shared_root(spark)
+    return tables.scratch(spark, name)
 
 
 ROWS_A_FILE = 50_000
@@ -51,16 +54,12 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    tables.remove(spark, *paths)
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*written: DataFrame) -> None:
     """Delete the written tables below these frames, which nothing reads any more."""
-    for table in tables:
+    for table in written:
         root = f"{shared_root(table.sparkSession)}/tessera/".split(":", 1)[-1].lstrip("/")
         folders = {f.rpartition("/")[0] for f in table.inputFiles()}
         remove(table.sparkSession, *{f for f in folders if f.split(":", 1)[-1].lstrip("/").startswith(root)})

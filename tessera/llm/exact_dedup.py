@@ -10,8 +10,11 @@ DataFrame functions.
    so that 2^MAX_DEPTH slots suffice; the directory is the only thing broadcast besides
    a bitmap of bounded size.
 4. A second scan brings the texts of hashes that occur more than once (a bitmap lets
-   only those through), one row for each distinct text, its bytes compared.
-5. Owner tasks hold buckets: entries and texts are dealt by bucket, in one shuffle, and
+   only those through). They are grouped by hash and bytes, copies meeting on the map side:
+   this shuffle, not an owner task, compares bytes, as a text of which a third of all rows
+   are copies would move to its owner row by row if it were dealt by bucket alone. Each
+   distinct text comes out as one row: its hash and how many have it.
+5. Owner tasks hold buckets: entries and these rows are dealt by bucket, in one shuffle, and
    each hash's chain is closed there. A chain of one text is a group and its row that
    stays is settled; so is a chain of a single row.
 6. Chains of several texts (a collision of 64 bits) are taken apart by the bytes of

@@ -11,7 +11,8 @@ from tessera.llm.common import table
 
 
 def held_out() -> Column:
-    """Rows that nothing is learned from."""
+    """Rows that nothing is learned from; null for a row without a doc_id, which is learned
+    from no more than those."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
