@@ -12,7 +12,7 @@ most (a + b) (100 - percent) / (100 + percent) elements.
    band and, as the smaller of a pair, in the next. A band fixes the largest distance d and
    the sketch's length.
 3. Pigeonhole. The sketch is cut into parts so few that one part holds `tolerance` of the d
-   flips at most; that part is cut again, into `pieces` words of 32 bits, of which all but
+   flips at most; that part is cut again, into `pieces` words of 64 bits, of which all but
    `tolerance` are equal. Every choice of that many words of a part is a key: two sets that
    link share one. Keys are joined by a shuffle. TOLERANCE grows with the number of sets,
    as longer keys meet by chance less often; any gives the same links.
@@ -166,8 +166,8 @@ def keys_of(elements: np.ndarray, band: int, percent: int, tolerance: int, piece
     parts, words, choices = scheme(band, percent, tolerance, pieces)
     length = parts * words
     slot = (elements >> np.uint64(32)) * np.uint64(length) >> np.uint64(32)
-    sketch = np.zeros(length, np.uint32)
-    np.bitwise_xor.at(sketch, slot.astype(np.int64), np.uint32(1) << (elements & np.uint64(31)).astype(np.uint32))
+    sketch = np.zeros(length, np.uint64)
+    np.bitwise_xor.at(sketch, slot.astype(np.int64), np.uint64(1) << (elements & np.uint64(63)))
     mixed = mix(sketch + salts(length, band)).reshape(parts, words)
     keys = [mix(mixed[:, c].sum(axis=1, dtype=np.uint64) + salts(parts, 1000 + i)) for i, c in enumerate(choices)]
     return np.concatenate(keys)
@@ -406,13 +406,14 @@ def open_tasks(lists: DataFrame, components: DataFrame, cap: int) -> DataFrame:
 def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Within each task, members of different components. Of whole sets: links (a, b), as many
     as join the components they join. Of sketches: what is left to be compared on whole sets,
-    as pairs (a, b, true), or, where these are over FEW times the members, as (task,
-    member, false) of the members they have."""
+    as pairs (a, b, true), or, where that is fewer rows, as (task, member, false) of the
+    members of these pairs. A pair of several postings is given once by a worker's batches."""
     met = tasks.join(sets, "member").select("task", "member", "root", "size", "elements")
     names = ["a", "b"] if whole else ["a", "b", "pair"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
+        seen: set[tuple[int, int]] = set()
 
         def within(task: int, rows: list[tuple]) -> pa.RecordBatch:
             members, group, sizes, elements = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
@@ -433,11 +434,17 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
                     if group[j] != group[i]:
                         got[0].append(members[i]), got[1].append(members[j])
                         group[group == group[j]] = group[i]
-            if not whole and pairs > FEW * len(rows):
+            as_pairs = not whole and pairs <= min(FEW * len(rows), int(some.sum()))
+            if as_pairs:
+                new = [x for x in zip(*got, strict=True) if x not in seen]
+                if len(seen) < SEEN:
+                    seen.update(new)
+                got = [a for a, _ in new], [b for _, b in new]
+            elif not whole:
                 at = np.flatnonzero(some)
                 got = [task] * len(at), [members[i] for i in at]
             columns = [pa.array(c, pa.int64()) for c in got]
-            return pa.RecordBatch.from_arrays(columns if whole else [*columns, pa.array(np.full(len(got[0]), pairs <= FEW * len(rows)))], names)
+            return pa.RecordBatch.from_arrays(columns if whole else [*columns, pa.array(np.full(len(got[0]), as_pairs))], names)
 
         now, rows = None, []
         for batch in batches:
