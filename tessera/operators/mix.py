@@ -24,6 +24,12 @@ def normalised(weights: dict[str, float]) -> dict[str, float]:
     return {k: w / total for k, w in weights.items()}
 
 
+def normalised_column(df: DataFrame, weight: str) -> DataFrame:
+    """The weights of a table of a row a source as shares of their sum."""
+    total = df.agg(F.greatest(F.lit(1e-12), F.coalesce(F.sum(weight), F.lit(0.0))).alias("__total"))
+    return df.withColumn(weight, F.col(weight) / F.lit(total.first()[0]))
+
+
 def enabled(weights: dict[str, float], flags: dict[str, bool]) -> dict[str, float]:
     """Sources in use: all if no flag is set, else the flagged; none without weight."""
     chosen = weights if not any(flags.values()) else {k: w for k, w in weights.items() if flags.get(k)}

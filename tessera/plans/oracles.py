@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import WS
-from tessera.plans.queries import BLOCK, PAD, PROMPTS, STOPS
+from tessera.plans.queries import BLOCK, PAD, STOPS
 
 
 def lit(s: str) -> str:
@@ -79,8 +79,6 @@ FROM documents d JOIN benchmark b ON item_id = doc_id WHERE trim(d.text, {WHITE}
     "repeat_source": "SELECT item_id, rep::INT AS rep, rep * n + rn - 1 AS ord FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn, count(*) OVER () AS n FROM benchmark), (SELECT unnest(range(3)) AS rep)",
     "split_substring_delim": f"SELECT doc_id, (k - 1)::INT AS piece_no, trim(p[k], {WHITE}) AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(p[k], {WHITE}) <> ''",
     "split_min_len": f"SELECT doc_id, (k - 1)::INT AS piece_no, trim(p[k], {WHITE}) AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE length(trim(p[k], {WHITE})) > 50",
-    "split_line_delim": f"""WITH l AS (SELECT k, line, count(*) FILTER (trim(line, {WHITE}) = '---') OVER (ORDER BY k) AS g FROM (SELECT unnest(range(1, len(p) + 1)) AS k, unnest(p) AS line FROM (SELECT string_split({lit(PROMPTS)}, chr(10)) AS p)))
-SELECT 1::BIGINT AS id, g::INT AS prompt_no, trim(string_agg(line, chr(10) ORDER BY k), {WHITE}) AS prompt FROM l WHERE trim(line, {WHITE}) <> '---' GROUP BY g HAVING trim(string_agg(line, chr(10) ORDER BY k), {WHITE}) <> ''""",
     "chunk_tokens": "SELECT doc_id, k::INT AS chunk_no, least(1024, n - 1024 * k)::BIGINT AS n_tokens FROM (SELECT doc_id, strlen(text) AS n, unnest(range((strlen(text) + 1023) // 1024)) AS k FROM documents)",
     "arith_items": """WITH r AS (SELECT range AS id, ('0x' || substr(md5('a:0:' || range), 1, 8))::BIGINT % 20001 - 10000 AS a, ('0x' || substr(md5('b:0:' || range), 1, 8))::BIGINT % 20001 - 10000 AS b, ('0x' || substr(md5('op:0:' || range), 1, 8))::BIGINT % 3 AS o FROM range(200))
 SELECT id, a, b, ['+', '-', '*'][o + 1] AS op, CASE o WHEN 0 THEN a + b WHEN 1 THEN a - b ELSE a * b END AS answer FROM r""",
@@ -197,3 +195,9 @@ ORACLES["random_mixed_units"] = (
 #: a character is a byte that continues none, or one that continues what the shard does not hold
 ORACLES["shard_head"] = f"""WITH {IDS}, h AS (SELECT p // 100000 AS s, p % 100000 AS i, x FROM stream WHERE p % 100000 < 500), f AS (SELECT s, min(i) FILTER (x < 128 OR x > 191) AS lead FROM h GROUP BY s)
 SELECT 'train-' || lpad(s::VARCHAR, 5, '0') || '.bin' AS path, count(*)::BIGINT AS n_tokens, sum(x)::BIGINT AS token_sum, (count(*) FILTER (x < 256 AND (x < 128 OR x > 191 OR i < lead)))::BIGINT AS n_chars FROM h JOIN f USING (s) GROUP BY s"""
+
+ORACLES["split_line_delim"] = f"""WITH p AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents)
+SELECT doc_id, (k - 1)::INT AS prompt_no, trim(p[k], {WHITE}) AS prompt FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM p) WHERE trim(p[k], {WHITE}) <> ''"""
+ORACLES["arith_items"] = ORACLES["arith_items"].replace("range(200)", "range((SELECT count(*) FROM documents))")
+ORACLES["normalize_weights"] = "SELECT source, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 9) AS w FROM documents GROUP BY source"
+ORACLES["lr_schedule"] = ORACLES["lr_schedule"].replace("range(1001)", f"range({TOTAL} + 1)").replace("900.0::DOUBLE", f"greatest({TOTAL} - 100, 1)::DOUBLE")

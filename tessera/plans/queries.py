@@ -62,6 +62,7 @@ def concat_configs(spark, d):
 @query
 def paired_prompt(spark, d):
     both = docs(spark, d).select("doc_id", X.strip("text").alias("article")).join(table(spark, d, "benchmark").select("item_id", X.strip("text").alias("abstract")), F.col("item_id") == F.col("doc_id"))
+    # Fixed value: the wording of the prompt
     user = F.concat(F.lit("Summarize the following paper into a concise abstract.\n\n<paper>\n"), F.col("article"), F.lit("\n</paper>\n"))
     return both.where("article <> '' and abstract <> ''").select(F.col("doc_id").alias("id"), F.concat(F.lit("<|user|>\n"), user, F.lit("\n<|assistant|>\n"), F.col("abstract"), F.lit("\n")).alias("prompt"))
 
@@ -86,12 +87,11 @@ def split_min_len(spark, d):
     return readers.pieces(docs(spark, d).select("doc_id", "text"), "text", "\n", 50).drop("text")
 
 
-PROMPTS = "What is 2+2?\n---\n  Name a prime.\nBe brief.\n --- \n\n---\nTell a story --- short.\n"
-
-
 @query
 def split_line_delim(spark, d):
-    return readers.line_delimited(spark.createDataFrame([(1, PROMPTS)], "id bigint, value string"), "value").drop("value")
+    """Sentences, set apart by lines that hold nothing but a delimiter."""
+    marked = F.replace(F.col("text"), F.lit(". "), F.lit("\n --- \n"))
+    return readers.line_delimited(docs(spark, d).select("doc_id", marked.alias("value")), "value").drop("value")
 
 
 @query
@@ -101,17 +101,20 @@ def chunk_tokens(spark, d):
 
 @query
 def synth_kv_episodes(spark, d):
-    return synthetic.kv_episodes(spark, 8, 2000, 6000)
+    """An episode for each fifty documents or part of them."""
+    return synthetic.kv_episodes(spark, -(-docs(spark, d).count() // 50), 2000, 6000)
 
 
 @query
 def needle_items(spark, d):
-    return synthetic.needles(spark, 20, 2000)
+    """A prompt for each fifty documents or part of them."""
+    return synthetic.needles(spark, -(-docs(spark, d).count() // 50), 2000)
 
 
 @query
 def arith_items(spark, d):
-    return synthetic.arithmetic(spark, 200)
+    """An item for each document."""
+    return synthetic.arithmetic(spark, docs(spark, d).count())
 
 
 # -------------------------------------------------------------------- sinks
@@ -393,7 +396,8 @@ def split_driver(spark, d):
 
 @query
 def normalize_weights(spark, d):
-    return spark.createDataFrame(list(mix.normalised({"web": 0.6, "code": 0.3, "math": 0.3, "off": 0.0}).items()), "source string, w double").withColumn("w", F.round("w", 9))
+    """Each source's share of the documents."""
+    return mix.normalised_column(docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("w")), "w").withColumn("w", F.round("w", 9))
 
 
 # ------------------------------------------------------------------- tokens
@@ -664,7 +668,8 @@ def kth_value_quantiles(spark, d):
 
 @query
 def lr_schedule(spark, d):
-    return metrics.schedule(spark, 1e-3, 1e-4, 100, 1000).select("step", "schedule", F.round("lr", 12).alias("lr"))
+    """A step for each packed block."""
+    return metrics.schedule(spark, 1e-3, 1e-4, 100, n_blocks(spark, d)).select("step", "schedule", F.round("lr", 12).alias("lr"))
 
 
 # ------------------------------------------------------------------- logits
