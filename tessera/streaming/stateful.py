@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.functions.text import md5_word, strip
 from tessera.operators.dedup import content_key
 from tessera.operators.ordered import quoted
 
@@ -69,16 +68,20 @@ class BoundedDedup(StatefulProcessor):
         pass
 
 
-def dedup_bounded(stream: DataFrame, order: str, capacity: int, buckets: int = 16, text: str = "text", ttl_ms: int | None = None) -> DataFrame:
+def dedup_bounded(stream: DataFrame, order: str, capacity: int, buckets: int = 16, text: str = "text", ttl_ms: int | None = None, digest: str | None = None) -> DataFrame:
     """The rows whose stripped text the stream has not seen lately. Texts are dealt by their
     digest to `buckets` memories of capacity / buckets digests each, so that state never has
     more than `capacity` rows, and none is a hot key. Rows of a batch come in the order of
     `order`, the digest telling ties apart; batches come one after the other. ttl_ms: forget
-    a digest after so long, too. Null texts are empty ones."""
+    a digest after so long, too. Null texts are empty ones. digest: a column that holds
+    content_key of the texts already, in their stead; rows then need no texts, and a batch's
+    rows of a bucket, which a task holds, are light."""
     if capacity < buckets:
         raise ValueError("a memory for each bucket at least")
     rocks(stream.sparkSession)
-    keyed = stream.select((md5_word(strip(text)) % buckets).cast("int").alias("bucket"), content_key(text).alias("digest"), F.struct(*[quoted(c) for c in stream.columns]).alias("row"))
+    key = content_key(text) if digest is None else quoted(digest)
+    bucket = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % buckets
+    keyed = stream.select(bucket.cast("int").alias("bucket"), key.alias("digest"), F.struct(*[quoted(c) for c in stream.columns]).alias("row"))
     own, out = BoundedDedup(capacity // buckets, order, ttl_ms), T.StructType([T.StructField("row", stream.schema)])
     return keyed.groupBy("bucket").transformWithStateInPandas(own, outputStructType=out, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "none").select("row.*")
 

@@ -138,3 +138,25 @@ def test_budget_does_not_go_by_the_order_of_files(spark, tmp_path):
     assert sorted(map(tuple, taken.collect())) == [(0, 10), (1, 5), (2, 10), (3, 5), (4, 10)]
     add(spark, f"{tmp_path}/documents.parquet", [(-1, "z" * 19), (50, "z")])
     assert sorted(r.doc_id for r in streams.stream_budget(spark, f"{tmp_path}", f"{tmp_path}/b", 38).collect()) == [-1, 0, 1, 2]
+
+
+def test_bounded_dedup_does_not_go_by_the_order_of_files(spark, tmp_path):
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, f"text {rng.randrange(40)}") for i in range(240)]
+    for i in reversed(range(6)):
+        add(spark, f"{tmp_path}/documents.parquet", rows[40 * i : 40 * i + 40])
+        time.sleep(0.02)
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 2
+    want = loop(rows, 5, bucket)
+    out = streams.stream_dedup_bounded(spark, f"{tmp_path}", f"{tmp_path}/a", 10, 2)
+    assert sorted(r.doc_id for r in out.collect()) == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", streams.content_key().alias("digest"))
+    kept = lambda s: dedup_bounded(s, "doc_id", 10, 2, digest="digest").select("doc_id")
+    # several ranges, and a second run of the same folder adds nothing
+    for _ in range(2):
+        again = streams.run_in_order(docs, "doc_id", "digest", kept, f"{tmp_path}/b", rows=80)
+        assert sorted(r.doc_id for r in again.collect()) == want
+    assert spark.read.parquet(f"{tmp_path}/b/ordered").select("__r").distinct().count() == 3
