@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import EOS
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be of 4 MB, so that what a task holds of them (both ways, in the
+    JVM and the worker) does not go with the size of rows. A session that sets another
+    bound keeps it. The setting stays, as plans read it when they run."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
+def arrow_function(f: Callable, kind: str) -> Callable[..., Column]:
+    """An Arrow function over batches of bounded size."""
+    small_batches(SparkSession.active())
+    return F.arrow_udf(f, kind)
+
 
 def _bytes(texts: pa.Array) -> pa.Array:
     """Offsets and bytes are taken over as they are."""
@@ -23,7 +40,7 @@ def _bytes(texts: pa.Array) -> pa.Array:
 
 def byte_tokens(c: Column | str) -> Column:
     """UTF-8 bytes as ids 0 to 255."""
-    return F.arrow_udf(_bytes, "array<int>")(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    return arrow_function(_bytes, "array<int>")(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
 
 def _blake2b(values: pa.Array) -> pa.Array:
@@ -38,7 +55,7 @@ def _blake2b(values: pa.Array) -> pa.Array:
 
 def blake2b_split(c: Column | str) -> Column:
     """Split by BLAKE2b of 64 bits, little-endian, at two percent; of texts or bytes."""
-    return F.arrow_udf(_blake2b, "string")(c)
+    return arrow_function(_blake2b, "string")(c)
 
 
 def _text_of_bytes(ids: pa.Array) -> pa.Array:
@@ -47,7 +64,7 @@ def _text_of_bytes(ids: pa.Array) -> pa.Array:
 
 def byte_text(ids: Column | str) -> Column:
     """The text of byte ids; other ids have none, and a cut character becomes U+FFFD."""
-    return F.arrow_udf(_text_of_bytes, "string")(ids)
+    return arrow_function(_text_of_bytes, "string")(ids)
 
 
 _loaded: dict = {}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import tables
+from tessera.functions.tokens import small_batches  # noqa: F401
 
 # ---------------------------------------------------------------- shared folder
 
@@ -135,17 +136,6 @@ def alone() -> None:
     pa.default_memory_pool().release_unused()
 
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches be of 4 MB, so that what a task holds of them (both ways, in the
-    JVM and the worker) does not go with the size of rows. A session that sets another
-    bound keeps it. The setting stays, as plans read it when they run."""
-    if spark.conf.get(BATCH_BYTES, None) is None:
-        spark.conf.set(BATCH_BYTES, "4m")
-
-
 # ------------------------------------------------------------------------ ranks
 
 RANK_BLOCKS = 2048

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,16 @@ def test_many_files_are_listed_and_copied(spark, tmp_path):
     files = discovery.listing(spark, f"{tmp_path}/out")
     assert files.count() == 1501 and files.where("name = 'b_x.npz'").first().length == 1
     assert discovery.listing(spark, f"{tmp_path}/b", "*.npz").orderBy("name").first().name == "dpo/deep/y.npz"
+
+
+def test_batches_of_token_functions_are_bounded(spark, tmp_path):
+    """Long rows come in small batches, and the byte tokens of a text are made once."""
+    df = spark.range(64, numPartitions=1).select("id", F.repeat(F.lit("abcdefgh"), 1 << 16).alias("t"))
+    rows = K.arrow_function(lambda t: pa.array([len(t)] * len(t), pa.int32()), "int")(F.col("t"))
+    assert df.select(rows.alias("n")).agg(F.max("n")).first()[0] <= 9
+    assert spark.conf.get(K.BATCH_BYTES) == "4m"
+    cut = readers.chunks(df.select("id", K.byte_tokens("t").alias("ids")), F.col("ids"), 1 << 18).select("id", "chunk_no")
+    assert cut.count() == 128
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    empty = spark.createDataFrame([(1, []), (2, None), (3, [5])], "id int, ids array<int>")
+    assert [(r.id, r.chunk_no, r.chunk) for r in readers.chunks(empty, F.col("ids"), 4).collect()] == [(3, 0, [5])]
