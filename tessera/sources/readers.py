@@ -63,8 +63,8 @@ def token_shards(spark: SparkSession, path: str, dtype: str = "uint16", ids_a_ro
 
 def chunks(df: DataFrame, tokens: Column, size: int) -> DataFrame:
     """Each token array in chunks: chunk_no and chunk."""
-    n = F.size(tokens)
-    cut = df.where(n > 0).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
+    n = F.size(tokens)  # no filter: it would be put before what makes the tokens, which then are made twice
+    cut = df.withColumn("chunk_no", F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")))))
     return cut.withColumn("chunk", F.slice(tokens, F.col("chunk_no") * size + 1, F.lit(size)))
 
 
