@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import EOS
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: bytes of texts, or ids, that the tokenizers library gets at once: its answers take hundreds of times that
+AT_ONCE = 1 << 17
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -72,29 +76,59 @@ _loaded: dict = {}
 
 def _tokenizer(path: str):
     if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
-def library_tokens(path: str):
-    """Ids by a tokenizers file, which each worker loads once."""
+def _encoder(path: str):
+    """The encoder of the training-data operators, which remembers pieces, if they are there."""
+    try:
+        from tessera.llm.tokens import encoder, tokenizer_source
+    except ModuleNotFoundError:
+        return None
+    return encoder(tokenizer_source(path))
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        found = _tokenizer(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-        return pa.array([x.ids for x in found], pa.list_(pa.int32()))
 
-    return encode
+def _parts(rows: pa.Array, sizes: pa.Array, at_once: int = AT_ONCE) -> Iterator[pa.Array]:
+    """Rows in slices of about at_once in size, a larger row alone."""
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+        yield rows.slice(i, j - i)
+        i = j
 
 
-def library_texts(path: str):
-    @F.arrow_udf("string")
+def library_tokens(path: str) -> Callable[..., Column]:
+    """Ids by a tokenizers file, which each worker loads once."""
+
+    def encode(texts: pa.Array) -> pa.Array:
+        own, found, counts = _encoder(path), [], [0]
+        for part in _parts(texts, pc.binary_length(texts), 32 * AT_ONCE if own else AT_ONCE):
+            part = [t or "" for t in part.to_pylist()]
+            if own:
+                ids = own.encode(part)
+            else:
+                ids = [x.ids for x in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)]
+            found.append(np.concatenate([np.asarray(x, np.int32) for x in ids]))
+            counts.extend(map(len, ids))
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
+
+    return arrow_function(encode, "array<int>")
+
+
+def library_texts(path: str) -> Callable[..., Column]:
     def decode(ids: pa.Array) -> pa.Array:
-        return pa.array(_tokenizer(path).decode_batch([x or [] for x in ids.to_pylist()], skip_special_tokens=False), pa.string())
+        tokenizer, texts = _tokenizer(path), []
+        for part in _parts(ids, pc.list_value_length(ids)):
+            texts.extend(tokenizer.decode_batch([x or [] for x in part.to_pylist()], skip_special_tokens=False))
+        return pa.array(texts, pa.string())
 
-    return decode
+    return arrow_function(decode, "string")
 
 
 def append_eos(ids: Column, eos: int = EOS) -> Column:

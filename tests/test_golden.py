@@ -257,6 +257,24 @@ def test_many_files_are_listed_and_copied(spark, tmp_path):
     assert discovery.listing(spark, f"{tmp_path}/b", "*.npz").orderBy("name").first().name == "dpo/deep/y.npz"
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_library_ids_and_texts_equal_the_library(spark, file):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, own = P.path(file), Tokenizer.from_file(P.path(file))
+    texts = ["", None, "a\n\n b", "naïve 漢字  x", "\U0001f600 tab\t", *[" ".join(f"w{i * j}" for j in range(i)) for i in range(40)], "it's <|endoftext|> here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("ids", K.library_tokens(path)("t"))
+    for r in df.select("i", "ids", K.library_texts(path)("ids").alias("t")).collect():
+        want = own.encode(texts[r.i] or "", add_special_tokens=False).ids
+        assert r.ids == want and r.t == own.decode(want, skip_special_tokens=False)
+    # characters that are cut, and ids that are none
+    rng = random.Random(6)
+    lists = [[rng.randrange(own.get_vocab_size() + 9) for _ in range(rng.randrange(30))] for _ in range(300)] + [None, list(range(own.get_vocab_size()))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<int>").select("i", K.library_texts(path)("ids").alias("t"))
+    assert all(r.t == own.decode(lists[r.i] or [], skip_special_tokens=False) for r in df.collect())
+
+
 def test_batches_of_token_functions_are_bounded(spark, tmp_path):
     """Long rows come in small batches, and the byte tokens of a text are made once."""
     df = spark.range(64, numPartitions=1).select("id", F.repeat(F.lit("abcdefgh"), 1 << 16).alias("t"))
