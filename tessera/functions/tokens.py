@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -121,11 +122,43 @@ def library_tokens(path: str) -> Callable[..., Column]:
     return arrow_function(encode, "array<int>")
 
 
+def _spellings(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The bytes of all tokens of a byte-level vocabulary in a row, and where each id's begin
+    and how many they are, the last being no id's; None where another decoder is named."""
+    if (path, "bytes") not in _loaded:
+        tokenizer, found = _tokenizer(path), None
+        if (json.loads(tokenizer.to_str()).get("decoder") or {}).get("type") == "ByteLevel":
+            visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+            # a token with any other character stands for itself
+            names = [tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1)]
+            spelt = [bytes(map(byte_of.__getitem__, t)) if all(map(byte_of.__contains__, t)) else t.encode() for t in names] + [b""]
+            size = np.fromiter(map(len, spelt), np.int64, len(spelt))
+            found = np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(size) - size, size
+        _loaded[path, "bytes"] = found
+    return _loaded[path, "bytes"]
+
+
+def _spelt(ids: pa.Array, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[str]:
+    """Texts of lists of ids, bytes that make no character becoming U+FFFD as in the library."""
+    at = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.where((at < 0) | (at >= len(size)), len(size) - 1, at)
+    ends = np.cumsum(np.concatenate([[0], size[at]]))
+    data = flat[np.repeat(first[at] - ends[:-1], size[at]) + np.arange(ends[-1])].tobytes()
+    bounds = ends[np.cumsum(np.concatenate([[0], pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)]).astype(np.int64))]
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def library_texts(path: str) -> Callable[..., Column]:
+    """Texts of ids by a tokenizers file. Byte-level vocabularies are spelt from a table."""
+
     def decode(ids: pa.Array) -> pa.Array:
-        tokenizer, texts = _tokenizer(path), []
+        table, texts = _spellings(path), []
         for part in _parts(ids, pc.list_value_length(ids)):
-            texts.extend(tokenizer.decode_batch([x or [] for x in part.to_pylist()], skip_special_tokens=False))
+            if table:
+                texts.extend(_spelt(part, *table))
+            else:
+                texts.extend(_tokenizer(path).decode_batch([x or [] for x in part.to_pylist()], skip_special_tokens=False))
         return pa.array(texts, pa.string())
 
     return arrow_function(decode, "string")
