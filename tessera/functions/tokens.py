@@ -13,10 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.encoder import GROUP, Encoder, tokenizer_source
 from tessera.functions.text import EOS
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: bytes of texts, or ids, that the tokenizers library gets at once: its answers take hundreds of times that
+#: ids that are made texts at once
 AT_ONCE = 1 << 17
 
 
@@ -84,13 +85,10 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _encoder(path: str):
-    """The encoder of the training-data operators, which remembers pieces, if they are there."""
-    try:
-        from tessera.llm.tokens import encoder, tokenizer_source
-    except ModuleNotFoundError:
-        return None
-    return encoder(tokenizer_source(path))
+def _encoder(path: str) -> Encoder:
+    if (path, "encoder") not in _loaded:
+        _loaded[path, "encoder"] = Encoder(tokenizer_source(path))
+    return _loaded[path, "encoder"]
 
 
 def _parts(rows: pa.Array, sizes: pa.Array, at_once: int = AT_ONCE) -> Iterator[pa.Array]:
@@ -104,16 +102,12 @@ def _parts(rows: pa.Array, sizes: pa.Array, at_once: int = AT_ONCE) -> Iterator[
 
 
 def library_tokens(path: str) -> Callable[..., Column]:
-    """Ids by a tokenizers file, which each worker loads once."""
+    """Ids by a tokenizers file, which each worker loads once; the encoder remembers pieces."""
 
     def encode(texts: pa.Array) -> pa.Array:
         own, found, counts = _encoder(path), [], [0]
-        for part in _parts(texts, pc.binary_length(texts), 32 * AT_ONCE if own else AT_ONCE):
-            part = [t or "" for t in part.to_pylist()]
-            if own:
-                ids = own.encode(part)
-            else:
-                ids = [x.ids for x in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)]
+        for part in _parts(texts, pc.binary_length(texts), GROUP):
+            ids = own.encode([t or "" for t in part.to_pylist()])
             found.append(np.concatenate([np.asarray(x, np.int32) for x in ids]))
             counts.extend(map(len, ids))
         flat = np.concatenate(found) if found else np.zeros(0, np.int32)
