@@ -64,6 +64,8 @@ SALT = 1024
 #: postings of up to so many members are pairs; and so many pairs a member may come of a longer one
 FEW = 4
 OUT = 1 << 15
+#: postings whose members are matched at a time
+STRETCH = 4096
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -81,6 +83,14 @@ def salts(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _A + np.array([salt], np.uint64) * _B)
 
 
+kept_salts = lru_cache(maxsize=2048)(salts)
+
+
+def salted(n: int, salt: int) -> np.ndarray:
+    """salts, kept for sets that are not long."""
+    return kept_salts(n, salt) if n <= 1024 else salts(n, salt)
+
+
 def elements_of(data: bytes, n: int) -> np.ndarray:
     """The sorted hashes of the distinct n-grams of a text in UTF-8."""
     data = data.translate(LOWER)
@@ -168,9 +178,13 @@ def keys_of(elements: np.ndarray, band: int, percent: int, tolerance: int, piece
     slot = (elements >> np.uint64(32)) * np.uint64(length) >> np.uint64(32)
     sketch = np.zeros(length, np.uint64)
     np.bitwise_xor.at(sketch, slot.astype(np.int64), np.uint64(1) << (elements & np.uint64(63)))
-    mixed = mix(sketch + salts(length, band)).reshape(parts, words)
-    keys = [mix(mixed[:, c].sum(axis=1, dtype=np.uint64) + salts(parts, 1000 + i)) for i, c in enumerate(choices)]
-    return np.concatenate(keys)
+    mixed = mix(sketch + salted(length, band)).reshape(parts, words).T
+    keys = np.empty((len(choices), parts), np.uint64)
+    for i, c in enumerate(choices):
+        keys[i] = salted(parts, 1000 + i)
+        for word in c:
+            keys[i] += mixed[word]
+    return mix(keys.ravel())
 
 
 # ------------------------------------------------------------------- candidates
@@ -394,21 +408,46 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
 
 
 def open_tasks(lists: DataFrame, components: DataFrame, cap: int) -> DataFrame:
-    """(task, member, root) of postings (posting, member) in more than one component, long
-    ones as a task for each pair of their blocks."""
-    rooted = common.materialise(lists.join(components, F.col("member") == F.col("node"), "left").select("posting", "member", F.coalesce("root", "member").alias("root")), "rooted")
-    open_ = rooted.groupBy("posting").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    blocks = F.when(F.col("members") <= cap, 1).otherwise(F.ceil(F.col("members") / (cap // 2)))
-    dealt = rooted.join(open_.select("posting", blocks.cast("bigint").alias("blocks")), "posting").withColumn("i", F.pmod(F.xxhash64("member"), "blocks"))
-    return dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(F.xxhash64("posting", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "member", "root")
+    """(task, member, root, side, postings) of postings (posting, member) in more than one
+    component. Postings of which the largest component is the same make a group, in which a
+    member comes once with all its postings, unless that would make more rows than the
+    postings by themselves. Long groups or postings are a task for each pair of their blocks,
+    side being a member's block."""
+    blocks = lambda n: F.when(n <= cap, 1).otherwise(F.ceil(n / (cap // 2))).cast("bigint")
+    sized = components.join(components.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")), "root")
+    own = lists.join(sized, F.col("member") == F.col("node"), "left")
+    rooted = common.materialise(own.select("posting", "member", F.coalesce("root", "member").alias("root"), F.coalesce("nodes", F.lit(1)).alias("nodes")), "rooted")
+    open_ = rooted.groupBy("posting").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("nodes", F.xxhash64("root").alias("hub"))).alias("most")).where("lo < hi")
+    met = common.materialise(rooted.join(open_.select("posting", "members", "most.hub"), "posting").drop("nodes"), "open")
+    distinct = met.groupBy("hub", "member").agg(F.sum(blocks(F.col("members"))).alias("rows")).groupBy("hub").agg(F.count(F.lit(1)).alias("all"), F.sum("rows").alias("rows"))
+    as_one = F.col("all") * blocks(F.col("all")) <= F.col("rows")
+    grouped = met.join(distinct, "hub").select("member", "root", "posting", F.when(as_one, F.col("hub")).otherwise(F.col("posting")).alias("group"), F.when(as_one, F.col("all")).otherwise(F.col("members")).alias("n"))
+    once = grouped.groupBy("group", "member", "root", "n").agg(F.collect_set("posting").alias("postings"))
+    dealt = once.withColumn("blocks", blocks(F.col("n"))).withColumn("side", F.pmod(F.xxhash64("member"), "blocks"))
+    paired = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return paired.select(F.xxhash64("group", F.least("side", "j"), F.greatest("side", "j")).alias("task"), "member", "root", "side", "postings")
+
+
+def together(postings: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
+    """Which members of a task, as a matrix, have a posting in common; of two blocks, which
+    of different blocks."""
+    names, at = np.unique(np.concatenate(postings), return_inverse=True)
+    row = np.repeat(np.arange(len(postings)), np.fromiter(map(len, postings), np.int64, len(postings)))
+    out = np.zeros((len(postings), len(postings)), bool)
+    for low in range(0, len(names), STRETCH):
+        own = (at >= low) & (at < low + STRETCH)
+        there = np.zeros((len(postings), min(STRETCH, len(names) - low)), np.float32)
+        there[row[own], at[own] - low] = 1
+        out |= there @ there.T > 0
+    return out & (sides[:, None] != sides) if (sides != sides[0]).any() else out
 
 
 def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Within each task, members of different components. Of whole sets: links (a, b), as many
+    """Within each task, members of different components that have a posting in common. Of whole sets: links (a, b), as many
     as join the components they join. Of sketches: what is left to be compared on whole sets,
     as pairs (a, b, true), or, where that is fewer rows, as (task, member, false) of the
     members of these pairs. A pair of several postings is given once by a worker's batches."""
-    met = tasks.join(sets, "member").select("task", "member", "root", "size", "elements")
+    met = tasks.join(sets, "member").select("task", "member", "root", "size", "side", "postings", "elements")
     names = ["a", "b"] if whole else ["a", "b", "pair"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,10 +455,11 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
         seen: set[tuple[int, int]] = set()
 
         def within(task: int, rows: list[tuple]) -> pa.RecordBatch:
-            members, group, sizes, elements = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
+            members, group, sizes, elements = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[5] for r in rows]
+            meet = together([r[4] for r in rows], np.array([r[3] for r in rows]))
             got, some, pairs = ([], []), np.zeros(len(rows), bool), 0
             for i, x in enumerate(elements):
-                other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+                other = i + 1 + np.flatnonzero(meet[i, i + 1 :] & (group[i + 1 :] != group[i]))
                 if not len(other):
                     continue
                 near = other[differ(int(sizes[i]), x, sizes[other], [elements[k] for k in other], percent, whole) >= 0]
@@ -448,12 +488,12 @@ def compared(tasks: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
 
         now, rows = None, []
         for batch in batches:
-            for task, *row, e in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            for task, *row, p, e in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), batch.column(6), strict=True):
                 if task != now:
                     if len(rows) > 1:
                         yield within(now, rows)
                     now, rows = task, []
-                rows.append((*row, np.frombuffer(e.as_py(), np.uint64)))
+                rows.append((*row, p.values.to_numpy().copy(), np.frombuffer(e.as_py(), np.uint64)))
         if len(rows) > 1:
             yield within(now, rows)
 

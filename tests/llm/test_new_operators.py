@@ -208,6 +208,29 @@ def test_open_postings_give_what_stars_miss(spark, monkeypatch):
         assert seen == {2, 3, 4, 5}
 
 
+def test_overlapping_postings_bring_a_member_once(spark):
+    """Postings around one component are a task; only members that met in one are compared."""
+    rng = np.random.default_rng(6)
+    lists = [(p, int(m)) for p in range(40) for m in rng.choice(30, 20, replace=False)] + [(100 + i, 200 + i + j) for i in range(6) for j in range(2)]
+    known = spark.createDataFrame([(i, 0) for i in range(25)], "node bigint, root bigint")
+    lists_df = spark.createDataFrame(lists, "posting bigint, member bigint")
+    met = {}
+    for p, m in lists:
+        met.setdefault(p, set()).add(m)
+    want = {(a, b) for own in met.values() for a in own for b in own if a < b and (a > 24 or b > 24)}
+    for cap in (512, 8):
+        tasks = ngram_join.open_tasks(lists_df, known, cap).collect()
+        near = [r for r in tasks if r.member < 30]
+        assert len(near) == (30 if cap == 512 else 30 * 8)  # 800 rows when each posting brought its members
+        got, of = set(), {}
+        for r in tasks:
+            of.setdefault(r.task, []).append(r)
+        for own in of.values():
+            meet = ngram_join.together([np.array(r.postings) for r in own], np.array([r.side for r in own]))
+            got |= {tuple(sorted((x.member, y.member))) for i, x in enumerate(own) for j, y in enumerate(own) if meet[i, j] and x.root != y.root}
+        assert got == want
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for n, m in ((1, 1), (30, 33), (90, 80), (700, 690), (700, 1500)):
