@@ -56,6 +56,9 @@ THRESHOLD = 0.8
 BLANK = " \t\r\x0b\x0c"
 LINE_BATCH = 2000
 LINE_CHARS = 1 << 19
+#: lines of a set of which all pairs are compared at once, and shingles that are sorted at a time
+FEW = 4
+SORTED = 1 << 18
 EMPTY = np.uint32(0xFFFFFFFF)
 PRIME = 0x9E3779B97F4A7C15
 
@@ -289,15 +292,78 @@ def long_lines_near(lines: list[str], threshold: float):
     return near
 
 
+def pairs_near(lines: list[bytes], pairs: list[tuple[int, int]], threshold: float) -> np.ndarray:
+    """Which pairs of lines in Latin-1 are as similar as threshold asks. Shingles are numbers
+    of 64 bits; rows of them are sorted, those of short lines filled up by their last one."""
+    data = b"".join(lines)
+    code = np.ndarray(len(data) - SHINGLE + 1, "<u8", data, strides=(1,))
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    start, last = np.cumsum(size) - size, size - SHINGLE
+    a, b = np.array(pairs).T
+    longest = np.maximum(last[a], last[b])
+    out, order, at = np.zeros(len(a), bool), np.argsort(longest), 0
+
+    def distinct(rows: np.ndarray) -> np.ndarray:
+        rows.sort(axis=1)
+        return 1 + np.count_nonzero(rows[:, 1:] != rows[:, :-1], axis=1)
+
+    while at < len(order):
+        # as many pairs as the longest of them lets into a block
+        end = at + max(1, SORTED // (2 * int(longest[order[at]]) + 2))
+        end = at + max(1, min(len(order) - at, SORTED // (2 * int(longest[order[min(end, len(order)) - 1]]) + 2)))
+        own = order[at:end]
+        step = np.arange(longest[own[-1]] + 1)
+        both = [code[start[i][:, None] + np.minimum(step, last[i][:, None])] for i in (a[own], b[own])]
+        x, y = map(distinct, both)
+        shared = x + y - distinct(np.concatenate(both, axis=1))
+        out[own] = shared >= threshold * (x + y - shared) - 1e-9
+        at = end
+    return out
+
+
+def few_links(sets: list[dict[bytes, str]], threshold: float) -> dict[int, tuple[list[bytes], list[bytes]]]:
+    """The links of the sets of up to FEW lines, all in Latin-1, by the set's place."""
+    lines, pairs, places = [], [], {}
+    for place, own in enumerate(sets):
+        if 2 <= len(own) <= FEW:
+            try:
+                data = [x.encode("latin-1") for x in own.values()]
+            except UnicodeEncodeError:
+                continue
+            places[place] = len(lines)
+            pairs += [(len(lines) + i, len(lines) + j) for i in range(len(own)) for j in range(i + 1, len(own))]
+            lines += data
+    if not pairs:
+        return {}
+    linked = {x for x, t in zip(pairs, pairs_near(lines, pairs, threshold).tolist(), strict=True) if t}
+    out = {}
+    for place, base in places.items():
+        ids = list(sets[place])
+        near = lambda rest, x: np.array([(min(r, x), max(r, x)) in linked for r in rest.tolist()], bool)
+        if len(ids) == 2:
+            got, roots = ([base + 1], [base]) if (base, base + 1) in linked else ([], [])
+        else:
+            got, roots = star_forest(np.arange(base, base + len(ids)), near)
+        out[place] = [ids[i - base] for i in got], [ids[i - base] for i in roots]
+    return out
+
+
 def set_links(sets: list[dict[bytes, str]], threshold: float) -> tuple[list[bytes], list[bytes]]:
     """Links between the lines of each set, by the exact Jaccard similarity of their
-    shingles. The sets' lines are shingled together, unless they are very long."""
+    shingles. The sets' lines are shingled together, unless they are very long; of sets of
+    few lines, all pairs are compared at once."""
     a: list[bytes] = []
     b: list[bytes] = []
     together = sum(len(x) for own in sets for x in own.values()) <= 4 * LINE_CHARS
-    s = Shingled([x for own in sets for x in own.values()]) if together else None
+    few = few_links(sets, threshold) if together else {}
+    rest = [x for place, own in enumerate(sets) if place not in few for x in own.values()]
+    s = Shingled(rest) if together and rest else None
     first = 0
-    for own in sets:
+    for place, own in enumerate(sets):
+        if place in few:
+            a += few[place][0]
+            b += few[place][1]
+            continue
         ids = list(own)
         near = (lambda rest, x: s.near(rest, x, threshold)) if together else long_lines_near(list(own.values()), threshold)
         base = first if together else 0

@@ -271,6 +271,31 @@ def test_long_lines_are_compared_two_at_a_time(monkeypatch):
     assert line_dedup.set_links(sets, 0.8) == want
 
 
+def test_sets_of_few_lines_are_compared_at_once(monkeypatch):
+    """Small sets give the links that one at a time gives, and no line is shingled by itself."""
+    rng = random.Random(9)
+    sets = []
+    for k in range(300):
+        base = "".join(rng.choice("abcdefgh é") for _ in range(rng.choice([8, 9, 30, 200, 900])))
+        own = {b"%d" % k: base}
+        for j in range(rng.randrange(1, 4)):
+            at, n = rng.randrange(len(base)), rng.choice([0, 1, 2, len(base) // 30])
+            own[b"%d.%d" % (k, j)] = rng.choice([base[:at] + "x" * n + base[at:], base[::-1], base + base, "漢" + base])
+        sets.append(own)
+    want = [[], []]
+    for own in sets:
+        ids, lines = list(own), list(own.values())
+        got = line_dedup.star_forest(np.arange(len(ids)), line_dedup.long_lines_near(lines, 0.8))
+        for x, y in zip(want, got):
+            x += [ids[i] for i in y]
+    assert len(want[0]) > 100
+    monkeypatch.setattr(line_dedup, "SORTED", 3000)
+    assert line_dedup.set_links(sets, 0.8) == tuple(want)
+    monkeypatch.setattr(line_dedup, "Shingled", None)
+    latin = [own for own in sets if max(map(max, own.values())) < "Ā"]
+    assert len(line_dedup.set_links(latin, 0.8)[0]) > 50
+
+
 def test_without(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], DOCS)
     gone = spark.createDataFrame([(2,), (None,)], "x bigint")
