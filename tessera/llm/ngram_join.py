@@ -19,8 +19,8 @@ most (a + b) (100 - percent) / (100 + percent) elements.
 4. Verification. The members of a posting of up to FEW are tested against each other, those
    of a longer one against its first (a star); the links found are joined by union-find.
    Longer postings whose members are not all in one component by then are tested further,
-   in a task for each posting (or, if it is long, for each pair of its blocks), pairs of one
-   component being left out. So no link between
+   in a task for those around one component (or, if it is long, for each pair of its blocks),
+   pairs of one component and those without a posting in common being left out. So no link between
    components is lost, while thousands of versions of a text make thousands of tests, not
    millions. A test first compares sketches of one or two bits an element, kept of each
    document: their Hamming distance alone may be too much already (longer ones are folded to
