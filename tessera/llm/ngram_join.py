@@ -7,15 +7,20 @@ most (a + b) (100 - percent) / (100 + percent) elements.
 1. Sketches. XOR-hashing each element into a bit of a sketch gives parities; an element of
    the symmetric difference flips one bit, so the Hamming distance of two sketches is at
    most D: it bounds D from below.
-2. Size bands. A band's largest size is its smallest one over the similarity, so that a set
-   links only with sets of its own band and the two beside it. A set is posted in its own
-   band and, as the smaller of a pair, in the next. A band fixes the largest distance d and
-   the sketch's length.
-3. Pigeonhole. The sketch is cut into parts so few that one part holds `tolerance` of the d
-   flips at most; that part is cut again, into `pieces` words of 64 bits, of which all but
-   `tolerance` are equal. Every choice of that many words of a part is a key: two sets that
-   link share one. Keys are joined by a shuffle. TOLERANCE grows with the number of sets,
-   as longer keys meet by chance less often; any gives the same links.
+2. Size bands. A band's largest size is its smallest one over the similarity, WIDTH times, so
+   that a set links only with sets of its own band and the two beside it. A pair meets in the
+   band of its smaller set: a set is posted in its own band and, if it may be the larger of a
+   pair with a set of the band below, there too. A band fixes the sketch's length.
+3. Pigeonhole. The sketch is cut into parts; of so many that flips of a pair can't put more than
+   `tolerance` into each, one part holds `tolerance` at most. That part is cut again, into
+   `pieces` words of 64 bits, of which all but `tolerance` are equal. Every choice of that many
+   words of a part is a key. A set links with larger ones of limited size only, so its own size
+   says how many flips that may be: it is posted under the first parts of that number alone. The
+   larger of a pair is posted under as many or more, so two sets that link share a key. Keys of
+   words with few bits, which unrelated sets share, are left out: a part that has one doesn't
+   count towards that number, and a set that runs out of parts is posted under all keys. Keys
+   are joined by a shuffle. TOLERANCE grows with the number of sets, as longer keys meet by
+   chance less often; any gives the same links.
 4. Verification. The members of a posting of up to FEW are tested against each other, those
    of a longer one against its first (a star); the links found are joined by union-find.
    Longer postings whose members are not all in one component by then are tested further,
@@ -58,6 +63,11 @@ STEP = 1 << 22
 SEEN = 200_000
 #: most sets: (flips that a part may hold, words of a part)
 TOLERANCE = ((4_000_000, (1, 3)), (400_000_000, (2, 5)), (1 << 62, (3, 7)))
+#: a band's largest size is its smallest one, so many times over the similarity
+WIDTH = 2
+#: a key of so few bits says too little; and one part more for so many, to do without such keys
+WEAK = 1
+SPARE = 8
 #: members of a posting that are compared in one task
 CAP = 512
 SALT = 1024
@@ -149,42 +159,72 @@ def farthest(sizes, percent: int):
     return sizes * (100 - percent) // (100 + percent)
 
 
+def partner(size: int, percent: int) -> int:
+    """The largest size of a set that links with one of this size."""
+    return size * 100 // percent
+
+
 @lru_cache
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest and the largest size of each band."""
     lows, highs, low = [], [], 1
     while low < 1 << 40:
-        high = low * 100 // percent
+        high = low
+        for _ in range(WIDTH):
+            high = partner(high, percent)
         lows.append(low), highs.append(high)
         low = high + 1
     return np.array(lows), np.array(highs)
 
 
+def flips_of(size: int, percent: int) -> int:
+    """The largest symmetric difference of a set of this size and a larger one that links."""
+    return farthest(size + partner(size, percent), percent)
+
+
 @lru_cache(maxsize=512)
-def scheme(band: int, percent: int, tolerance: int, pieces: int) -> tuple[int, int, np.ndarray]:
-    """(parts, words of a part, choices of words) of a band's sketches."""
-    d = int(farthest(2 * int(bands(percent)[1][band]), percent))
+def scheme(band: int, percent: int, tolerance: int, pieces: int) -> tuple[int, int, int, int, np.ndarray]:
+    """(parts, parts needed at most, words of a part, flips that one part may hold, choices of
+    words) of a band's sketches."""
+    d = flips_of(int(bands(percent)[1][band]), percent)
     if not d:
-        return 1, 1, np.array([[0]])
+        return 1, 1, 1, 0, np.array([[0]])
     t = min(tolerance, d)
     p = pieces if t == tolerance else t + 1
-    return -(-(d + 1) // (t + 1)), p, np.array(list(combinations(range(p), p - t)))
+    most = d // (t + 1) + 1
+    return most + most // SPARE, most, p, t, np.array(list(combinations(range(p), p - t)))
+
+
+def homes(size: int, percent: int) -> list[int]:
+    """The bands in which a set is posted, its own first."""
+    lows, highs = bands(percent)
+    own = int(np.searchsorted(lows, size, side="right")) - 1
+    return [own, own - 1] if own and partner(int(highs[own - 1]), percent) >= size else [own]
 
 
 def keys_of(elements: np.ndarray, band: int, percent: int, tolerance: int, pieces: int) -> np.ndarray:
-    """The keys under which a set is posted in a band."""
-    parts, words, choices = scheme(band, percent, tolerance, pieces)
-    length = parts * words
+    """The keys under which a set is posted in a band.
+
+    Of a pair, take the set whose parts end first, or one that is not under all keys. More of
+    its counted parts than the pair's flips can spoil lie before that end, so one of them has
+    words equal in both sets, enough of them and with enough bits: both sets have that key."""
+    parts, most, words, t, choices = scheme(band, percent, tolerance, pieces)
+    length, needed = parts * words, min(most, flips_of(len(elements), percent) // (t + 1) + 1)
     slot = (elements >> np.uint64(32)) * np.uint64(length) >> np.uint64(32)
     sketch = np.zeros(length, np.uint64)
     np.bitwise_xor.at(sketch, slot.astype(np.int64), np.uint64(1) << (elements & np.uint64(63)))
-    mixed = mix(sketch + salted(length, band)).reshape(parts, words).T
-    keys = np.empty((len(choices), parts), np.uint64)
+    mixed, bits = mix(sketch + salted(length, band)).reshape(parts, words).T, np.bitwise_count(sketch).reshape(parts, words).T
+    keys, strong = np.empty((len(choices), parts), np.uint64), np.empty((len(choices), parts), bool)
     for i, c in enumerate(choices):
         keys[i] = salted(parts, 1000 + i)
         for word in c:
             keys[i] += mixed[word]
-    return mix(keys.ravel())
+        strong[i] = bits[c].sum(axis=0) > WEAK
+    full = np.cumsum(strong.all(axis=0))
+    if full[-1] < needed:
+        return mix(keys.ravel())
+    stop = int(np.searchsorted(full, needed)) + 1
+    return mix(keys[:, :stop][strong[:, :stop]])
 
 
 # ------------------------------------------------------------------- candidates
@@ -226,16 +266,14 @@ def _once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.n
 
 
 def postings(texts: DataFrame, n: int, percent: int, tolerance: int, pieces: int) -> DataFrame:
-    """(key, member, size): a set under each of its keys; size is negative in the band above
+    """(key, member, size): a set under each of its keys; size is negative in the band below
     the set's own."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
-        lows = bands(percent)[0]
         keys, members, sizes, held = [], [], [], 0
         for me, own in _once(batches, n):
-            band = int(np.searchsorted(lows, len(own), side="right")) - 1
-            for b, size in ((band, len(own)), (band + 1, -len(own))):
+            for b, size in zip(homes(len(own), percent), (len(own), -len(own))):
                 k = keys_of(own, b, percent, tolerance, pieces)
                 keys.append(k), members.append(np.full(len(k), me, np.uint64)), sizes.append(np.full(len(k), size, np.int32))
                 held += len(k)
@@ -511,6 +549,7 @@ def ngram_links(docs: DataFrame, ngram: int = 4, percent: int = 85, id_col: str
     distinct = sized.select("set").distinct().count()
     flips, pieces = tolerance or next(t for most, t in TOLERANCE if distinct <= most)
     met = common.materialise(meetings(postings(texts, ngram, percent, flips, pieces), percent), "met")
+    common.release(docs.sparkSession)
     pairs = met.where("star").select("a", "b")
     lists = met.where("not star").select(F.col("a").alias("posting"), F.col("b").alias("member"))
     ends = lambda df: df.select(F.col("a").alias("member")).unionByName(df.select(F.col("b").alias("member")))

@@ -266,6 +266,40 @@ def test_keys_meet_within_the_distance():
                 assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize("weak", [-1, 1, 3, 64])
+def test_posted_keys_meet_in_the_smaller_ones_band(monkeypatch, weak):
+    """Any two sets that link share a posted key, whatever keys of few bits are left out."""
+    monkeypatch.setattr(ngram_join, "WEAK", weak)
+    rng = np.random.default_rng(7)
+    tried = 0
+    for size in (*range(1, 24), 40, 57, 90, 150, 333, 1200):
+        for flips, pieces in ((0, 1), (1, 3), (2, 5), (3, 7)):
+            x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            most = int(ngram_join.farthest(2 * size + size // 6, 85))
+            for gone in {0, most // 3, most // 2, most}:
+                for new in {0, most // 2, most - gone, ngram_join.partner(size, 85) - size + gone}:
+                    y = np.union1d(x[gone:], rng.integers(0, 2**64, new, dtype=np.uint64))
+                    both = len(np.intersect1d(x, y))
+                    if not both or 100 * both < 85 * (len(x) + len(y) - both):
+                        continue
+                    homes = [ngram_join.homes(len(e), 85) for e in (x, y)]
+                    own = min(h[0] for h in homes)
+                    assert all(own in h for h in homes)
+                    keys = [set(ngram_join.keys_of(e, own, 85, flips, pieces).tolist()) for e in (x, y)]
+                    assert keys[0] & keys[1]
+                    tried += 1
+    assert tried > 500
+
+
+def test_a_set_has_fewer_keys_than_half_its_elements(spark):
+    """Keys are what the shuffle carries; they were 0.57 an element."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 1500))) for _ in range(200)]
+    docs = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary")
+    elements = sum(len(ngram_join.set_of(t)) for t in texts)
+    assert ngram_join.postings(docs, 4, 85, 1, 3).count() < 0.45 * elements
+
+
 # -------------------------------------------------------------------- resampling
 
 BENCH = ["the prime number of the two", "une phrase en français", "", None, "prime prime NUMBER"]
